@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .compression import compression_rules
+from .neardup import near_duplicates
 from .shared import table
 
 
@@ -12,5 +13,9 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_compression_bands,)}
+def op9_odd_sketch_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_compression_bands, op9_odd_sketch_near_dups)}
 ORACLE_SQL: dict[str, str] = {}
