@@ -9,7 +9,7 @@ the joins leave hub nodes to the adaptive skew-join split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import drop, new_path
@@ -29,10 +29,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def _summary(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``edges`` (u, v) can reach, for nodes that are not it."""
     spark = edges.sparkSession
@@ -40,11 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
     before, old = None, None
     while True:
         path = new_path(spark, "stars")
-        _small_star(_large_star(now) if before else now).write.parquet(path)
+        seen = Observation()
+        edges = _small_star(_large_star(now) if before else now)
+        edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")).write.parquet(path)
         now = spark.read.schema("u long, v long").parquet(path)
         if old:
             drop(spark, old)
-        summary, old = _summary(now), path
-        if summary == before or not summary[0]:
+        summary, old = seen.get, path
+        if summary == before or not summary["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = summary

@@ -12,13 +12,15 @@ link where 100 * |A & B| >= 75 * |A | B|; groups are the connected components.
 2. Documents with equal sets form one class, whose least id stands for it: a
    group of exact copies costs one node, whatever its size.
 3. Every band bucket links its members to a hub (its least node); only pairs
-   whose sketches allow a similarity over about 0.5 (five standard deviations
-   below 0.75) remain, and the full sets, recomputed from the full texts,
-   confirm or refuse each. Then the next node of a bucket whose other members
-   are not all in one component is its hub. After ``STAR_ROUNDS`` rounds, what
-   is left of such buckets is compared sketch against sketch in blocks of
-   bounded size, so no pair of a bucket that is neither connected nor compared
-   remains, no bucket is capped, and no bucket is held by one task.
+   whose sketches allow a similarity of 0.75 (within five standard deviations)
+   remain, and the full sets, recomputed from the full texts, confirm or refuse
+   each.
+   Then, in buckets whose other members are not all in one component, every
+   member outside the largest one is compared with every member: first with
+   sketches, which give each its few closest of other components to confirm;
+   a member that had more candidates than those meets all full sets of its
+   bucket, which yields links only. Buckets are dealt in blocks of bounded
+   size, none is capped, and no step writes a row for each pair.
 4. Components come from components.py.
 
 Null or empty texts have no shingles and link with nothing. Rows that share an
@@ -43,10 +45,10 @@ from .shared import stored
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 SKETCH_LONGS = 8
-#: Most differing sketch bits of a pair that is still confirmed on full sets.
-MOST_BITS = 112
+#: Most differing sketch bits of a pair that is still confirmed on full sets: at similarity 0.75 they are 57, with deviation 9.
+MOST_BITS = 100
 PERCENT = 75
-STAR_ROUNDS = 2
+TRIED = 3
 BLOCK = 1024
 
 _N = BANDS * ROWS
@@ -126,17 +128,18 @@ def _close(left: str, right: str):
 
 
 class _Groups:
-    """The rounds over one table; every table that a later step reads is in the shared folder."""
+    """The steps over one table; every table that a later step reads is in the shared folder."""
 
     def __init__(self, texts: DataFrame, signatures: DataFrame):
-        self.texts = texts
         self.classes = stored(signatures.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
         own = signatures.join(self.classes.withColumnRenamed("node", "doc_id"), ["doc_id", "d1", "d2"], "left_semi")
         self.sketches = own.select(F.col("doc_id").alias("node"), *(f"s{i}" for i in range(SKETCH_LONGS)))
         rows = own.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"))
         shared = rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("hub < last").select("band", "hub", "size")
         self.buckets = stored(rows.join(shared, "band"), "buckets")
-        self.edges = None
+        # only texts that share a band are ever compared: they move once
+        nodes = self.buckets.select("node").distinct()
+        self.texts = stored(texts.where("doc_id IS NOT NULL").join(nodes.hint("merge"), texts.doc_id == nodes.node, "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
         self.labels = None
 
     def labelled(self, nodes: DataFrame, key: str, label: str) -> DataFrame:
@@ -146,60 +149,102 @@ class _Groups:
         own = self.labels.select(F.col("node").alias(key), F.col("component").alias(label))
         return nodes.join(own, key, "left").withColumn(label, F.coalesce(label, key))
 
+    def connect(self, links: DataFrame) -> None:
+        """Brings the components up to date."""
+        self.labels = components(links if self.labels is None else self.labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links))
+
     def confirm(self, pairs: DataFrame) -> None:
-        """Adds those of ``pairs`` (u, v) that are links, and brings the components up to date."""
-        pairs = stored(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-        if pairs.isEmpty():
-            return
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        texts = stored(self.texts.join(ends, self.texts.doc_id == ends.node, "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+        """Connects those of ``pairs`` (u, v) whose full sets are similar enough."""
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        texts = self.texts.hint("merge")
         whole = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-        links = stored(whole.select("u", "v", "text_u", "text_v").mapInArrow(_confirm, "u long, v long").distinct(), "links")
-        self.edges = links if self.edges is None else self.edges.union(links)
-        self.labels = components(self.edges if self.labels is None else self.labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links))
-
-    def sketched(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (u, v) whose sketches are close."""
-        left, right = self.sketches.alias("a"), self.sketches.alias("b")
-        both = pairs.distinct().alias("p").join(left, F.col("p.u") == F.col("a.node")).join(right, F.col("p.v") == F.col("b.node"))
-        return both.where(_close("a", "b")).select("p.u", "p.v")
-
-    def star(self, members: DataFrame) -> None:
-        """Compares the members (band, node, hub) of each bucket with its hub."""
-        pairs = self.labelled(self.labelled(members.where("node <> hub").select("hub", "node").distinct(), "hub", "hub_label"), "node", "label")
-        self.confirm(self.sketched(pairs.where("label <> hub_label").select(F.col("hub").alias("u"), F.col("node").alias("v"))))
-
-    def left(self, members: DataFrame) -> DataFrame:
-        """Members but their hubs, of buckets where those are in several components, with the next hub."""
-        rest = self.labelled(members.where("node <> hub").select("band", "node"), "node", "label")
-        mixed = rest.groupBy("band").agg(F.min("node").alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-        return stored(rest.join(mixed.where("low < high").select("band", "hub", "size"), "band"), "left")
-
-    def blocks(self, members: DataFrame) -> None:
-        """Compares all members of a bucket that are in different components, in blocks of bounded size."""
-        by_label = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = by_label.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"))
-        rows = members.join(main, "band")
-        odd = F.col("label") != F.col("main")
-        n_block = F.ceil(F.col("size") / BLOCK).cast("long")
-        n_odd = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("size") - F.col("n_main")) / BLOCK).cast("long"))
-        spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n)
-        fixed = rows.select("band", "node", "label", spread(n_block, 1).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), n_odd - 1)).alias("part"), F.lit(False).alias("asks"))
-        asking = rows.where(odd).select("band", "node", "label", F.explode(F.sequence(F.lit(0).cast("long"), n_block - 1)).alias("block"), spread(n_odd, 2).alias("part"), F.lit(True).alias("asks"))
-        compared = fixed.union(asking).join(self.sketches, "node").groupBy("band", "block", "part").applyInPandas(_compare, "u long, v long")
-        self.confirm(compared)
-
-
-def _compare(block: pd.DataFrame) -> pd.DataFrame:
-    """Close pairs of an asking and a fixed member in different components."""
-    asks = block.asks.to_numpy()
-    bits = block[[f"s{i}" for i in range(SKETCH_LONGS)]].to_numpy(np.int64)
-    node, label = block.node.to_numpy(), block.label.to_numpy()
-    pairs = []
-    for i in np.flatnonzero(asks):
-        near = ~asks & (label != label[i]) & (np.bitwise_count(bits ^ bits[i]).sum(axis=1) <= MOST_BITS)
-        pairs.append(np.stack([np.full(near.sum(), node[i]), node[near]], axis=1))
-    return pd.DataFrame(np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), columns=["u", "v"])
+        self.connect(stored(whole.select("u", "v", "text_u", "text_v").mapInArrow(_confirm, "u long, v long"), "links"))
+
+    def star(self) -> None:
+        """Compares the members of each bucket with its hub."""
+        pairs = self.buckets.where("node <> hub").select("hub", "node").distinct().alias("p")
+        both = pairs.join(self.sketches.alias("a"), F.col("p.hub") == F.col("a.node")).join(self.sketches.alias("b"), F.col("p.node") == F.col("b.node"))
+        self.confirm(both.where(_close("a", "b")).select(F.col("p.hub").alias("u"), F.col("p.node").alias("v")))
+
+    def left(self) -> DataFrame:
+        """Members of buckets where all but the hub are in several components; those outside the largest ask."""
+        rest = self.labelled(self.buckets.where("node <> hub").select("band", "node"), "node", "label")
+        by_label = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = by_label.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("band", "main")
+        return stored(rest.join(mixed, "band").select("band", "node", "label", (F.col("label") != F.col("main")).alias("asks")), "left")
+
+    def nearby(self) -> None:
+        """In the buckets that are left, confirms every asking member's few closest members of other components; then, of those that had more, every one."""
+        members = self.left()
+        found = stored(_dealt(members).join(self.sketches, "node").groupBy(*_DEAL).applyInPandas(_closest, "band long, u long, v long, more boolean"), "closest")
+        self.confirm(found.select("u", "v"))
+        more = found.where("more").select("band", F.col("u").alias("node")).distinct().withColumn("asks", F.lit(True))
+        if more.isEmpty():
+            return
+        rest = members.select("band", "node").join(more.select("band").distinct(), "band", "left_semi").join(more, ["band", "node"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        open_ = stored(self.labelled(rest, "node", "label").select("band", "node", "label", "asks"), "open")
+        self.connect(stored(_dealt(open_).join(self.texts.hint("merge"), "node").groupBy(*_DEAL).applyInPandas(_all_links, "u long, v long"), "links"))
+
+
+_DEAL = ("large", "deal", "block", "part")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (band, node, label, asks) in groups of bounded size where each asking member meets each member of its bucket once.
+
+    Small buckets share a group; of a large one, every block of members meets every part of the asking ones.
+    """
+    rows = members.count()
+    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"), F.greatest(F.lit(1).cast("long"), F.ceil(F.count_if("asks") / BLOCK).cast("long")).alias("parts"))
+    one = F.lit(1).cast("long")
+    large = (F.col("blocks") > 1) | (F.col("parts") > 1)
+    placed = members.join(sizes, "band").withColumn("large", large).withColumn("deal", F.when(large, F.col("band")).otherwise(F.pmod("band", F.lit(1 + rows // (4 * BLOCK)))))
+    spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n)
+    whole = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - one))
+    own = ["large", "deal", "band", "node", "label"]
+    fixed = placed.select(*own, spread(F.col("blocks"), 1).alias("block"), whole(F.col("parts")).alias("part"), F.lit(False).alias("asks"))
+    asking = placed.where("asks").select(*own, whole(F.col("blocks")).alias("block"), spread(F.col("parts"), 2).alias("part"), F.lit(True).alias("asks"))
+    return fixed.union(asking)
+
+
+def _by_band(group: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, pd.DataFrame]]:
+    """Each band of a group with its asking and its fixed members."""
+    for band, rows in group.groupby("band", sort=True):
+        asking = rows[rows.asks]
+        if len(asking):
+            yield band, asking, rows[~rows.asks]
+
+
+def _closest(group: pd.DataFrame) -> pd.DataFrame:
+    """Each asking member's TRIED closest members of other components, as far as their sketches are close, and whether there are more."""
+    out = []
+    names = [f"s{i}" for i in range(SKETCH_LONGS)]
+    for band, asking, fixed in _by_band(group):
+        bits, label, node = (fixed[names].to_numpy(np.int64).view(np.uint64), fixed.label.to_numpy(), fixed.node.to_numpy())
+        for own, mine, u in zip(asking[names].to_numpy(np.int64).view(np.uint64), asking.label, asking.node, strict=True):
+            far = np.where(label == mine, MOST_BITS + 1, np.bitwise_count(bits ^ own).sum(axis=1))
+            near = np.flatnonzero(far <= MOST_BITS)
+            best = near[np.lexsort((node[near], far[near]))][:TRIED]
+            out += [(band, u, node[v], len(near) > TRIED) for v in best]
+    return pd.DataFrame(out, columns=["band", "u", "v", "more"]).astype({"band": "int64", "u": "int64", "v": "int64", "more": "bool"})
+
+
+def _all_links(group: pd.DataFrame) -> pd.DataFrame:
+    """For each asking member one link, if there is any, to each other component among the fixed members."""
+    out = []
+    for _, asking, fixed in _by_band(group):
+        sets = [s for piece in K.pieces(pa.array(fixed.text, pa.large_string())) for s in shingle_sets(piece)]
+        size = np.array([len(s) for s in sets])
+        codes, place = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        label, node = fixed.label.to_numpy(), fixed.node.to_numpy()
+        asked = (s for piece in K.pieces(pa.array(asking.text, pa.large_string())) for s in shingle_sets(piece))
+        for u, mine, own in zip(asking.node, asking.label, asked, strict=True):
+            both = np.add.reduceat(np.isin(codes, own, assume_unique=True)[place].astype(np.int64), begin)
+            linked = np.flatnonzero((label != mine) & (100 * both >= PERCENT * (size + len(own) - both)))
+            _, first = np.unique(label[linked], return_index=True)
+            out += [(u, node[v]) for v in linked[first]]
+    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -207,12 +252,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     signatures = stored(texts.mapInArrow(_signatures, SIGNATURE), "signatures")
     groups = _Groups(texts, signatures)
-    members = groups.buckets
-    for _ in range(STAR_ROUNDS):
-        groups.star(members)
-        members = groups.left(members)
-    if not members.isEmpty():
-        groups.blocks(members)
+    groups.star()
+    groups.nearby()
     classes = groups.labelled(groups.classes, "node", "component")
     own = signatures.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", "component"), ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
