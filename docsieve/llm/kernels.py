@@ -162,3 +162,56 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over each document's slice."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+_LETTER[0x80:] = True
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z and the capitals U+00C0-U+00DE made small."""
+    out = LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capitals = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    out[capitals] += 0x20
+    return out
+
+
+def letter_runs(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Runs of letters (a-z and all bytes of other scripts) of folded text as words."""
+    start, end = spans(_LETTER[data], offsets)
+    return Words(run_codes(data, start, end), start, end, np.searchsorted(start, offsets))
+
+
+def prefix_codes(data: np.ndarray, found: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the first ``n`` bytes of the words longer than that, and those words' places."""
+    longer = np.flatnonzero(found.end - found.start > n)
+    return mix(run_codes(data, found.start[longer], found.start[longer] + n) + np.uint64(n)), longer
+
+
+class Slots:
+    """Places of some 64-bit codes, looked up through a direct-address table."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.asarray(codes, np.uint64)
+        self.bits = max(8, int(2 * len(self.codes)).bit_length() + 3)
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.rest: dict[int, int] = {}
+        for i, place in enumerate((self.codes >> np.uint64(64 - self.bits)).tolist()):
+            if self.table[place] < 0:
+                self.table[place] = i
+            else:
+                self.rest[int(self.codes[i])] = i
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code, -1 for others."""
+        if not len(self.codes):
+            return np.full(len(codes), -1, np.int32)
+        place = self.table[codes >> np.uint64(64 - self.bits)]
+        hit = (place >= 0) & (self.codes[place] == codes)
+        if self.rest:
+            for i in np.flatnonzero(~hit & (place >= 0)):
+                place[i] = self.rest.get(int(codes[i]), -1)
+                hit[i] = place[i] >= 0
+        return np.where(hit, place, -1)

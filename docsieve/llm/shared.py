@@ -7,6 +7,8 @@ import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, n0: int, n1: int) -> tuple[pa.Table, float]:
+    """Texts and labels of at most ``n0`` and ``n1`` rows of label 0 and 1, and the share of label 1 among all.
+
+    ``known`` (doc_id, label) is reduced to the ids of least hash before it meets
+    the texts, so the driver gets no more rows than asked for (more only where
+    an id has several texts), sorted by id.
+    """
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    count, ones = known.agg(F.count(F.lit(1)), F.sum("label")).first()
+    ids = []
+    for label, n in ((0, n0), (1, n1)):
+        ids += [(r.doc_id, label) for r in known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+    chosen = docs.sparkSession.createDataFrame(ids, "id long, label int")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    found = texts.join(F.broadcast(chosen), texts.doc_id == chosen.id).select("doc_id", "text", "label").toArrow()
+    return found.sort_by([("doc_id", "ascending")]), (ones or 0) / max(1, count)
