@@ -37,6 +37,8 @@ MIN_DOCS = 3
 MAX_VOTERS = 400
 MIN_G2 = 15.0
 MAX_FEATURES = 2048
+#: Correlation given the class from which voters count as saying the same.
+COMPANY = 0.5
 PATTERN_CUTS = (0.5, 0.01, 0.02)
 SCHEMA = "doc_id long, score double, predicted int"
 
@@ -112,7 +114,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds:
     left = votes - both @ rates.T
     scale = np.sqrt(np.maximum((left**2).sum(axis=0), 1e-9))
     correlations = (left.T @ left) / np.outer(scale, scale)
-    weights = 1 / np.maximum(1.0, np.where(correlations > 0.1, correlations, 0).sum(axis=1))
+    weights = 1 / np.maximum(1.0, np.where(correlations > COMPANY, correlations, 0).sum(axis=1))
     model, _ = em(weights, posterior)
     return model, correlations
 
@@ -121,8 +123,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, rounds: in
     """Weights and intercept of a logistic model of soft labels ``y``, by Adam on the whole sample."""
     w, first, second = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-        g = np.append(x.T @ (p - y) / len(y) + penalty * w[:-1], (p - y).mean())
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -30, 30)))
+        g = np.append((p - y).astype(x.dtype) @ x / len(y) + penalty * w[:-1], (p - y).mean())
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -161,10 +163,13 @@ def fit(texts: pa.Array, toxic: np.ndarray, toxic_share: float) -> Model:
         shares.append(patterns(piece))
     code, doc, share = np.concatenate(codes), np.concatenate(docs), np.concatenate(shares)
     vocabulary, term = np.unique(code, return_inverse=True)
-    # near copies would give the terms of one text many voices: texts count by the company of their least term
-    least = np.full(len(toxic), np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(least, doc, K.mix(code))
-    _, same, times = np.unique(least, return_inverse=True, return_counts=True)
+    # near copies would give the terms of one text many voices: texts with the same few MinHash values share one
+    alike = np.zeros(len(toxic), np.uint64)
+    for salt in K.splitmix(4, 53):
+        least = np.full(len(toxic), np.uint64(0xFFFFFFFFFFFFFFFF))
+        np.minimum.at(least, doc, K.mix(code ^ salt))
+        alike = K.mix(alike + least)
+    _, same, times = np.unique(alike, return_inverse=True, return_counts=True)
     voice = 1 / times[same]
     a = np.bincount(term, (toxic * voice)[doc], len(vocabulary))
     b = np.bincount(term, ((1 - toxic) * voice)[doc], len(vocabulary))
@@ -179,7 +184,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, toxic_share: float) -> Model:
     known = column[term] >= 0
     presence[doc[known], column[term[known]]] = 1
     votes = np.concatenate([presence[:, column[voters]], (share > PATTERN_CUTS).astype(np.float32), toxic[:, None].astype(np.float32)], axis=1)
-    start = np.where(votes[:, : len(voters)].any(axis=1) | (toxic > 0), 0.8, 0.05)
+    start = np.where(toxic > 0, 0.9, np.where(votes[:, : len(voters)].sum(axis=1) > 1, 0.3, 0.05))
     label_model, _ = fit_label_model(votes, start, n1 / (n1 + n0))
     weights, intercept = fit_logistic(np.concatenate([presence, share.astype(np.float32)], axis=1), label_model.posterior(votes))
     shift = np.log(max(toxic_share, 1e-6) / max(1 - toxic_share, 1e-6)) - np.log(n1 / n0)
