@@ -21,6 +21,8 @@ gives no pieces.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,6 +49,13 @@ CACHED_WORDS = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 as itself, the others in order from U+0100."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class WordBpe:
     """Ids of the word-end BPE file as little-endian 16-bit bytes, word by word with a bounded cache.
 
@@ -55,37 +64,44 @@ class WordBpe:
     neighbours. Texts below U+0250 need no normaliser but lower().
     """
 
-    _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^\t-\r \x85{space}{in_letter}{in_number}]+"
+    _PARTS = r"{letter}+|'(?:s|t|re|ve|m|ll|d)|{number}|[^\t-\r \x85{space}{in_letter}{in_number}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        low_letters, low_numbers = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-        self.low = regex.compile(self._PARTS.format(letter=f"[{low_letters}]", number=f"[{low_numbers}]", space="\xa0", in_letter=low_letters, in_number=low_numbers))
+        self.letters = _byte_letters()
+        low_letters, low_numbers = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+        self.low = re.compile(self._PARTS.format(letter=f"[{low_letters}]", number=f"[{low_numbers}]", space="\xa0", in_letter=low_letters, in_number=low_numbers))
+        self.ascii = re.compile(self._PARTS.format(letter="[a-z]", number="[0-9]", space="", in_letter="a-z", in_number="0-9"))
         self.all = regex.compile(self._PARTS.format(letter=r"\p{L}", number=r"\p{N}", space=r"\p{Z}", in_letter=r"\p{L}", in_number=r"\p{N}"))
-        self.high = regex.compile("[^\x00-ɏ]")
+        self.high = re.compile("[^\x00-ɏ]")
         self.cache: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or not self.high.search(text):
+        if text.isascii():
+            return self.ascii.findall(text.lower())
+        if not self.high.search(text):
             return self.low.findall(text.lower())
         return self.all.findall(self.tokenizer.normalizer.normalize_str(text))
 
+    def word_ids(self, word: str) -> bytes:
+        mapped = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
+        found = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        return struct.pack(f"<{len(found)}H", *found)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self.words(x) if x else [] for x in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        new = [w for w in set().union(*parts) if w not in self.cache]
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(found.ids, "<u2").tobytes()
-        of, end = self.cache.__getitem__, np.array([END], "<u2").tobytes()
-        return [b"".join(map(of, p)) + end for p in parts]
+        out, cache, end = [], self.cache, struct.pack("<H", END)
+        for text in texts:
+            words = self.words(text) if text else []
+            for word in set(words).difference(cache):
+                cache[word] = self.word_ids(word)
+            out.append(b"".join(map(cache.__getitem__, words)) + end)
+            if len(cache) > CACHED_WORDS:
+                cache.clear()
+        return out
 
 
 def _tokenise(path: str):
