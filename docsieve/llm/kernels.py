@@ -215,3 +215,15 @@ class Slots:
                 place[i] = self.rest.get(int(codes[i]), -1)
                 hit[i] = place[i] >= 0
         return np.where(hit, place, -1)
+
+
+def row_filter(verdict, text_at: int):
+    """For mapInArrow: whole rows for which ``verdict(piece)``, a mask over a piece's documents, holds."""
+
+    def run(batches):
+        for batch in batches:
+            masks = [verdict(piece) for piece in pieces(batch.column(text_at))]
+            if masks:
+                yield batch.filter(pa.array(np.concatenate(masks)))
+
+    return run

@@ -211,6 +211,12 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, text: str = "text"
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def keep(docs: DataFrame, vectors: np.ndarray, net: Network, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the network accepts."""
+    index = index_vectors()
+    return docs.mapInArrow(K.row_filter(lambda piece: net.probabilities(pooled(piece, vectors, index)) >= ACCEPT, docs.columns.index(text)), docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted); labels are learned where crc32(doc_id) mod 4 is not 2."""
     vectors = word_vectors(docs)

@@ -204,6 +204,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not reject."""
+    slots = K.Slots(model.codes)
+    return docs.mapInArrow(K.row_filter(lambda piece: model.scores(piece, slots) < 0.5, docs.columns.index(text)), docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, fold: Column) -> Model:
     """Fits the model on a bounded sample of the rows of ``labels`` for which ``fold`` holds."""
     known = labels.where(fold & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
