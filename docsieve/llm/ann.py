@@ -95,13 +95,13 @@ class Codebooks:
 
 
 def fit(vectors: list[list[float]], n: int) -> Codebooks | None:
-    """Codebooks from sampled vectors, for an index of ``n`` rows: about a dozen rows a cell, 256 centroids at most."""
+    """Codebooks from sampled vectors, for an index of ``n`` rows: a few rows a cell, 256 centroids at most."""
     if not vectors:
         return None
     lengths = [len(v) for v in vectors]
     dim = max(set(lengths), key=lambda d: (lengths.count(d), d))
     x = np.array([v for v in vectors if len(v) == dim], float)
-    k = int(np.clip(2 ** round(np.log2(max(1.0, (n / 6) ** 0.5))), 2, 256))
+    k = int(np.clip(2 ** round(np.log2(max(1.0, (n / 2) ** 0.5))), 2, 256))
     half = (dim + 1) // 2
     return Codebooks(kmeans(x[:, :half], k, 1), kmeans(x[:, half:], k, 2) if dim > half else np.zeros((1, 0)))
 
