@@ -13,6 +13,7 @@ from .lm import lm_scores
 from .neardup import near_duplicates
 from .packing import pack
 from .quality import quality
+from .sentencepiece_fst import round_trip
 from .shared import table
 from .toxicity import toxicity
 
@@ -29,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,5 +58,5 @@ def op10_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_inverted_multi_index, op3_language_id, op5_quality, op6_compression_bands, op7_warc_round_trip, op8_bm25_packing, op9_odd_sketch_near_dups, op10_log_bilinear_lm)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_inverted_multi_index, op3_language_id, op4_sentencepiece_fst, op5_quality, op6_compression_bands, op7_warc_round_trip, op8_bm25_packing, op9_odd_sketch_near_dups, op10_log_bilinear_lm)}
 ORACLE_SQL: dict[str, str] = {"op7_warc_round_trip": warc.ORACLE_SQL}
