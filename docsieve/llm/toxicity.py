@@ -31,14 +31,17 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import labelled_sample, remainder
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 4500
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
 PREFIXES = (4, 5, 6, 7, 8)
 MIN_DOCS = 3
+#: Terms are first counted in this many bits of their code, to drop the rare ones early.
+SKIP_BITS = 22
 MAX_VOTERS = 400
 MIN_G2 = 15.0
 MAX_FEATURES = 2048
 #: Correlation given the class from which voters count as saying the same.
 COMPANY = 0.5
+LABEL_RIGHT = 0.9
 PATTERN_CUTS = (0.5, 0.01, 0.02)
 SCHEMA = "doc_id long, score double, predicted int"
 
@@ -98,12 +101,21 @@ class LabelModel:
 
 
 def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 25) -> tuple[LabelModel, np.ndarray]:
-    """The generative model of ``votes`` (texts x voters) and its voters' correlations given the class."""
+    """The generative model of ``votes`` (texts x voters) and its voters' correlations given the class.
+
+    The vote rates under ``start`` count as much as the texts do, so that the
+    classes stay toxic and clean and do not drift to, say, languages. The last
+    voter is the recorded label, taken to be right in ``LABEL_RIGHT`` of cases at least.
+    """
+    both = np.stack([1 - start, start], axis=1)
+    anchor = (votes.T @ both + 0.1) / (both.sum(axis=0) + 0.2)
 
     def em(weights: np.ndarray, posterior: np.ndarray) -> tuple[LabelModel, np.ndarray]:
         for _ in range(rounds):
             both = np.stack([1 - posterior, posterior], axis=1)
-            rates = np.clip((votes.T @ both + 0.1) / (both.sum(axis=0) + 0.2), 1e-4, 1 - 1e-4)
+            sizes = both.sum(axis=0)
+            rates = np.clip((votes.T @ both + anchor * sizes) / (2 * sizes + 1e-9), 1e-4, 1 - 1e-4)
+            rates[-1] = min(rates[-1, 0], 1 - LABEL_RIGHT), max(rates[-1, 1], LABEL_RIGHT)
             model = LabelModel(rates, weights, prior)
             posterior = model.posterior(votes)
         return model, posterior
@@ -119,7 +131,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds:
     return model, correlations
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 3e-5, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic model of soft labels ``y``, by Adam on the whole sample."""
     w, first, second = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for t in range(1, rounds + 1):
@@ -154,27 +166,39 @@ def fit(texts: pa.Array, toxic: np.ndarray, toxic_share: float) -> Model:
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(3), 30.0 if n1 else -30.0)
-    codes, docs, shares = [], [], []
+    codes, docs, shares, minima = [], [], [], []
+    salts = K.splitmix(4, 53)
+    held = np.zeros(1 << SKIP_BITS, np.int32)
     for piece in K.pieces(texts):
         code, doc = terms(piece)
         _, first = np.unique(K.in_document(code, doc), return_index=True)
-        codes.append(code[first])
-        docs.append(doc[first] + piece.lo)
+        code, doc = code[first], doc[first]
+        least = np.full((len(salts), piece.n), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for row, salt in zip(least, salts, strict=True):
+            np.minimum.at(row, doc, K.mix(code ^ salt))
+        minima.append(least)
+        codes.append(code)
+        docs.append((doc + piece.lo).astype(np.int32))
         shares.append(patterns(piece))
+        held += np.bincount((code >> np.uint64(64 - SKIP_BITS)).astype(np.int64), minlength=len(held)).astype(np.int32)
+    # most terms are in one text alone and can be no voter: they go before the arrays are joined
+    least_docs = min(MIN_DOCS, n1)
+    for i, code in enumerate(codes):
+        often = held[(code >> np.uint64(64 - SKIP_BITS)).astype(np.int64)] >= least_docs
+        codes[i], docs[i] = code[often], docs[i][often]
     code, doc, share = np.concatenate(codes), np.concatenate(docs), np.concatenate(shares)
+    del codes, docs, held
     vocabulary, term = np.unique(code, return_inverse=True)
     # near copies would give the terms of one text many voices: texts with the same few MinHash values share one
     alike = np.zeros(len(toxic), np.uint64)
-    for salt in K.splitmix(4, 53):
-        least = np.full(len(toxic), np.uint64(0xFFFFFFFFFFFFFFFF))
-        np.minimum.at(least, doc, K.mix(code ^ salt))
+    for least in np.concatenate(minima, axis=1):
         alike = K.mix(alike + least)
     _, same, times = np.unique(alike, return_inverse=True, return_counts=True)
     voice = 1 / times[same]
     a = np.bincount(term, (toxic * voice)[doc], len(vocabulary))
     b = np.bincount(term, ((1 - toxic) * voice)[doc], len(vocabulary))
     rank = g2(a, b, (toxic * voice).sum(), ((1 - toxic) * voice).sum())
-    rank[a + b < min(MIN_DOCS, n1)] = 0
+    rank[a + b < least_docs] = 0
     voters = np.argsort(-rank, kind="stable")[:MAX_VOTERS]
     voters = voters[rank[voters] >= MIN_G2] if (rank[voters] >= MIN_G2).any() else voters[:20][rank[voters[:20]] > 0]
     chosen = np.union1d(np.argsort(-np.abs(rank), kind="stable")[:MAX_FEATURES], voters)
