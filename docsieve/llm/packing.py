@@ -56,6 +56,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
+class _Cache(dict):
+    """Makes what it does not hold."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+
 class WordBpe:
     """Ids of the word-end BPE file as little-endian 16-bit bytes, word by word with a bounded cache.
 
@@ -78,7 +90,7 @@ class WordBpe:
         self.ascii = re.compile(self._PARTS.format(letter="[a-z]", number="[0-9]", space="", in_letter="a-z", in_number="0-9"))
         self.all = regex.compile(self._PARTS.format(letter=r"\p{L}", number=r"\p{N}", space=r"\p{Z}", in_letter=r"\p{L}", in_number=r"\p{N}"))
         self.high = re.compile("[^\x00-ɏ]")
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache(self.word_ids)
 
     def words(self, text: str) -> list[str]:
         if text.isascii():
@@ -93,14 +105,11 @@ class WordBpe:
         return struct.pack(f"<{len(found)}H", *found)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out, cache, end = [], self.cache, struct.pack("<H", END)
+        out, of, end = [], self.cache.__getitem__, struct.pack("<H", END)
         for text in texts:
-            words = self.words(text) if text else []
-            for word in set(words).difference(cache):
-                cache[word] = self.word_ids(word)
-            out.append(b"".join(map(cache.__getitem__, words)) + end)
-            if len(cache) > CACHED_WORDS:
-                cache.clear()
+            out.append(b"".join(map(of, self.words(text))) + end if text else end)
+            if len(self.cache) > CACHED_WORDS:
+                self.cache.clear()
         return out
 
 
@@ -117,10 +126,13 @@ def _tokenise(path: str):
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
+    """Documents of each id; under the place after the last id, the number of tokens."""
+    total = np.zeros((1 << 16) + 1, np.int64)
     for batch in batches:
         for raw in batch.column(0):
-            total[np.unique(np.frombuffer(raw.as_buffer(), "<u2"))] += 1
+            ids = np.frombuffer(raw.as_buffer(), "<u2")
+            total[np.unique(ids)] += 1
+            total[-1] += len(ids)
     terms = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(total[terms])], names=["term", "df"])
 
@@ -138,11 +150,12 @@ class Corpus:
 
 def corpus_statistics(tokens: DataFrame) -> tuple[Corpus, int]:
     """The statistics, and the number of tokens."""
-    n, total = tokens.agg(F.count(F.lit(1)), F.sum("n")).first()
     rows = tokens.select("ids").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(1 << 16)
+    df = np.zeros((1 << 16) + 1)
     df[rows["term"].to_numpy()] = rows["df"].to_numpy()
-    return Corpus(np.log1p((n - df + 0.5) / (df + 0.5)), (total or 0) / max(n, 1)), total or 0
+    # every document holds the end id
+    n, total = df[END], int(df[-1])
+    return Corpus(np.log1p((n - df[:-1] + 0.5) / (df[:-1] + 0.5)), total / max(n, 1)), total
 
 
 class Shard:
