@@ -41,7 +41,7 @@ def attacked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ATTACKED = f"SELECT doc_id, {O.sql_overlaid()} AS t FROM documents"
-T, LONG = F.col("t"), "long"
+LONG = "long"
 
 
 def csv(array: Column) -> Column:
@@ -50,36 +50,36 @@ def csv(array: Column) -> Column:
 
 @query(f"WITH d AS ({ATTACKED}) SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(length(part) AS BIGINT) AS n_chars FROM ({O.sql_lines('d')})")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = attacked(spark, sf_dir).select("doc_id", F.posexplode(X.lines(T)).alias("i", "part"))
+    rows = attacked(spark, sf_dir).select("doc_id", F.posexplode(X.lines(F.col("t"))).alias("i", "part"))
     return rows.select("doc_id", (F.col("i") + 1).cast(LONG).alias("line"), F.length("part").cast(LONG).alias("n_chars"))
 
 
 @query(f"WITH d AS ({ATTACKED}) SELECT doc_id, md5(regexp_replace(t, '{O.BIDI_SQL}|{O.ZERO_SQL}', '', 'g')) AS digest FROM d")
 def strip_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attacked(spark, sf_dir).select("doc_id", F.md5(X.strip_controls(T)).alias("digest"))
+    return attacked(spark, sf_dir).select("doc_id", F.md5(X.strip_controls(F.col("t"))).alias("digest"))
 
 
 @query(f"WITH d AS ({ATTACKED}) SELECT doc_id, md5({O.sql_plain('t')}) AS digest FROM d WHERE doc_id % 11 <> 4")
 def normalize_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = attacked(spark, sf_dir).where("doc_id % 11 <> 4")
-    return rows.select("doc_id", F.md5(X.drop_controls(T)).alias("digest"))
+    return rows.select("doc_id", F.md5(X.drop_controls(F.col("t"))).alias("digest"))
 
 
 @query(f"WITH d AS ({ATTACKED}) SELECT doc_id, regexp_matches(t, '{O.BIDI_SQL}') AS bidi, regexp_matches(t, '{O.ZERO_SQL}') AS zero_width FROM d")
 def unicode_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = X.anomalies(T)
+    codes = X.anomalies(F.col("t"))
     return attacked(spark, sf_dir).select("doc_id", F.array_contains(codes, "BIDI_CONTROL_CHARACTERS").alias("bidi"), F.array_contains(codes, "ZERO_WIDTH_CHARACTERS").alias("zero_width"))
 
 
 @query(f"WITH d AS ({ATTACKED}) SELECT doc_id, {O.sql_disallowed('t')} AS disallowed FROM d")
 def disallowed_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attacked(spark, sf_dir).select("doc_id", X.has_disallowed(T).alias("disallowed"))
+    return attacked(spark, sf_dir).select("doc_id", X.has_disallowed(F.col("t")).alias("disallowed"))
 
 
 @query(f"WITH d AS ({ATTACKED}) SELECT doc_id, CAST(line AS BIGINT) AS line FROM ({O.sql_lines('d')}) WHERE {O.sql_is_instruction('part')}")
 def instruction_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = F.regexp_replace(T, X.BREAKS, "\n")
-    rows = attacked(spark, sf_dir).where(X.is_instruction(joined)).select("doc_id", F.posexplode(X.lines(T)).alias("i", "part"))
+    joined = F.regexp_replace(F.col("t"), X.BREAKS, "\n")
+    rows = attacked(spark, sf_dir).where(X.is_instruction(joined)).select("doc_id", F.posexplode(X.lines(F.col("t"))).alias("i", "part"))
     return rows.where(X.is_instruction(F.col("part"))).select("doc_id", (F.col("i") + 1).cast(LONG).alias("line"))
 
 
@@ -89,18 +89,18 @@ _TALK = f"SELECT conv_id, turn, {O.sql_overlaid('(conv_id + turn)')} AS t FROM c
 @query(f"WITH d AS ({_TALK}) SELECT conv_id, count(*) AS turns, count(*) FILTER ({O.sql_is_instruction('t')}) AS attacks FROM d GROUP BY conv_id")
 def instruction_findings_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", O.overlaid(F.col("conv_id") + F.col("turn"), F.col("text")).alias("t"))
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(X.is_instruction(T)).alias("attacks"))
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(X.is_instruction(F.col("t"))).alias("attacks"))
 
 
 @query(f"WITH d AS ({ATTACKED}) SELECT doc_id, count(*) AS n_runs, CAST(sum(n) AS BIGINT) AS payload FROM ({O.sql_runs('d')}) GROUP BY doc_id")
 def encoded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = attacked(spark, sf_dir).select("doc_id", F.explode(X.runs(T)).alias("run")).withColumn("n", X.payload(F.col("run")))
+    rows = attacked(spark, sf_dir).select("doc_id", F.explode(X.runs(F.col("t"))).alias("run")).withColumn("n", X.payload(F.col("run")))
     return rows.where(F.col("n") >= X.RUN_LEAST).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("n").cast(LONG).alias("payload"))
 
 
 @query(f"WITH d AS ({ATTACKED}) SELECT doc_id, CAST(rank AS INTEGER) AS risk, count(*) AS n FROM ({O.sql_runs('d')}) WHERE rank IS NOT NULL GROUP BY ALL")
 def encoded_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = attacked(spark, sf_dir).select("doc_id", F.explode(X.run_risks(T)).alias("risk"))
+    rows = attacked(spark, sf_dir).select("doc_id", F.explode(X.run_risks(F.col("t"))).alias("risk"))
     return rows.groupBy("doc_id", "risk").agg(F.count(F.lit(1)).alias("n"))
 
 

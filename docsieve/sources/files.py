@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import stat
+from functools import reduce
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,11 +59,25 @@ def scan_paths(spark: SparkSession, paths: list[str], limits: Limits | None = No
     out = refused.select("path", "name", verdict(findings).alias("result"), F.lit(None).cast("string").alias("derivative"))
     if not may_read:
         return out
-    read = spark.read.format("binaryFile").load([f"file://{os.path.abspath(p)}" for p in may_read])
-    named = read.select(plain_path(F.col("path")).alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    # Spark's file sources pass over names that begin with _ or . : those are opened by path
+    skipped = [p for p in may_read if os.path.basename(p)[0] in "_."]
+    parts = []
+    if seen := [f"file://{os.path.abspath(p)}" for p in may_read if p not in skipped]:
+        parts.append(spark.read.format("binaryFile").load(seen).select(plain_path(F.col("path")).alias("path"), "content"))
+    if skipped:
+        parts.append(spark.createDataFrame([(os.path.abspath(p),) for p in skipped], "path string").select("path", _bytes("path").alias("content")))
+    named = reduce(DataFrame.unionByName, parts).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     return scan(named, limits, adapters).select("path", "name", "result", "derivative").unionByName(out)
 
 
+def _bytes(path: str) -> Column:
+    @F.pandas_udf("binary")
+    def read(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: Path(p).read_bytes())
+
+    return read(path)
+
+
 def inspect(files: DataFrame, limits: Limits | None = None) -> DataFrame:
     """SRC-02: preflight reports of (name, content), nothing parsed."""
     return with_preflight(files, "name", "content", limits or Limits())
