@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.contract import PARSED, Limits
 from . import office, rendered
-from .containers import zip_format
+from .containers import members, zip_format
 from .markdown import markdown_findings
 from .markup import CHECK as HTML_CHECK
 from .markup import html_page
@@ -73,3 +73,19 @@ def deep_kind(content: Column, limits: Limits) -> Column:
             yield pd.DataFrame([(None, None) if c is None else kind(bytes(c)) for c in contents], columns=["format", "evidence"])
 
     return run(content)
+
+
+def member_rows(files: DataFrame, key: str, content: str, limits: Limits) -> DataFrame:
+    """SRC-10: one row a member (key, name, usize, csize, is_dir); containers that fail their checks have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, data in zip(batch[key], batch[content], strict=True):
+                try:
+                    rows += [(k, m.name, m.usize, m.csize, m.is_dir) for m in members(bytes(data or b""), limits, Clock(limits))]
+                except (ValueError, MemoryError, TimeoutError):
+                    continue
+            yield pd.DataFrame(rows, columns=[key, "name", "usize", "csize", "is_dir"])
+
+    return files.select(key, content).mapInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, name string, usize long, csize long, is_dir boolean")

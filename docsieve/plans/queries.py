@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import preflight as P
 from ..functions import text as X
 from ..functions import verdict as V
-from ..operators.parse import parsed
+from ..operators.parse import member_rows, parsed
+from ..streaming.tables import streamed
 from . import overlay as O
 from .contract import EVIDENCE, FAILURES, FLOORS, LOCATION, MARKER, Limits
+from .samples import sample_package
 from .scan import findings_table, scan, scan_text_rows, with_verdict
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,3 +388,47 @@ def scan_files_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scan over named bytes: only .txt with text passes preflight; clean prose is low."""
     clean = named_bytes(spark, sf_dir).withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.encode(F.lit("ordinary report"), "UTF-8")).otherwise(F.col("content")))
     return flat(scan(clean), "doc_id").select("doc_id", "risk_level", "evidence")
+
+
+@query(_FINDINGS + "SELECT doc_id, risk_level, evidence, location, anomalies FROM w")
+def stream_text_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-04 over the documents as a stream; the same plan and the same rows as the batch."""
+    schema = table(spark, sf_dir, "documents").schema
+
+    def plan(docs: DataFrame) -> DataFrame:
+        return flat(with_verdict(scan_text_rows(docs.select("doc_id", O.overlaid(F.col("doc_id"), F.col("text")).alias("t")), "t")), "doc_id")
+
+    return streamed(spark, f"{sf_dir}/documents.parquet*", schema, plan, "text-verdict")
+
+
+def packages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(doc_id, name, content): a made Office file a document, in one of five variants by id."""
+
+    @F.pandas_udf("binary")
+    def make(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda i: sample_package(kind, int(i)))
+
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    return ids.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(f".{kind}")).alias("name"), make("doc_id").alias("content"))
+
+
+_OFFICE_SQL = "SELECT doc_id, v.risk_level, v.anomalies FROM documents JOIN (VALUES (0, 'low', ''), (1, 'quarantine', '{hidden}'), (2, 'quarantine', 'MACRO_CONTENT'), (3, 'quarantine', ''), (4, 'review', 'EXTERNAL_RELATIONSHIP')) AS v(k, risk_level, anomalies) ON doc_id % 5 = v.k"
+
+
+@query(_OFFICE_SQL.format(hidden="DOM_HIDDEN_CONTENT,HIDDEN_XML_TEXT"))
+def scan_docx_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DX-03, OX-01, OX-02, SRC-10 to SRC-15: plain, hidden run, macro, broken part, external link."""
+    return flat(scan(packages(spark, sf_dir, "docx")), "doc_id").select("doc_id", "risk_level", "anomalies")
+
+
+@query(_OFFICE_SQL.format(hidden="DOM_HIDDEN_CONTENT,HIDDEN_ROW"))
+def scan_xlsx_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XL-03 on the same variants."""
+    return flat(scan(packages(spark, sf_dir, "xlsx")), "doc_id").select("doc_id", "risk_level", "anomalies")
+
+
+@query("SELECT doc_id, CAST(CASE doc_id % 5 WHEN 2 THEN 3 WHEN 4 THEN 3 ELSE 2 END AS BIGINT) AS members, CAST(CASE doc_id % 5 WHEN 4 THEN 3 ELSE 2 END AS INTEGER) AS depth FROM documents")
+def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-10 and AGG-04: central-directory members as rows, counted and measured in SQL operators."""
+    rows = member_rows(packages(spark, sf_dir, "docx"), "doc_id", "content", Limits())
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("members"), F.max(P.member_depth(F.col("name"))).alias("depth"))
