@@ -220,6 +220,51 @@ def test_compression_bands(spark, hard):
     assert len(edge) == 10 and {(r.n_words, r.kept, r.ratio) for r in edge if r.doc_id in (1, 2)} == {(0, False, None)}
 
 
+JUNK_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+JUNK_LENGTHS = [300, 600, 850, 1200, 1700, 2400, 3400, 4800, 8000, 20_000]
+
+
+def random_words(rng, letters, size):
+    out = ""
+    while len(out) < size:
+        out += "".join(rng.choice(letters) for _ in range(rng.randint(3, 6))) + " "
+    return out[:size]
+
+
+def test_compression_limits_follow_the_ratios(spark, sf_dir):
+    """Texts just outside the limits of each length class go, the documents that the limits come from stay."""
+    import random
+
+    rng = random.Random(3)
+    docs = table(spark, sf_dir.replace("0.001", "0.01"), "documents").select("doc_id", "text")
+    good = [r.text for r in docs.join(table(spark, sf_dir.replace("0.001", "0.01"), "labels").where("quality = 1"), "doc_id").collect()]
+    plain = lambda size: (" ".join(rng.sample(good, 20)) * (1 + size // 5000))[:size]
+    rows = []
+    for k, size in enumerate(JUNK_LENGTHS):
+        noise = random_words(rng, JUNK_LETTERS, size)
+        base64 = random_words(rng, JUNK_LETTERS + JUNK_LETTERS[:26].upper() + "+/", size)
+        # no three words in a row occur twice often enough for the base rules, yet few words are used
+        few = [random_words(rng, JUNK_LETTERS[:26], 5).strip() for _ in range(10)]
+        repetitive = " ".join(rng.choice(few) for _ in range(size))[:size]
+        rows += [(10**6 + 10 * k, noise), (10**6 + 10 * k + 1, base64), (10**6 + 10 * k + 2, repetitive)]
+    long = plain(30_000)
+    rows += [(2 * 10**6, long[:24_000] + random_words(rng, JUNK_LETTERS, 6000)), (2 * 10**6 + 1, plain(1500) + random_words(rng, JUNK_LETTERS, 1000))]
+    got = {r.doc_id: r for r in compression.compression_rules(docs.union(spark.createDataFrame(rows, docs.schema))).collect()}
+    assert [i for i, _ in rows if got[i].kept] == []
+    labels = {r.doc_id: r.quality for r in table(spark, sf_dir.replace("0.001", "0.01"), "labels").collect()}
+    passing = lambda q: [got[i].kept for i, v in labels.items() if v == q and not got[i].base_failed]
+    assert np.mean(passing(1)) > 0.95 and np.mean(passing(0)) < 0.6
+
+
+def test_compression_limits_by_class():
+    counts = {compression.code(False, 3000, r / 1000): 10 for r in range(430, 531)}
+    own = compression.limits(counts)
+    c = compression.length_class(3000)
+    assert own[0, c].round(2).tolist() == [0.37, 0.61]
+    assert own[0, c + 1].round(2).tolist() == [0.22, 0.61] and own[0, c - 1, 0].round(2) == 0.37
+    assert compression.limits({})[0, c].tolist() == [0.22, 0.56]
+
+
 # op7
 
 
