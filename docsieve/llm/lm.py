@@ -1,21 +1,29 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
-Words (ASCII lower case, then one end token a text) are events of two steps:
-
-* a *symbol*: the end, one of the most frequent training words, or the bucket of
-  a rarer word's last two bytes. The log-bilinear model (Mnih and Hinton, 2007;
-  Mnih and Teh, 2012) predicts a symbol from the ``CONTEXT`` before it: position
-  weights scale their vectors, the sum meets every symbol's vector in a matrix
-  product, and a softmax over all symbols normalises it;
-* the word inside its bucket, by the base model's smoothed training counts,
+Words (ASCII lower case, then one end token a text) are events of a
+class-factored softmax:
+
+* a *symbol*: the end, one of the most frequent training words, or the class of
+  another word (by its last two bytes, then split by its code). The log-bilinear
+  model (Mnih and Hinton, 2007; Mnih and Teh, 2012) predicts a symbol from the
+  ``CONTEXT`` before it: position weights scale the vectors of the words there,
+  the sum meets every symbol's vector in a matrix product, and a softmax over
+  all symbols normalises it;
+* the word inside its class: the same sum meets the vectors of the class's
+  *trained* words and of one event for its rare words, under a second softmax.
+  A word is trained, with vectors of its own as context and as target, if it
+  occurs in the training texts at least ``TRAINED`` times, or root(tokens) /
+  ``ROOT`` times if that is more: the vocabulary has no greatest size, it grows
+  with the corpus about as its root, so it fits a task, and so do the classes;
+* a rare word inside its class, by the base model's smoothed training counts,
   where one share stands for all unknown words. So a text's probabilities are
   normalised over the same events as the base score's.
 
 Counts cover all training texts. Training starts on the driver from a bounded
 sample and then runs over *every* training text: each task improves the model on
-its own tokens, and the tasks' parameters are averaged by tokens, ``ROUNDS``
-times. The most frequent ``FREQUENT`` counts are broadcast (a bounded table);
-rarer words meet theirs in a join, where no key is hot.
+its own tokens, and each vector is averaged over the tasks that met it, by how
+often they did, ``ROUNDS`` times. The most frequent ``FREQUENT`` counts, and those of all trained words,
+are broadcast; rarer words meet theirs in a join, where no key is hot.
 
 Word identity is a 64-bit code. Null and empty texts are the end alone. With no
 training text every count is 0 and every symbol equally likely.
@@ -24,7 +32,7 @@ training text every count is 0 and every symbol equally likely.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +47,8 @@ HEAD, BUCKETS = 191, 64
 SYMBOLS = 1 + HEAD + BUCKETS
 DIM = 24
 CONTEXT = 4
-NOISE = 64
+NOISE, INNER_NOISE = 64, 8
+TRAINED, ROOT = 20, 100
 BATCH = 2048
 ROUNDS = 1
 WARM_TEXTS, WARM_EPOCHS = 400, 4
@@ -60,115 +69,199 @@ def tokens(piece: K.Piece) -> tuple[np.ndarray, np.ndarray, K.Words]:
 
 @dataclass
 class Vocabulary:
-    """Training counts: of all tokens, end tokens, frequent words, and by bucket of words that are no symbol."""
+    """Training counts: of all tokens, end tokens, frequent words, symbols, and by class of words that are not trained.
+
+    The first ``HEAD`` codes are symbols, those from there to ``trained`` words with vectors in their class.
+    Inside the classes, each event has a row: class by class its rare words, then its trained words.
+    """
 
     total: int
     distinct: int
     ends: int
     codes: np.ndarray
     counts: np.ndarray
+    trained: int
+    all_words: bool
+    split: int
     symbol_counts: np.ndarray
-    bucket_distinct: np.ndarray
+    rare_counts: np.ndarray
+    rare_distinct: np.ndarray
+    event: np.ndarray
+    event_counts: np.ndarray
+    first_event: np.ndarray
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + ALPHA) / (self.total + ALPHA * (self.distinct + 1)))
 
-    def in_bucket(self, counts: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        return np.log10((counts + ALPHA) / (self.symbol_counts[1 + HEAD + bucket] + ALPHA * (self.bucket_distinct[bucket] + 1)))
+    def among_rare(self, counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return np.log10((counts + ALPHA) / (self.rare_counts[own] + ALPHA * (self.rare_distinct[own] + 1)))
+
+    def classes(self, codes: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        return buckets * self.split + ((codes >> np.uint64(40)) % np.uint64(self.split)).astype(np.int64)
+
+    @property
+    def light(self) -> Vocabulary:
+        """What training needs."""
+        return replace(self, codes=self.codes[: self.trained], counts=self.counts[: self.trained])
 
 
-def symbols(codes: np.ndarray, buckets: np.ndarray, first: np.ndarray, heads: K.Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' symbols with their ends, their contexts (tokens x CONTEXT, nearest first), and where texts begin."""
+def symbols(codes: np.ndarray, own: np.ndarray, first: np.ndarray, slots: K.Slots, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' symbols with their ends, their events inside classes (-1 for none), the contexts (tokens x CONTEXT, nearest first), and where texts begin."""
     n = len(first) - 1
-    head = heads.find(codes)
+    place = slots.find(codes)
     begin = first + np.arange(n + 1)
-    out = np.zeros(begin[-1], np.int64)
+    out, event = np.zeros(begin[-1], np.int64), np.full(begin[-1], -1)
     word = np.ones(begin[-1], bool)
     word[begin[1:] - 1] = False
-    out[word] = np.where(head >= 0, 1 + head, 1 + HEAD + buckets)
+    head = (place >= 0) & (place < HEAD)
+    out[word] = np.where(head, 1 + place, 1 + HEAD + own)
+    inner = words.first_event[own]
+    trained = place >= HEAD
+    inner[trained] = words.event[place[trained] - HEAD]
+    event[word] = np.where(head, -1, inner)
+    source = np.where(event >= 0, 1 + HEAD + event, out)
     place = np.arange(begin[-1]) - np.repeat(begin[:-1], np.diff(begin))
     context = np.zeros((len(out), CONTEXT), np.int64)
     for k in range(CONTEXT):
-        context[k + 1 :, k] = out[: -k - 1]
+        context[k + 1 :, k] = source[: -k - 1]
         context[place <= k, k] = 0
-    return out, context, begin
+    return out, event, context, begin
+
+
+@dataclass
+class Noise:
+    """Shares of the symbols, and of the events inside each class: ``first[c]`` to ``first[c + 1]`` are those of class c."""
+
+    symbol: np.ndarray
+    event: np.ndarray
+    first: np.ndarray
+
+    def __post_init__(self):
+        self.upto = np.cumsum(self.symbol)
+        self.event_upto = np.concatenate([[0.0], np.cumsum(self.event)])
+        self.log_event = np.log(self.event).astype(np.float32)
 
 
 @dataclass
 class Bilinear:
-    """Symbol vectors as context and as target, position weights and target biases."""
+    """Vectors of words as context, of symbols and of events inside classes as targets, position weights and target biases."""
 
     source: np.ndarray
     target: np.ndarray
     position: np.ndarray
     bias: np.ndarray
+    inner: np.ndarray
+    inner_bias: np.ndarray
+    first: np.ndarray
     squares: list[np.ndarray] = field(default_factory=list)
+    met: list[np.ndarray] = field(default_factory=list)
 
     @staticmethod
-    def fresh(noise: np.ndarray) -> Bilinear:
+    def fresh(noise: np.ndarray, event: np.ndarray | None = None, first: np.ndarray | None = None) -> Bilinear:
+        """For the shares of the symbols and of the events in their classes; without these, a class has its rare words alone."""
+        if event is None:
+            first = np.arange(len(noise) - HEAD)
+            event = np.ones(len(noise) - 1 - HEAD)
         rng = np.random.default_rng(17)
-        draw = lambda: rng.normal(0, 0.1, (SYMBOLS, DIM)).astype(np.float32)
-        return Bilinear(draw(), draw(), np.full((CONTEXT, DIM), 0.5, np.float32), np.log(noise).astype(np.float32))
+        draw = lambda n: rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
+        return Bilinear(draw(1 + HEAD + len(event)), draw(len(noise)), np.full((CONTEXT, DIM), 0.5, np.float32), np.log(noise).astype(np.float32), draw(len(event)), np.log(event).astype(np.float32), first)
 
     @property
     def parts(self) -> list[np.ndarray]:
-        return [self.source, self.target, self.position, self.bias]
+        return [self.source, self.target, self.position, self.bias, self.inner, self.inner_bias]
 
     def copy(self) -> Bilinear:
-        return Bilinear(*(p.copy() for p in self.parts), [s.copy() for s in self.squares])
+        return Bilinear(*(p.copy() for p in self.parts), self.first, [s.copy() for s in self.squares])
 
-    def log_probabilities(self, out: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """log10 of the normalised probability of each symbol of ``out``."""
-        moved = [self.source * w for w in self.position]
+    def log_probabilities(self, out: np.ndarray, context: np.ndarray, event: np.ndarray | None = None) -> np.ndarray:
+        """log10 of the normalised probability of each symbol of ``out``, and of its ``event`` inside the class."""
+        q = np.empty((len(out), DIM), np.float32)
         found = np.empty(len(out))
         for at in range(0, len(out), 4096):
             rows = slice(at, at + 4096)
-            q = sum(moved[k][context[rows, k]] for k in range(CONTEXT))
-            logits = q @ self.target.T + self.bias
-            own = logits[np.arange(len(logits)), out[rows]].astype(np.float64)
-            top = logits.max(axis=1, keepdims=True)
-            found[rows] = own - top[:, 0] - np.log(np.exp(logits - top).sum(axis=1, dtype=np.float64))
+            q[rows] = sum(self.source[context[rows, k]] * self.position[k] for k in range(CONTEXT))
+            found[rows] = _chosen(q[rows] @ self.target.T + self.bias, out[rows])
+        if event is not None:
+            rows = np.flatnonzero(event >= 0)
+            rows = rows[np.argsort(out[rows], kind="stable")]
+            edges = np.searchsorted(out[rows], 1 + HEAD + np.arange(len(self.first)))
+            for c in np.flatnonzero(np.diff(edges)):
+                a, b = self.first[c], self.first[c + 1]
+                if b - a > 1:
+                    for at in range(edges[c], edges[c + 1], 4096):
+                        some = rows[at : min(at + 4096, edges[c + 1])]
+                        found[some] += _chosen(q[some] @ self.inner[a:b].T + self.inner_bias[a:b], event[some] - a)
         return found / np.log(10)
 
-    def learn(self, out: np.ndarray, context: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
-        """One noise-contrastive step (AdaGrad) on some tokens; the noise draws serve the whole batch."""
+    def learn(self, out: np.ndarray, event: np.ndarray, context: np.ndarray, noise: Noise, rng: np.random.Generator) -> None:
+        """One noise-contrastive step (AdaGrad) on some tokens: symbols against draws that serve the whole batch, words against words of their class."""
         n = len(out)
-        drawn = np.searchsorted(np.cumsum(noise), rng.random(NOISE) * noise.sum())
-        drawn = np.minimum(drawn, SYMBOLS - 1)
+        drawn = np.minimum(np.searchsorted(noise.upto, rng.random(NOISE) * noise.upto[-1]), len(noise.symbol) - 1)
         seen = self.source[context]
         q = (seen * self.position).sum(axis=1)
         wanted = self.target[out]
-        log_k = np.log(NOISE * noise).astype(np.float32)
-        yes = (q * wanted).sum(axis=1) + self.bias[out] - log_k[out]
-        no = q @ self.target[drawn].T + self.bias[drawn] - log_k[drawn]
-        g_yes = 1 / (1 + np.exp(-np.clip(yes, -30, 30))) - 1
-        g_no = 1 / (1 + np.exp(-np.clip(no, -30, 30)))
+        log_k = np.log(NOISE * noise.symbol).astype(np.float32)
+        g_yes = _slope((q * wanted).sum(axis=1) + self.bias[out] - log_k[out]) - 1
+        g_no = _slope(q @ self.target[drawn].T + self.bias[drawn] - log_k[drawn])
         dq = g_yes[:, None] * wanted + g_no @ self.target[drawn]
-        gradient = [np.zeros_like(p) for p in self.parts]
-        _scatter(gradient[1], out, g_yes[:, None] * q)
-        np.add.at(gradient[1], drawn, g_no.T @ q)
-        _scatter(gradient[0], context.ravel(), (dq[:, None, :] * self.position).reshape(-1, DIM))
-        gradient[2] += (dq[:, None, :] * seen).sum(axis=0)
-        gradient[3] += np.bincount(out, g_yes, SYMBOLS).astype(np.float32)
-        np.add.at(gradient[3], drawn, g_no.sum(axis=0))
+        inside = np.flatnonzero(event >= 0)
+        own = out[inside] - 1 - HEAD
+        inside = inside[self.first[own + 1] - self.first[own] > 1]
+        steps = []
+        if len(inside):
+            own, word, q_in = out[inside] - 1 - HEAD, event[inside], q[inside]
+            low, high = noise.event_upto[self.first[own]], noise.event_upto[self.first[own + 1]]
+            others = np.searchsorted(noise.event_upto, low[:, None] + rng.random((len(own), INNER_NOISE)) * (high - low)[:, None], "right") - 1
+            others = np.clip(others, self.first[own][:, None], self.first[own + 1][:, None] - 1)
+            rows = np.concatenate([word[:, None], others], axis=1)
+            vectors = self.inner[rows]
+            log_in = np.log(INNER_NOISE) + noise.log_event[rows]
+            slope = _slope(np.einsum("nkd,nd->nk", vectors, q_in) + self.inner_bias[rows] - log_in).astype(np.float32)
+            slope[:, 0] -= 1
+            dq[inside] += np.einsum("nk,nkd->nd", slope, vectors)
+            flat = rows.ravel()
+            steps = [(4, flat, (slope[:, :, None] * q_in[:, None, :]).reshape(-1, DIM)), (5, flat, slope.ravel())]
+        steps += [
+            (1, np.concatenate([out, drawn]), np.concatenate([g_yes[:, None] * q, g_no.T @ q])),
+            (0, context.ravel(), (dq[:, None, :] * self.position).reshape(-1, DIM)),
+            (2, np.arange(CONTEXT), (dq[:, None, :] * seen).sum(axis=0)),
+            (3, np.concatenate([out, drawn]), np.concatenate([g_yes, g_no.sum(axis=0)])),
+        ]
         if not self.squares:
             self.squares = [np.full_like(p, 1e-4) for p in self.parts]
-        for p, s, g in zip(self.parts, self.squares, gradient, strict=True):
-            g /= n
-            s += g * g
-            p -= RATE * g / np.sqrt(s)
-
-    def train(self, out: np.ndarray, context: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
+        if not self.met:
+            self.met = [np.zeros(len(p), np.int64) for p in self.parts]
+        for i, rows, values in steps:
+            own, g = _summed(rows, values)
+            g = g / n
+            self.met[i][own] += 1
+            square = self.squares[i][own] + g * g
+            self.squares[i][own] = square
+            self.parts[i][own] -= RATE * g / np.sqrt(square)
+
+    def train(self, out: np.ndarray, event: np.ndarray, context: np.ndarray, noise: Noise, rng: np.random.Generator) -> None:
         order = rng.permutation(len(out))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            self.learn(out[rows], context[rows], noise, rng)
+            self.learn(out[rows], event[rows], context[rows], noise, rng)
+
+
+def _slope(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _scatter(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+def _chosen(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The log softmax of one column a row."""
+    own = logits[np.arange(len(logits)), column].astype(np.float64)
+    top = logits.max(axis=1, keepdims=True)
+    return own - top[:, 0] - np.log(np.exp(logits - top).sum(axis=1, dtype=np.float64))
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and each one's sum of values."""
     order = np.argsort(rows, kind="stable")
     own, begin = np.unique(rows[order], return_index=True)
-    total[own] += np.add.reduceat(values[order], begin, axis=0)
+    return own, np.add.reduceat(values[order], begin, axis=0)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,88 +295,134 @@ def vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """The counts of the training ``texts``, and the table (code, bucket, n) of all their words."""
     counts = stored(texts.select("text").mapInArrow(_count, "code long, bucket long, n long").groupBy("code").agg(F.first("bucket").alias("bucket"), F.sum("n").alias("n")), "counts")
     ends = texts.count()
-    top = counts.orderBy(F.desc("n"), "code").limit(FREQUENT).toArrow()
-    codes, n = top["code"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    by_bucket = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    symbol, distinct = np.zeros(SYMBOLS), np.zeros(BUCKETS)
-    total, words = ends, 0
-    for row in by_bucket:
-        symbol[1 + HEAD + row.bucket] = row.n
-        distinct[row.bucket] = row.v
-        total += row.n
-        words += row.v
+    distinct, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    total += ends
+    often = counts.where(F.col("n") >= max(TRAINED, int(np.ceil(total**0.5 / ROOT)))).count()
+    top = counts.orderBy(F.desc("n"), "code").limit(max(FREQUENT, often)).toArrow()
+    codes, n, bucket = top["code"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["bucket"].to_numpy()
+    trained = min(len(codes), max(HEAD, often))
+    split = 1 << max(0, round(np.log2(max(1.0, trained**0.5 / BUCKETS))))
+    size = BUCKETS * split
+    in_class = (F.col("bucket") * split + F.pmod(F.shiftrightunsigned("code", 40), F.lit(split))).cast("long")
+    symbol, rare, rare_distinct = np.zeros(1 + HEAD + size), np.zeros(size), np.zeros(size)
+    for row in counts.groupBy(in_class.alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        rare[row["class"]] = row.n
+        rare_distinct[row["class"]] = row.v
+    words = Vocabulary(total, distinct + (ends > 0), ends, codes, n, trained, len(codes) == distinct, split, symbol, rare, rare_distinct, *(np.zeros(0, np.int64) for _ in range(3)))
+    own = words.classes(codes[:trained], bucket[:trained])
+    np.subtract.at(rare, own[:HEAD], n[: min(HEAD, trained)])
     symbol[0] = ends
     symbol[1 : 1 + len(n[:HEAD])] = n[:HEAD]
-    np.subtract.at(symbol, 1 + HEAD + top["bucket"].to_numpy()[:HEAD], n[:HEAD])
-    np.subtract.at(distinct, top["bucket"].to_numpy()[:HEAD], 1)
-    return Vocabulary(total, words + (ends > 0), ends, codes, n, symbol, distinct), counts
+    symbol[1 + HEAD :] = rare
+    np.subtract.at(rare, own[HEAD:], n[HEAD:trained])
+    np.subtract.at(rare_distinct, own, 1)
+    members = np.bincount(own[HEAD:], minlength=size)
+    words.first_event = np.concatenate([[0], np.cumsum(members + 1)])
+    order = np.argsort(own[HEAD:], kind="stable")
+    words.event = np.empty(len(order), np.int64)
+    # the k-th trained word by class stands behind k others and the rare events of the classes up to its own
+    words.event[order] = np.arange(len(order)) + own[HEAD:][order] + 1
+    words.event_counts = np.empty(words.first_event[-1])
+    words.event_counts[words.first_event[:-1]] = rare
+    words.event_counts[words.event] = n[HEAD:trained]
+    return words, counts
+
+
+def _noise(words: Vocabulary) -> Noise:
+    symbol = words.symbol_counts + 0.5
+    event = words.event_counts + 0.5
+    inside = np.add.reduceat(event, words.first_event[:-1])
+    return Noise(symbol / symbol.sum(), event / np.repeat(inside, np.diff(words.first_event)), words.first_event)
+
+
+def _learn_pieces(model: Bilinear, words: Vocabulary, slots: K.Slots, noise: Noise, rng: np.random.Generator, column: pa.Array | pa.ChunkedArray) -> None:
+    for piece in K.pieces(column):
+        code, bucket, found = tokens(piece)
+        out, event, context, _ = symbols(code, words.classes(code, bucket), found.first, slots, words)
+        model.train(out, event, context, noise, rng)
 
 
-def _noise(words: Vocabulary) -> np.ndarray:
-    return (words.symbol_counts + 0.5) / (words.symbol_counts + 0.5).sum()
+VECTORS = "part int, row long, met long, value array<float>"
 
 
-def _improve(model: Bilinear, heads: np.ndarray, noise: np.ndarray):
-    """Each task's parameters after its own texts, as rows weighted by its tokens."""
+def _improve(model: Bilinear, words: Vocabulary, noise: Noise):
+    """The vectors that each task changed on its own texts, with how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, slots, rng, n = model.copy(), K.Slots(heads), np.random.default_rng(19), 0
+        own, slots, rng = model.copy(), K.Slots(words.codes), np.random.default_rng(19)
         for batch in batches:
-            for piece in K.pieces(batch.column(0)):
-                code, bucket, found = tokens(piece)
-                out, context, _ = symbols(code, bucket, found.first, slots)
-                own.train(out, context, noise, rng)
-                n += len(out)
-        if n:
-            flat = np.concatenate([p.ravel() for p in own.parts]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), n))], names=["place", "value", "n"])
+            _learn_pieces(own, words, slots, noise, rng, batch.column(0))
+        for i, (p, met) in enumerate(zip(own.parts, own.met, strict=False)):
+            rows = np.flatnonzero(met)
+            for at in range(0, len(rows), 1 << 16):
+                some = rows[at : at + (1 << 16)]
+                yield _vectors(np.full(len(some), i), some, met[some], p[some].reshape(len(some), -1))
 
     return run
 
 
+def _vectors(part: np.ndarray, row: np.ndarray, met: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    offsets = np.arange(len(row) + 1) * value.shape[1]
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(row, pa.int64()), pa.array(met, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.ravel(), pa.float32()))], names=[f.split()[0] for f in VECTORS.split(", ")])
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of each vector by how often its tasks met it; all rows of one vector are in one partition."""
+    keys: dict[int, np.ndarray] = {}
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        part, row, met = (batch.column(i).to_numpy() for i in range(3))
+        for i in np.unique(part):
+            some = np.flatnonzero(part == i)
+            value = batch.column(3).take(pa.array(some)).flatten().to_numpy().reshape(len(some), -1).astype(np.float64)
+            value = np.concatenate([value * met[some, None], met[some, None]], axis=1)
+            if i in keys:
+                keys[i], sums[i] = _summed(np.concatenate([keys[i], row[some]]), np.concatenate([sums[i], value]))
+            else:
+                keys[i], sums[i] = _summed(row[some], value)
+    for i, rows in keys.items():
+        yield _vectors(np.full(len(rows), i), rows, sums[i][:, -1], sums[i][:, :-1] / sums[i][:, -1:])
+
+
 def train(texts: DataFrame, words: Vocabulary) -> Bilinear:
     """The model after a warm start on a bounded sample and ROUNDS passes over all ``texts``."""
-    noise, heads = _noise(words), words.codes[:HEAD]
-    model, slots, rng = Bilinear.fresh(noise), K.Slots(heads), np.random.default_rng(18)
+    noise, words = _noise(words), words.light
+    model, slots, rng = Bilinear.fresh(noise.symbol, noise.event, noise.first), K.Slots(words.codes), np.random.default_rng(18)
     sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_TEXTS).select("text").toArrow()
     for _ in range(WARM_EPOCHS):
-        for piece in K.pieces(sample["text"]):
-            code, bucket, found = tokens(piece)
-            out, context, _ = symbols(code, bucket, found.first, slots)
-            model.train(out, context, noise, rng)
+        _learn_pieces(model, words, slots, noise, rng, sample["text"])
     for _ in range(ROUNDS):
-        parts = texts.select("text").mapInArrow(_improve(model, heads, noise), "place long, value double, n long")
-        rows = parts.groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
-        flat = np.concatenate([p.ravel() for p in model.parts])
-        flat[rows["place"].to_numpy()] = rows["value"].to_numpy()
-        at = 0
-        for p in model.parts:
-            p[...] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
-    model.squares = []
+        rows = texts.select("text").mapInArrow(_improve(model, words, noise), VECTORS).repartition("part", "row").mapInArrow(_averaged, VECTORS).toArrow()
+        part, row = rows["part"].to_numpy(), rows["row"].to_numpy()
+        for i, p in enumerate(model.parts):
+            some = np.flatnonzero(part == i)
+            if len(some):
+                p[row[some]] = rows["value"].take(pa.array(some)).combine_chunks().flatten().to_numpy().reshape(p[row[some]].shape)
+    model.squares, model.met = [], []
     return model
 
 
-PARTIAL = "row long, doc_id long, n_tokens long, n_known long, base double, model double, tail_code array<long>, tail_bucket array<long>, tail_n array<long>"
+PARTIAL = "row long, doc_id long, n_tokens long, n_known long, base double, model double, tail_code array<long>, tail_class array<long>, tail_n array<long>"
 
 
 def _score(model: Bilinear, words: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context_ = TaskContext.get()
         row = (context_.partitionId() if context_ else 0) << 40
-        heads, frequent = K.Slots(words.codes[:HEAD]), K.Slots(words.codes)
-        base, own_symbol = words.base(words.counts), np.arange(len(words.codes)) < HEAD
+        slots, frequent = K.Slots(words.codes[: words.trained]), K.Slots(words.codes)
+        base, own_event = words.base(words.counts), np.arange(len(words.codes)) < words.trained
         end = words.base(np.array([words.ends]))[0]
         for batch in batches:
             for piece in K.pieces(batch.column(1)):
                 code, bucket, found = tokens(piece)
-                out, context, begin = symbols(code, bucket, found.first, heads)
-                log_p = model.log_probabilities(out, context)
+                own = words.classes(code, bucket)
+                out, event, context, begin = symbols(code, own, found.first, slots, words)
+                log_p = model.log_probabilities(out, context, event)
                 place = frequent.find(code)
                 known = place >= 0
                 extra = np.zeros(len(code))
-                inside = known & ~own_symbol[place] if len(own_symbol) else np.zeros(len(code), bool)
-                extra[inside] = words.in_bucket(words.counts[place[inside]], bucket[inside])
+                inside = known & ~own_event[place] if len(own_event) else np.zeros(len(code), bool)
+                extra[inside] = words.among_rare(words.counts[place[inside]], own[inside])
                 base_known = np.zeros(len(code))
                 base_known[known] = base[place[known]]
                 fold = lambda v: _fold(v, found.first)
@@ -301,7 +440,7 @@ def _score(model: Bilinear, words: Vocabulary):
                     pa.array(fold(base_known) + end),
                     pa.array(np.add.reduceat(log_p, begin[:-1]) + fold(extra)),
                     tail(K.signed(code[~known])),
-                    tail(bucket[~known]),
+                    tail(own[~known]),
                     pa.ListArray.from_arrays(offsets, pa.array(times[order], pa.int64())),
                 ]
                 row += piece.n
@@ -323,14 +462,14 @@ def score(docs: DataFrame, model: Bilinear, words: Vocabulary, counts: DataFrame
     """(doc_id, n_tokens, n_known, base_score, score) for every row of ``docs``."""
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     partial = stored(texts.mapInArrow(_score(model, words), PARTIAL), "partial")
-    tail = partial.select("row", F.explode(F.arrays_zip("tail_code", "tail_bucket", "tail_n")).alias("t")).select("row", F.col("t.tail_code").alias("code"), F.col("t.tail_bucket").alias("bucket"), F.col("t.tail_n").alias("times"))
-    if len(words.codes) < FREQUENT:  # the broadcast table holds every count
+    tail = partial.select("row", F.explode(F.arrays_zip("tail_code", "tail_class", "tail_n")).alias("t")).select("row", F.col("t.tail_code").alias("code"), F.col("t.tail_class").alias("class"), F.col("t.tail_n").alias("times"))
+    if words.all_words:  # the broadcast table holds every count
         found = tail.withColumn("c", F.lit(0).cast("long"))
     else:
         least = int(words.counts[-1])
         rare = counts.where(F.col("n") <= least).select("code", F.col("n").alias("c"))
         found = tail.join(rare, "code", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
-    size = F.element_at(F.array(*(F.lit(float(words.symbol_counts[1 + HEAD + b] + ALPHA * (words.bucket_distinct[b] + 1))) for b in range(BUCKETS))), (F.col("bucket") + 1).cast("int"))
+    size = F.element_at(F.array(*(F.lit(float(n + ALPHA * (v + 1))) for n, v in zip(words.rare_counts, words.rare_distinct, strict=True))), (F.col("class") + 1).cast("int"))
     whole = words.total + ALPHA * (words.distinct + 1)
     sums = found.groupBy("row").agg(
         F.sum(F.col("times") * F.log10((F.col("c") + ALPHA) / F.lit(whole))).alias("b"),

@@ -481,3 +481,28 @@ def test_lm_on_hard_rows(hard):
     assert len(rows) == 10 and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert all(r.score < 0 for r in rows)
     assert lm.lm_scores(hard.limit(0)).count() == 0
+
+
+def test_lm_words_have_vectors_of_their_own(spark, monkeypatch):
+    """Words beyond the most frequent ones, alike in ending and count, are told apart by what stands before them; each context's probabilities sum to 1."""
+    monkeypatch.setattr(lm, "WARM_EPOCHS", 40)
+    rng = np.random.default_rng(5)
+    common = [f"w{i}x" for i in range(lm.HEAD)]
+    pairs = [("red", "kazed"), ("blue", "mozed")]
+    rows = []
+    for i in range(60):
+        own = [w for w in common for _ in range(4)]
+        own += [x for k in rng.integers(0, 2, 6) for x in pairs[k]]
+        blocks = [own[j : j + 2] for j in range(0, len(own), 2)]
+        rows.append((i, " ".join(w for b in rng.permutation(len(blocks)) for w in blocks[b])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, words, counts = lm.language_model(docs)
+    assert words.trained == lm.HEAD + 4 and len(model.source) == len(model.inner) + 1 + lm.HEAD
+    assert min(words.counts[: lm.HEAD]) > max(words.counts[lm.HEAD :])  # none of the pairs' words is a symbol
+    asked = [f"{a} {b}" for a, _ in pairs for _, b in pairs]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, words, counts).collect()}
+    assert got[0] > got[1] + 0.3 and got[3] > got[2] + 0.3
+    out = [np.arange(1 + lm.HEAD)] + [np.full(n, 1 + lm.HEAD + c) for c, n in enumerate(np.diff(words.first_event))]
+    event = np.concatenate([np.full(1 + lm.HEAD, -1), np.arange(words.first_event[-1])])
+    context = rng.integers(0, len(model.source), (1, lm.CONTEXT)).repeat(len(event), axis=0)
+    assert math.isclose((10 ** model.log_probabilities(np.concatenate(out), context, event)).sum(), 1, rel_tol=1e-6)
