@@ -7,9 +7,9 @@ yields in order (the multi-sequence algorithm), until the visited cells hold
 ``PROBE`` of all rows and at least ``LEAST`` of them; all entries of those cells
 are then reranked by the exact distance.
 
-Equal vectors of a cell are one entry with the ``K + 1`` least ids: no further
+Equal vectors of a cell are one entry with the ``K + 1`` least distinct ids: no further
 copy can be among a query's ``K`` nearest, because those copies are as near and
-come first. Entries are dealt by first-half centroid into blocks of bounded
+come first. Repeated rows of an id and a vector count once everywhere. Entries are dealt by first-half centroid into blocks of bounded
 size, queries likewise, and each pair of blocks is one task's matrix product;
 it returns a few rows a query. So neither a hot cell, nor copies, nor the number
 of queries grows what a task holds.
@@ -162,10 +162,19 @@ def _rerank(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         bound = np.partition(far, n - 1, axis=1)[:, n - 1]
         for i, query in enumerate(some.vec_id):
             # all that rounding could bring among the nearest, with exact distances
-            near = np.flatnonzero((far[i] <= bound[i] + 1e-9 * (1 + abs(bound[i]))) & seen[i])
-            exact = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
-            found = sorted((d, v) for d, e in zip(exact, near, strict=True) for v in ids[e] if v != query)
-            out += [(query, v, d) for d, v in found[:K]]
+            wanted, limit = n, bound[i]
+            while True:
+                near = np.flatnonzero((far[i] <= limit + 1e-9 * (1 + abs(limit))) & seen[i])
+                exact = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
+                best: dict[int, float] = {}
+                for d, v in sorted((d, v) for d, e in zip(exact, near, strict=True) for v in ids[e] if v != query):
+                    best.setdefault(v, d)
+                if len(best) >= K or wanted == len(x) or limit == np.inf:
+                    break
+                # several vectors of one id are among the nearest entries: look further
+                wanted = min(4 * wanted, len(x))
+                limit = np.partition(far[i], wanted - 1)[wanted - 1]
+            out += [(query, v, d) for v, d in list(best.items())[:K]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else none
 
 
@@ -173,17 +182,18 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     """(query_id, rank, vec_id, score): the K nearest of every row whose id ``every`` divides."""
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
-    n = rows.count()
+    one = F.xxhash64("vec_id", "v").alias("row")
+    n = rows.select(one).distinct().count()
     sample = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE).select("v").toArrow()["v"].to_pylist()
     books = fit(sample, n)
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == books.dim)
     cells = rows.mapInArrow(_cells(books), "vec_id long, v array<double>, c1 int, c2 int")
-    copy = F.row_number().over(Window.partitionBy("c1", "c2", "v").orderBy("vec_id"))
-    entries = cells.withColumn("copy", copy).where(F.col("copy") <= K + 1).groupBy("c1", "c2", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    copy = F.dense_rank().over(Window.partitionBy("c1", "c2", "v").orderBy("vec_id"))
+    entries = cells.withColumn("copy", copy).where(F.col("copy") <= K + 1).groupBy("c1", "c2", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     sizes = np.zeros((len(books.first), len(books.second)), np.int64)
-    by_cell = cells.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 256 x 256 rows
+    by_cell = cells.select("c1", "c2", one).distinct().groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 256 x 256 rows
     for r in by_cell:
         sizes[r.c1, r.c2] = r.n
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))

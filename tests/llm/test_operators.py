@@ -158,6 +158,22 @@ def test_nearest_on_empty(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in one] == [(0, 1, 1)]
 
 
+def test_nearest_counts_ids_not_rows(spark):
+    """A table unioned with itself has the same neighbours; neither repeated ids nor one id's many vectors hide others."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 6))
+    x[30:50] = x[20]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    ask = lambda rows: sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect())
+    once = ask(rows)
+    assert ask(rows + rows) == once and ask(rows + [rows[30]] * 12) == once
+    # row 5 again, at 30 places close to row 100
+    many = rows + [(5, (x[100] + 1e-3 * k).tolist()) for k in range(1, 31)]
+    got = [r[2] for r in ask(many) if r[0] == 100]
+    far = {i: min(np.linalg.norm(np.array(v) - x[100]) for k, v in many if k == i) for i in range(200) if i != 100}
+    assert got == sorted(far, key=lambda i: (far[i], i))[:10] and got[0] == 5
+
+
 # op4
 
 
