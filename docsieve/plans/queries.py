@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import preflight as P
 from ..functions import text as X
 from ..functions import verdict as V
+from ..operators.guard import EVENT, raw_read_denied
 from ..operators.parse import member_rows, parsed
 from ..streaming.tables import streamed
 from . import overlay as O
@@ -331,6 +332,33 @@ def raw_read_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k,) for k in _PATHS], "command string").select("command", F.col("command").rlike(_GUARD).alias("denied"))
 
 
+#: Calls by id mod 8; the whole text of a document is in each of them. True and False: denied or not, whatever the text.
+_CALLS = {0: None, 1: False, 2: False, 3: True, 4: True, 5: True, 6: True, 7: None}
+_GUARD_SQL = r"(?i)(?:^|[\t-\r\x1c-\x20\x{85}\p{Z}''\"=:/])[^\t-\r\x1c-\x20\x{85}\p{Z}''\"=]*\.(?:txt|md|markdown|html?|docx|pptx|xlsx|pdf|png|jpe?g)(?:$|[\t-\r\x1c-\x20\x{85}\p{Z}''\";,)])"
+
+
+@query("SELECT doc_id, CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {str(v).lower()}" for k, v in _CALLS.items() if v is not None) + f" ELSE regexp_matches(coalesce(text, ''), '{_GUARD_SQL}') END AS denied FROM documents")
+def raw_read_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-05 as a whole: tool calls with whole texts in nested strings, of scanner tools and commands, of a wrong event and malformed."""
+    text = F.coalesce("text", F.lit(""))
+
+    def call(tool: str, given: Column, event: str = EVENT) -> Column:
+        return F.to_json(F.struct(F.lit(event).alias("hook_event_name"), F.lit(tool).alias("tool_name"), given.alias("tool_input")))
+
+    calls = {
+        0: call("Read", F.struct(text.alias("file_path"))),
+        1: call("Bash", F.struct(F.concat(F.lit("document-firewall a.pdf "), text).alias("command"))),
+        2: call("mcp__document-injection-firewall__inspect_file", F.struct(F.concat(text, F.lit(" a.pdf")).alias("path"))),
+        3: call("Edit", F.struct(F.array(F.struct(F.array(F.lit("x"), F.concat(text, F.lit(" a.pdf "))).alias("new"))).alias("edits"))),
+        4: call("Read", F.struct(text.alias("note")), "PostToolUse"),
+        5: text,
+        6: call("Bash", F.struct(F.lit(1).alias("n"), F.concat(text, F.lit(" b.HTML;")).alias("command"))),
+        7: call("Grep", F.struct(F.lit(True).alias("all"), F.array(text).alias("patterns"))),
+    }
+    payload = reduce(lambda out, kv: F.when(F.col("doc_id") % 8 == kv[0], kv[1]).otherwise(out), calls.items(), F.lit(None))
+    return table(spark, sf_dir, "documents").select("doc_id", raw_read_denied(payload).alias("denied"))
+
+
 _PLACES = {"text:line=1": True, "text:line=0": False, "pdf:page=3:object=1": True, "docx:part=core.xml": True, "docx:part=a/b": False, "xlsx:sheet=1:row=2:column=1234567": False, "file:structure": True, "file:other": False}
 
 
