@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import drop_controls, stable
 from ..plans.contract import PARSED, Limits
 from . import office, rendered
 from .containers import members, zip_format
 from .markdown import markdown_findings
 from .markup import CHECK as HTML_CHECK
 from .markup import html_page
-from .rules import Clock, Parsed, decode_text, failed, guarded, plain_text
+from .rules import Clock, Parsed, decode_text, failed, guarded, normalise, plain_text
 
 TEXT_CHECK = "text-patterns"
 
@@ -55,6 +56,17 @@ def parsed(suffix: Column, content: Column, limits: Limits, adapters: rendered.A
     return run(suffix, content)
 
 
+def normalised(text: Column) -> Column:
+    """TXT-02: NFKC without controls; only texts of an unstable alphabet leave the JVM."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(normalise, na_action="ignore")
+
+    is_stable = stable(text)
+    return F.when(is_stable, drop_controls(text)).otherwise(run(F.when(~is_stable, text)))
+
+
 def deep_kind(content: Column, limits: Limits) -> Column:
     """SRC-14, and strict UTF-16, as a struct (format, evidence); null for null content."""
 

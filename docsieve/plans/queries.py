@@ -13,7 +13,7 @@ from ..functions import preflight as P
 from ..functions import text as X
 from ..functions import verdict as V
 from ..operators.guard import EVENT, raw_read_denied
-from ..operators.parse import member_rows, parsed
+from ..operators.parse import member_rows, normalised, parsed
 from ..streaming.tables import streamed
 from . import overlay as O
 from .contract import EVIDENCE, FAILURES, FLOORS, LOCATION, MARKER, Limits
@@ -69,6 +69,12 @@ def normalize_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5(X.drop_controls(F.col("t"))).alias("digest"))
 
 
+@query(f"WITH d AS ({ATTACKED}) SELECT doc_id, md5({O.sql_plain('t')}) AS digest FROM d")
+def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-02 of all documents, NFKC included. The SQL knows of NFKC only what it does to the overlay's characters; tests/test_normalise.py has others."""
+    return attacked(spark, sf_dir).select("doc_id", F.md5(normalised(F.col("t"))).alias("digest"))
+
+
 @query(f"WITH d AS ({ATTACKED}) SELECT doc_id, regexp_matches(t, '{O.BIDI_SQL}') AS bidi, regexp_matches(t, '{O.ZERO_SQL}') AS zero_width FROM d")
 def unicode_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = X.anomalies(F.col("t"))
