@@ -424,6 +424,13 @@ def scan_files_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(scan(clean), "doc_id").select("doc_id", "risk_level", "evidence")
 
 
+@query(_FINDINGS + "SELECT doc_id, risk_level, evidence, location, anomalies FROM w")
+def scan_files_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan over every document's whole attacked text as a .txt file, null texts included."""
+    files = attacked(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.encode("t", "UTF-8").alias("content"))
+    return flat(scan(files), "doc_id")
+
+
 @query(_FINDINGS + "SELECT doc_id, risk_level, evidence, location, anomalies FROM w")
 def stream_text_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-04 over the documents as a stream; the same plan and the same rows as the batch."""
