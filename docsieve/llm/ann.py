@@ -4,8 +4,11 @@ Both halves of the vectors have a codebook of their own (k-means on a bounded
 sample); a pair of centroids is a cell, and every row is indexed in its cell.
 A query visits the centroid pairs by the sum of its two distances, which a heap
 yields in order (the multi-sequence algorithm), until the visited cells hold
-``PROBE`` of all rows and at least ``LEAST`` of them; all entries of those cells
-are then reranked by the exact distance.
+the probed share of all rows; all entries of those cells are then reranked by
+the exact distance. That share is measured on the sample: of ``TRIALS`` rows of
+it, the share that a query had to visit to meet ``WANTED`` of the true nearest
+ones. Where vectors cluster it is small; where all are about equally far apart,
+no index of cells can do with little, and it is about half of the rows.
 
 Equal vectors of a cell are one entry with the ``K + 1`` least distinct ids: no further
 copy can be among a query's ``K`` nearest, because those copies are as near and
@@ -35,8 +38,10 @@ from pyspark.sql import functions as F
 K = 10
 SAMPLE = 16_384
 ROUNDS = 8
-PROBE, LEAST = 0.5, 4096
+TRIALS, WANTED = 256, 0.96
 ENTRIES, QUERIES = 8192, 2048
+#: Queries whose cells one task looks up.
+VISITED = 64
 EVERY = 100
 
 
@@ -94,8 +99,8 @@ class Codebooks:
         return x[:, : self.first.shape[1]], x[:, self.first.shape[1] :]
 
 
-def fit(vectors: list[list[float]], n: int) -> Codebooks | None:
-    """Codebooks from sampled vectors, for an index of ``n`` rows: a few rows a cell, 256 centroids at most."""
+def fit(vectors: list[list[float]], n: int) -> tuple[Codebooks, float] | None:
+    """Codebooks from sampled vectors, for an index of ``n`` rows (a few rows a cell, 256 centroids at most), and the share to probe."""
     if not vectors:
         return None
     lengths = [len(v) for v in vectors]
@@ -103,7 +108,24 @@ def fit(vectors: list[list[float]], n: int) -> Codebooks | None:
     x = np.array([v for v in vectors if len(v) == dim], float)
     k = int(np.clip(2 ** round(np.log2(max(1.0, (n / 2) ** 0.5))), 2, 256))
     half = (dim + 1) // 2
-    return Codebooks(kmeans(x[:, :half], k, 1), kmeans(x[:, half:], k, 2) if dim > half else np.zeros((1, 0)))
+    books = Codebooks(kmeans(x[:, :half], k, 1), kmeans(x[:, half:], k, 2) if dim > half else np.zeros((1, 0)))
+    return books, probe(x, books)
+
+
+def probe(x: np.ndarray, books: Codebooks) -> float:
+    """The share of the rows that a query visits, cell by cell, until it has met ``WANTED`` of its nearest among ``x``."""
+    a, b = books.halves(x)
+    c1, c2 = assign(a, books.first)[0], assign(b, books.second)[0]
+    square = (x**2).sum(axis=1)
+    shares = []
+    for i in range(0, len(x), max(1, len(x) // TRIALS)):
+        d1, d2 = assign(a[i : i + 1], books.first)[1][0], assign(b[i : i + 1], books.second)[1][0]
+        way = d1[c1] + d2[c2]
+        far = square - 2 * x @ x[i]
+        far[i] = np.inf
+        near = np.argsort(far, kind="stable")[: min(K, len(x) - 1)]
+        shares += [np.count_nonzero(way <= w) / len(x) for w in way[near]]
+    return float(np.quantile(shares, WANTED)) if shares else 1.0
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -185,9 +207,10 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     one = F.xxhash64("vec_id", "v").alias("row")
     n = rows.select(one).distinct().count()
     sample = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE).select("v").toArrow()["v"].to_pylist()
-    books = fit(sample, n)
-    if books is None:
+    fitted = fit(sample, n)
+    if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    books, share = fitted
     rows = rows.where(F.size("v") == books.dim)
     cells = rows.mapInArrow(_cells(books), "vec_id long, v array<double>, c1 int, c2 int")
     copy = F.dense_rank().over(Window.partitionBy("c1", "c2", "v").orderBy("vec_id"))
@@ -197,7 +220,8 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     for r in by_cell:
         sizes[r.c1, r.c2] = r.n
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    visits = asked.mapInArrow(_visits(books, sizes, max(LEAST, int(np.ceil(n * PROBE)))), "vec_id long, v array<double>, c1 int, seconds binary")
+    asked = asked.repartition(max(1, -(-n // (every * VISITED))), "vec_id")
+    visits = asked.mapInArrow(_visits(books, sizes, int(np.ceil(n * share))), "vec_id long, v array<double>, c1 int, seconds binary")
     of_first = F.element_at(F.array(*(F.lit(int(max(1, -(-s // ENTRIES)))) for s in sizes.sum(axis=1))), F.col("c1") + 1)
     parts = max(1, -(-n // (every * QUERIES)))
     whole = lambda k: F.explode(F.sequence(F.lit(0), k - 1))

@@ -1,7 +1,7 @@
 """Vectorised text kernels shared by the operators.
 
 Every kernel works on the UTF-8 bytes of an Arrow string column, whole
-documents at a time and in pieces of a few megabytes, so a Python worker holds
+documents at a time and in pieces of a quarter of a megabyte, so a Python worker holds
 a bounded working set however large its partition is (one document is never
 split: memory also follows the longest single text).
 
@@ -12,13 +12,14 @@ so byte and character splitting agree.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def splitmix(n: int, seed: int) -> np.ndarray:
@@ -40,20 +41,6 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-BYTE_CODES = splitmix(256, 11)
-STEP = 0xD6E8FEB86659FD93
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(step: int, n: int) -> np.ndarray:
-    """At least ``n`` powers of an odd ``step`` mod 2^64."""
-    if len(_powers.get(step, ())) < n:
-        steps = np.full(max(n, PIECE_BYTES), step, np.uint64)
-        steps[0] = 1
-        _powers[step] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[step]
-
-
 @dataclass
 class Piece:
     """Some whole documents: ``data[offsets[i]:offsets[i + 1]]`` are the bytes of row ``lo + i``."""
@@ -119,17 +106,42 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
+#: Byte masks of the first 0-8 bytes of a little-endian block, and starting values by a run's length.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_RUN = 64
+_LENGTHS = splitmix(LONG_RUN + 1, 11)
+
+
 def run_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit code of each byte run; equal runs have equal codes."""
+    """A 64-bit code of each byte run; equal runs have equal codes.
+
+    Runs of one length up to 8 bytes never share a code. Up to ``LONG_RUN`` bytes,
+    blocks of 8 are mixed in one after the other, each spread before it meets the
+    rest, so no pattern of bytes cancels as in a polynomial; longer runs take
+    BLAKE2b.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    terms = BYTE_CODES[data]
-    terms *= powers(STEP, len(data))[: len(data)]
-    np.cumsum(terms, out=total[1:])
-    # a run's sum, brought back to a run at place 0 by the inverse power
-    codes = (total[end] - total[start]) * powers(pow(STEP, -1, 1 << 64), len(data))[start]
-    return mix(codes + (end - start).astype(np.uint64))
+    block = np.zeros((len(data) + 23) // 8, np.uint64)
+    block.view(np.uint8)[: len(data)] = data
+
+    def blocks(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        shift = ((at & 7) << 3).astype(np.uint64)
+        low = block[at >> 3] >> shift
+        high = (block[(at >> 3) + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        return (low | high) & _MASKS[np.minimum(size, 8)]
+
+    size = end - start
+    out = mix(blocks(start, size) ^ _LENGTHS[np.minimum(size, LONG_RUN)])
+    left = np.flatnonzero((size > 8) & (size <= LONG_RUN))
+    at = 8
+    while len(left):
+        out[left] = mix(out[left] ^ mix(blocks(start[left] + at, size[left] - at) + np.uint64(0x9E3779B97F4A7C15)))
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LONG_RUN):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def words(piece: Piece, lower: bool = False) -> Words:

@@ -8,11 +8,15 @@ sublinear term frequency, inverse document frequency over *all* learning texts
 vector a language; most stay exactly 0. A fifth of the sample sets the
 temperature that calibrates the probabilities.
 
-The classifier is fitted on at most ``SAMPLE`` labelled rows, shared equally by
-the languages (of which the ``MAX_LANGUAGES`` most frequent are learned), those
-of least id hash; log priors of all learning rows are put back afterwards.
+The classifier is fitted on at most ``SAMPLE`` labelled rows (one a language, if
+there are more languages), shared equally by the languages, those of least id
+hash, and at most ``shared.SAMPLE_BYTES`` of text; log priors of all learning
+rows are put back afterwards. Every language among the learning rows is learned,
+so the model is as many columns wide as there are languages.
 Texts that are null or have no letter are ``und`` with score 0, as are all texts
-when nothing could be learned. Ties go to the language that sorts first.
+when nothing could be learned. Ties go to the language that sorts first. Repeated
+rows are predicted one by one; an id that repeats in the sample is one row. A very
+long text is read whole, as a piece of its own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,16 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import remainder
+from .shared import one_text_each, remainder
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 SAMPLE = 8000
-MAX_LANGUAGES = 200
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 EPOCHS = 3
 UNKNOWN = "und"
@@ -140,20 +143,28 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def train(docs: DataFrame, fold: Column) -> Model:
     """Learns from the rows of ``docs`` (doc_id, text, lang) with a language for which ``fold`` holds."""
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang")).where(fold & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 0)), 1.0, np.zeros(0))
     df, n = document_frequencies(known)
     idf = np.log((1 + n) / (1 + df)) + 1
     each = max(1, SAMPLE // len(languages))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").where(F.col("lang").isin(languages)).withColumn("place", place).where(F.col("place") <= each).select("doc_id").distinct().limit(SAMPLE)
-    ids = docs.sparkSession.createDataFrame([(r.doc_id,) for r in chosen.collect()], "id long")
-    sample = known.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text", "lang").toArrow().sort_by([("doc_id", "ascending")])
-    label = np.array([languages.index(x) if x in counts else -1 for x in sample["lang"].to_pylist()])
+    # the ids whose hash lies in the lowest part of its range, twice as many as wanted: no language is sorted as a whole
+    spark = docs.sparkSession
+    parts = spark.createDataFrame([(x, min(1.0, (2 * each + 50) / counts[x])) for x in languages], "lang string, part double")
+    low = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(parts), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("part"))
+    ids, left = [], dict.fromkeys(languages, each)
+    for r in sorted(low.select("h", "doc_id", "lang").distinct().collect()):
+        if left[r.lang]:
+            left[r.lang] -= 1
+            ids.append((r.doc_id,))
+    chosen = spark.createDataFrame(ids, "id long")
+    sample = one_text_each(known.join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("id")).select("doc_id", "text", "lang"))
+    number = {x: i for i, x in enumerate(languages)}
+    label = np.array([number[x] for x in sample["lang"].to_pylist()], np.int64)
     rows = [f for piece in K.pieces(sample["text"]) for f in features(piece)]
-    order = np.random.default_rng(7).permutation([i for i in range(len(label)) if label[i] >= 0 and len(rows[i][0])])
+    order = np.random.default_rng(7).permutation([i for i in range(len(label)) if len(rows[i][0])])
     held = order[: len(order) // 5] if len(order) >= 50 else order
     own = order[len(order) // 5 :] if len(order) >= 50 else order
     leader = Ftrl(BUCKETS + 1, len(languages))

@@ -7,8 +7,8 @@ import functools
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +28,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{_own_folder()}"
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a temporary one, on a single machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return named or f"file://{_own_folder()}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -59,12 +62,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of text that a sample for the driver holds.
+SAMPLE_BYTES = 32 << 20
+
+
+def one_text_each(rows: DataFrame, limit: int = SAMPLE_BYTES) -> pa.Table:
+    """The ``rows`` (doc_id, text, ...) of a sample, sorted by id: the least text of an id, and at most ``limit`` bytes of whole texts, those of least id hash.
+
+    The rows go through a table in the shared folder, so texts that are left out never reach the driver.
+    """
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    found = stored(rows.groupBy("doc_id").agg(F.min("text").alias("text"), *(F.min(c).alias(c) for c in others)), "sample")
+    sizes = found.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").toArrow()
+    upto = np.cumsum(sizes["n"].fill_null(0).to_numpy())
+    if len(upto) and upto[-1] > limit:
+        found = found.where(F.col("doc_id").isin(sizes["doc_id"].to_numpy()[: max(1, int(np.searchsorted(upto, limit, "right")))].tolist()))
+    return found.toArrow().sort_by([("doc_id", "ascending")])
+
+
 def labelled_sample(docs: DataFrame, known: DataFrame, n0: int, n1: int) -> tuple[pa.Table, float]:
     """Texts and labels of at most ``n0`` and ``n1`` rows of label 0 and 1, and the share of label 1 among all.
 
     ``known`` (doc_id, label) is reduced to the ids of least hash before it meets
-    the texts, so the driver gets no more rows than asked for (more only where
-    an id has several texts), sorted by id.
+    the texts, so the driver gets no more rows than asked for, sorted by id. An id with several
+    labels has the greatest, one with several texts the least of them; in all, at most ``SAMPLE_BYTES`` of texts.
     """
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     count, ones = known.agg(F.count(F.lit(1)), F.sum("label")).first()
@@ -73,5 +94,5 @@ def labelled_sample(docs: DataFrame, known: DataFrame, n0: int, n1: int) -> tupl
         ids += [(r.doc_id, label) for r in known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
     chosen = docs.sparkSession.createDataFrame(ids, "id long, label int")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), texts.doc_id == chosen.id).select("doc_id", "text", "label").toArrow()
-    return found.sort_by([("doc_id", "ascending")]), (ones or 0) / max(1, count)
+    found = texts.join(F.broadcast(chosen), texts.doc_id == chosen.id).select("doc_id", "text", "label")
+    return one_text_each(found), (ones or 0) / max(1, count)

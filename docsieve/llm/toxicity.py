@@ -3,19 +3,26 @@
 1. *Voters.* Terms (words, and word beginnings of 4-8 bytes, of folded text) that
    mark labelled toxic texts, ranked by the likelihood-ratio statistic G2, are
    lexicon voters: each votes on a text that holds its term. Shares of capitals,
-   exclamation marks and symbols give pattern voters. The recorded label is a
-   voter as well; how far to trust it is estimated like the rest.
+   exclamation marks and symbols give pattern voters. The recorded label is no
+   voter: it only finds the lexicon and says which of the two classes is toxic.
 2. *Label model.* Expectation maximisation of a two-class generative model gives
    each voter's vote rates in both classes. The correlations of voters given
    the class come from what the model leaves unexplained; a voter's evidence is
    divided by its correlated company, and the model is estimated again.
 3. *Classifier.* A linear (logistic) model over term presence and the pattern
-   shares learns the posterior labels; it alone scores.
+   shares learns the posterior labels; it alone scores. So a wrong label costs
+   little: its text's voters outvote it (tests compare with raw labels).
 
 The model is fitted on at most ``SAMPLE_TOXIC`` + ``SAMPLE_CLEAN`` labelled
-rows, those of least id hash, which bounds what the driver holds; scoring is
-row-local over every whole text. Null text is empty text. With no labelled row
-every score is 0; with labels of one class it is that class's.
+rows, those of least id hash, and at most ``shared.SAMPLE_BYTES`` of their texts,
+which bounds what the driver holds; scoring is row-local over every whole text.
+
+Null and empty texts hold no term and get the score of that. An id with several
+labels counts as toxic if any says so, one with several texts is learned from
+the least of them; repeated rows are scored one by one. A very long text is
+scored whole, as a piece of its own. An empty table gives no rows. Other columns
+are not read, so their names do not matter. With no labelled row every score is
+0; with labels of one class it is that class's.
 """
 
 from __future__ import annotations
@@ -41,7 +48,6 @@ MIN_G2 = 15.0
 MAX_FEATURES = 2048
 #: Correlation given the class from which voters count as saying the same.
 COMPANY = 0.5
-LABEL_RIGHT = 0.9
 PATTERN_CUTS = (0.5, 0.01, 0.02)
 SCHEMA = "doc_id long, score double, predicted int"
 
@@ -104,8 +110,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds:
     """The generative model of ``votes`` (texts x voters) and its voters' correlations given the class.
 
     The vote rates under ``start`` count as much as the texts do, so that the
-    classes stay toxic and clean and do not drift to, say, languages. The last
-    voter is the recorded label, taken to be right in ``LABEL_RIGHT`` of cases at least.
+    classes stay toxic and clean and do not drift to, say, languages.
     """
     both = np.stack([1 - start, start], axis=1)
     anchor = (votes.T @ both + 0.1) / (both.sum(axis=0) + 0.2)
@@ -115,7 +120,6 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds:
             both = np.stack([1 - posterior, posterior], axis=1)
             sizes = both.sum(axis=0)
             rates = np.clip((votes.T @ both + anchor * sizes) / (2 * sizes + 1e-9), 1e-4, 1 - 1e-4)
-            rates[-1] = min(rates[-1, 0], 1 - LABEL_RIGHT), max(rates[-1, 1], LABEL_RIGHT)
             model = LabelModel(rates, weights, prior)
             posterior = model.posterior(votes)
         return model, posterior
@@ -166,26 +170,32 @@ def fit(texts: pa.Array, toxic: np.ndarray, toxic_share: float) -> Model:
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(3), 30.0 if n1 else -30.0)
-    codes, docs, shares, minima = [], [], [], []
-    salts = K.splitmix(4, 53)
+    least_docs = min(MIN_DOCS, n1)
     held = np.zeros(1 << SKIP_BITS, np.int32)
-    for piece in K.pieces(texts):
+    short = lambda code: (code >> np.uint64(64 - SKIP_BITS)).astype(np.int64)
+
+    def distinct(piece: K.Piece) -> tuple[np.ndarray, np.ndarray]:
         code, doc = terms(piece)
         _, first = np.unique(K.in_document(code, doc), return_index=True)
-        code, doc = code[first], doc[first]
+        return code[first], doc[first]
+
+    shares, minima = [], []
+    salts = K.splitmix(4, 53)
+    for piece in K.pieces(texts):
+        code, doc = distinct(piece)
         least = np.full((len(salts), piece.n), np.uint64(0xFFFFFFFFFFFFFFFF))
         for row, salt in zip(least, salts, strict=True):
             np.minimum.at(row, doc, K.mix(code ^ salt))
         minima.append(least)
-        codes.append(code)
-        docs.append((doc + piece.lo).astype(np.int32))
         shares.append(patterns(piece))
-        held += np.bincount((code >> np.uint64(64 - SKIP_BITS)).astype(np.int64), minlength=len(held)).astype(np.int32)
-    # most terms are in one text alone and can be no voter: they go before the arrays are joined
-    least_docs = min(MIN_DOCS, n1)
-    for i, code in enumerate(codes):
-        often = held[(code >> np.uint64(64 - SKIP_BITS)).astype(np.int64)] >= least_docs
-        codes[i], docs[i] = code[often], docs[i][often]
+        np.add.at(held, short(code), 1)
+    # most terms are in one text alone and can be no voter: a second pass leaves them out
+    codes, docs = [], []
+    for piece in K.pieces(texts):
+        code, doc = distinct(piece)
+        often = held[short(code)] >= least_docs
+        codes.append(code[often])
+        docs.append((doc[often] + piece.lo).astype(np.int32))
     code, doc, share = np.concatenate(codes), np.concatenate(docs), np.concatenate(shares)
     del codes, docs, held
     vocabulary, term = np.unique(code, return_inverse=True)
@@ -207,7 +217,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, toxic_share: float) -> Model:
     presence = np.zeros((len(toxic), len(chosen)), np.float32)
     known = column[term] >= 0
     presence[doc[known], column[term[known]]] = 1
-    votes = np.concatenate([presence[:, column[voters]], (share > PATTERN_CUTS).astype(np.float32), toxic[:, None].astype(np.float32)], axis=1)
+    votes = np.concatenate([presence[:, column[voters]], (share > PATTERN_CUTS).astype(np.float32)], axis=1)
     start = np.where(toxic > 0, 0.9, np.where(votes[:, : len(voters)].sum(axis=1) > 1, 0.3, 0.05))
     label_model, _ = fit_label_model(votes, start, n1 / (n1 + n0))
     weights, intercept = fit_logistic(np.concatenate([presence, share.astype(np.float32)], axis=1), label_model.posterior(votes))

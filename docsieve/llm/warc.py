@@ -6,8 +6,10 @@ folder, and are planned into partitions by size. Equality, set and prefix
 predicates on record headers are pushed down; the reader parses a record's
 headers first and does not inflate, read or hash the payloads of records that
 the predicates refuse: an uncompressed block is skipped by Content-Length, a
-gzip member by the ``sl`` (skip lengths) extra field of the WARC standard's annex,
-and without that field it is inflated to its end and thrown away. The option
+gzip member of one record by the ``sl`` (skip lengths) extra field of the WARC
+standard's annex, and without that field it is inflated to its end and thrown
+away. A member may hold several records; all are read, with the member's offset.
+The option
 ``payload`` is ``bytes`` (default), ``digest`` (length and SHA-256 only) or
 ``none``. A malformed record ends its file with an error naming file and offset.
 
@@ -17,6 +19,9 @@ task leaves nothing that a reader sees. Files live in a folder that pyarrow's
 file systems reach (local, shared, HDFS, S3).
 
 Null ids, addresses and payloads: headers are left out, a payload is empty.
+Repeated rows are records of their own; an empty table makes an archive without
+pages; other columns of the table, whatever their names, are not read. One
+record is held whole, so memory follows the longest payload.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .shared import new_path
+from .shared import new_path, stored
 
 NAME = "docsieve_warc"
 SCHEMA = "warc_type string, record_id string, target_uri string, date string, refers_to string, declared_digest string, content_type string, payload_bytes long, payload_digest string, payload binary, file string, offset long"
@@ -52,24 +57,27 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 
 def member(record: bytes) -> bytes:
-    """A gzip member that says its compressed and its plain length in its header."""
+    """A gzip member that says its compressed and its plain length in its header, unless they need over 32 bits."""
     deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = deflate.compress(record) + deflate.flush()
     tail = zlib.crc32(record).to_bytes(4, "little") + (len(record) & 0xFFFFFFFF).to_bytes(4, "little")
     size = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + (8).to_bytes(2, "little") + size.to_bytes(4, "little") + (len(record) & 0xFFFFFFFF).to_bytes(4, "little")
+    if max(size, len(record)) > 0xFFFFFFFF:
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + tail
+    extra = b"sl" + (8).to_bytes(2, "little") + size.to_bytes(4, "little") + len(record).to_bytes(4, "little")
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + len(extra).to_bytes(2, "little") + extra + body + tail
 
 
-def skip_length(head: bytes) -> int | None:
-    """The member's compressed length, if its header says so."""
+def skip_lengths(head: bytes) -> tuple[int, int] | None:
+    """The member's compressed and plain length, if its header says so."""
     if len(head) < 12 or not head[3] & 4:
         return None
     extra = head[12 : 12 + int.from_bytes(head[10:12], "little")]
     while len(extra) >= 4:
         n = int.from_bytes(extra[2:4], "little")
-        if extra[:2] == b"sl" and n == 8:
-            return int.from_bytes(extra[4:8], "little") or None
+        if extra[:2] == b"sl" and n == 8 and len(extra) >= 12:
+            lengths = int.from_bytes(extra[4:8], "little"), int.from_bytes(extra[8:12], "little")
+            return lengths if lengths[0] else None
         extra = extra[4 + n :]
     return None
 
@@ -126,11 +134,82 @@ class _Plain:
             self.file.seek(begin + n)
 
 
-class _Gzip:
-    """Records of a file of gzip members, one record each."""
+class _Member:
+    """The records of one gzip member, inflated as far as they are asked for."""
 
     STEP = 1 << 16
 
+    def __init__(self, file: io.RawIOBase, offset: int, head: bytes):
+        self.file, self.offset, self.raw, self.fed = file, offset, head, len(head)
+        self.inflate = zlib.decompressobj(31)
+        self.buffer = bytearray()
+        self.done = 0  # plain bytes behind the buffer's beginning
+        self.lengths = skip_lengths(head)
+        self.skipped = False
+
+    def more(self) -> bool:
+        """Inflates another portion into the buffer; whether there was one."""
+        while not self.inflate.eof:
+            if not self.raw:
+                self.raw = self.file.read(self.STEP)
+                self.fed += len(self.raw)
+                if not self.raw:
+                    raise ValueError(f"cut off at {self.offset}")
+            out = self.inflate.decompress(self.raw, 1 << 20)
+            self.raw = self.inflate.unconsumed_tail
+            if out:
+                self.buffer += out
+                return True
+        return False
+
+    def take(self, n: int, keep: bool = True) -> bytes:
+        """The next ``n`` plain bytes, or what is left of the member."""
+        parts = []
+        while n:
+            if not self.buffer and not self.more():
+                break
+            part = bytes(self.buffer[:n]) if keep else b""
+            went = min(n, len(self.buffer))
+            del self.buffer[:went]
+            parts.append(part)
+            n -= went
+            self.done += went
+        return b"".join(parts)
+
+    def records(self) -> Iterator[tuple[int, dict[str, str], object]]:
+        while True:
+            while self.buffer[:1] in (b"\r", b"\n") or not self.buffer:
+                if self.buffer:
+                    self.take(1, keep=False)
+                elif not self.more():
+                    return
+            while (end := self.buffer.find(b"\r\n\r\n")) < 0:
+                if len(self.buffer) > HEADER_LIMIT:
+                    raise ValueError(f"no end of headers at {self.offset}")
+                if not self.more():
+                    raise ValueError(f"no record at {self.offset}")
+            if not self.buffer.startswith(b"WARC/"):
+                raise ValueError(f"no record at {self.offset}")
+            headers = parse_headers(self.take(end + 4)[:-4])
+            n = int(headers["content-length"])
+            upto = self.done + n
+            yield self.offset, headers, lambda n=n: self.take(n)
+            # nothing behind this record, as the header's lengths tell: the rest is not even inflated
+            if self.lengths and self.lengths[1] == (upto + 4) & 0xFFFFFFFF and self.done < upto:
+                self.skipped = True
+                return
+            self.take(upto - self.done, keep=False)
+            if self.done < upto:
+                raise ValueError(f"a record is cut off at {self.offset}")
+
+    def size(self) -> int:
+        """The member's compressed length, once its records have been read."""
+        return self.lengths[0] if self.skipped else self.fed - len(self.inflate.unused_data)
+
+
+class _Gzip:
+    """Records of a file of gzip members: one each as the standard asks, or several."""
+
     def __init__(self, file: io.RawIOBase):
         self.file = file
 
@@ -138,48 +217,14 @@ class _Gzip:
         offset = 0
         while True:
             self.file.seek(offset)
-            head = self.file.read(self.STEP)
+            head = self.file.read(_Member.STEP)
             if not head:
                 return
             if head[:2] != b"\x1f\x8b":
                 raise ValueError(f"no gzip member at {offset}")
-            inflate = zlib.decompressobj(31)
-            raw, fed, got = head, len(head), b""
-            while b"\r\n\r\n" not in got and not inflate.eof:
-                got += inflate.decompress(raw, 8192)
-                raw = inflate.unconsumed_tail
-                if not raw and not inflate.eof:
-                    raw = self.file.read(self.STEP)
-                    fed += len(raw)
-                    if not raw:
-                        raise ValueError(f"cut off at {offset}")
-                if len(got) > HEADER_LIMIT:
-                    raise ValueError(f"no end of headers at {offset}")
-            top, _, rest = got.partition(b"\r\n\r\n")
-            if not top.startswith(b"WARC/"):
-                raise ValueError(f"no record at {offset}")
-            headers = parse_headers(top)
-            state = {"raw": raw, "fed": fed, "rest": rest}
-
-            def finish(keep: bool, inflate=inflate, state=state) -> bytes:
-                parts = [state["rest"]]
-                while not inflate.eof:
-                    if not state["raw"]:
-                        state["raw"] = self.file.read(self.STEP)
-                        state["fed"] += len(state["raw"])
-                        if not state["raw"]:
-                            raise ValueError("a gzip member is cut off")
-                    out = inflate.decompress(state["raw"], 1 << 20)
-                    state["raw"] = inflate.unconsumed_tail
-                    if keep:
-                        parts.append(out)
-                return b"".join(parts)
-
-            yield offset, headers, lambda n=int(headers["content-length"]): finish(True)[:n]
-            if (n := skip_length(head)) is None:
-                finish(False)
-                n = state["fed"] - len(inflate.unused_data)
-            offset += n
+            member = _Member(self.file, offset, head)
+            yield from member.records()
+            offset += member.size()
 
 
 @dataclass
@@ -345,11 +390,14 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known to the session and turns on its predicate pushdown for Python sources, which this reader needs to skip payloads."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 LEAST_REVISIT = 100
+#: Most digests of repeated payloads that are broadcast (about 100 bytes each); more meet the pages in a join.
+BROADCAST_DIGESTS = 200_000
 URN = "urn:docsieve:page:"
 
 
@@ -363,8 +411,10 @@ def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "u
     body = F.encode(F.coalesce(pages[html].cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    first = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
-    placed = rows.join(first, "digest", "left")
+    repeated = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
+    # ids and digests alone are shuffled; the payloads stay where they are as long as the digests fit a broadcast
+    first = stored(repeated.select("digest", "first"), "digests")
+    placed = rows.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first.hint("merge"), "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     written = placed.select(
         F.when(again, "revisit").otherwise("response").alias("warc_type"),

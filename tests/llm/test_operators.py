@@ -48,22 +48,65 @@ def test_words_kernel():
     assert len(set(codes.values())) == len(codes)
 
 
-# op1, op3, op5: held-out accuracy
+def test_codes_tell_patterns_apart():
+    """Thue-Morse words, which collide in every polynomial hash mod 2^64, and runs that differ in one byte, at all lengths."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    runs = set()
+    for n in (8, 9, 16, 63, 64, 65, 1024, 4096):
+        for a, b in ("ab", "ba", "cd"):
+            runs.add("".join((a, b)[x] for x in bits[:n]))
+        runs |= {"x" * k + "y" + "x" * (n - k - 1) for k in range(0, n, max(1, n // 40))}
+    runs = sorted(runs)
+    w = kernels.words(next(kernels.pieces(pa.array([" ".join(runs)]))))
+    assert len(w.code) == len(runs) == len(set(w.code.tolist()))
+    again = kernels.words(next(kernels.pieces(pa.array(["z  " + "\t".join(runs[::-1])]))))
+    assert again.code[1:][::-1].tolist() == w.code.tolist()
 
 
-def labelled(spark, sf_dir, column):
-    return {r.doc_id: r[column] for r in table(spark, sf_dir.replace("0.001", "0.01"), "labels").collect()}
+# op1, op3, op5: held-out accuracy
 
 
-@pytest.mark.parametrize("name, column, fold, least", [("op1_toxicity", "toxic", (5, 0), 0.85), ("op5_quality", "quality", (4, 2), 0.9)])
-def test_classifiers(spark, sf_dir, name, column, fold, least):
-    folder = sf_dir.replace("0.001", "0.01")
+@pytest.mark.parametrize("name, column, fold, least, recall", [("op1_toxicity", "toxic", (5, 0), 0.97, 0.7), ("op5_quality", "quality", (4, 2), 0.95, 0.95)])
+def test_classifiers(spark, sf_dir, name, column, fold, least, recall):
+    """Held-out accuracy over a constant answer's, and recall of label 1, which a constant 0 has none of."""
+    folder = sf_dir.replace("0.001", "0.1" if column == "toxic" else "0.01")
     rows = queries.QUERIES[name](spark, folder).collect()
-    truth = labelled(spark, sf_dir, column)
+    truth = {r.doc_id: r[column] for r in table(spark, folder, "labels").collect()}
     assert len(rows) == table(spark, folder, "documents").count()
     assert all(0 <= r.score <= 1 and r.held_out == (held(r.doc_id, fold[0]) == fold[1]) for r in rows)
-    judged = [r.predicted == truth[r.doc_id] for r in rows if r.held_out and r.doc_id in truth]
-    assert sum(judged) / len(judged) >= least
+    judged = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and truth.get(r.doc_id) is not None]
+    right = sum(p == t for p, t in judged) / len(judged)
+    assert right >= least and right > max(np.mean([t == k for _, t in judged]) for k in (0, 1))
+    assert sum(p for p, t in judged if t) / sum(t for _, t in judged) >= recall
+
+
+def test_posterior_labels_beat_noisy_labels_and_single_voters(spark, sf_dir, monkeypatch):
+    """With a fifth of the labels wrong, the classifier of posterior labels finds what one of raw labels, or any one term, does not."""
+    folder = sf_dir.replace("0.001", "0.1")
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").where("toxic IS NOT NULL").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    own, other = [r for r in rows if held(r.doc_id, 5)], [r for r in rows if not held(r.doc_id, 5)]
+    rng = np.random.default_rng(1)
+    noisy = np.array([r.toxic for r in own]) ^ (rng.random(len(own)) < 0.2)
+    truth = np.array([r.toxic for r in other], bool)
+
+    def judged(model):
+        slots = kernels.Slots(model.codes)
+        return np.concatenate([model.scores(p, slots) for p in kernels.pieces(pa.array([r.text for r in other], pa.string()))]) >= 0.5
+
+    texts_ = pa.array([r.text for r in own], pa.string())
+    model = toxicity.fit(texts_, noisy, noisy.mean())
+    posterior = judged(model)
+    logistic = toxicity.fit_logistic
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y: logistic(x, noisy.astype(float)))
+    raw = judged(toxicity.fit(texts_, noisy, noisy.mean()))
+    assert posterior[truth].mean() > raw[truth].mean() + 0.15 and posterior[~truth].mean() < raw[~truth].mean()
+    best = model.codes[np.argsort(-model.weights)[:50]]
+    single = np.zeros((50, len(other)), bool)
+    for piece in kernels.pieces(pa.array([r.text for r in other], pa.string())):
+        code, doc = toxicity.terms(piece)
+        for k, c in enumerate(best):
+            single[k, piece.lo + doc[code == c]] = True
+    assert (posterior == truth).mean() > max((s == truth).mean() for s in single) + 0.03
 
 
 def test_language(spark, sf_dir):
@@ -79,8 +122,9 @@ def test_label_model_finds_accuracies_and_correlations():
     y = (rng.random(4000) < 0.3).astype(float)
     good = [np.where(rng.random(4000) < p, y, 1 - y) for p in (0.9, 0.85, 0.8)]
     votes = np.stack([*good, good[0], np.where(rng.random(4000) < 0.95, y, 1 - y)], axis=1)
-    model, correlations = toxicity.fit_label_model(votes, votes[:, -1], 0.3)
-    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.95
+    start = np.where(rng.random(4000) < 0.8, y, 1 - y)
+    model, correlations = toxicity.fit_label_model(votes, start, 0.3)
+    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.95 > (start == y).mean()
     assert correlations[0, 3] > 0.95 and model.weights[0] < 0.6 < model.weights[1]
     assert model.accuracies()[0] > model.accuracies()[2]
 
@@ -107,7 +151,8 @@ def test_language_on_hard_rows(hard):
 # op2
 
 
-def test_nearest_is_exact_when_small(spark):
+def test_nearest_is_exact_where_all_is_probed(spark, monkeypatch):
+    monkeypatch.setattr(ann, "probe", lambda x, books: 1.0)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     x[50:60] = x[40]
@@ -122,8 +167,7 @@ def test_nearest_is_exact_when_small(spark):
         assert [r.score for r in own] == [far[i] for i in order]
 
 
-def test_nearest_recall(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(ann, "LEAST", 10)
+def test_nearest_recall(spark, sf_dir):
     rows = table(spark, sf_dir.replace("0.001", "0.1"), "embeddings").collect()
     x = np.array([r.embedding for r in rows], float)
     ids = np.array([r.vec_id for r in rows])
@@ -138,6 +182,14 @@ def test_nearest_recall(spark, sf_dir, monkeypatch):
     assert hit / total >= 0.9
 
 
+def test_probe_is_small_where_vectors_cluster():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 10
+    x = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16))
+    assert ann.fit(x.tolist(), len(x))[1] < 0.1
+    assert ann.fit(rng.normal(size=(2000, 16)).tolist(), 2000)[1] > 0.1
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(2)
     d1, d2, sizes = rng.random(6), rng.random(5), rng.integers(0, 4, (6, 5))
@@ -158,8 +210,9 @@ def test_nearest_on_empty(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in one] == [(0, 1, 1)]
 
 
-def test_nearest_counts_ids_not_rows(spark):
+def test_nearest_counts_ids_not_rows(spark, monkeypatch):
     """A table unioned with itself has the same neighbours; neither repeated ids nor one id's many vectors hide others."""
+    monkeypatch.setattr(ann, "probe", lambda x, books: 1.0)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(200, 6))
     x[30:50] = x[20]
@@ -322,6 +375,21 @@ def test_warc_skips_payloads_and_reads_plain_files(spark, tmp_path):
         spark.read.format(warc.NAME).load(f"file://{tmp_path}").count()
 
 
+def test_warc_members_with_several_records(spark, tmp_path):
+    """None is lost, whether or not the payloads before it are wanted; a member that ends inside a record is an error."""
+    import gzip
+
+    records = [warc.record("response", f"urn:x:{i}", [("WARC-Target-URI", f"http://{'ab'[i % 2]}/")], bytes([97 + i]) * (i * 70_000)) for i in range(4)]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(records[:3])) + warc.member(records[3]) + gzip.compress(records[0] + records[1]) + warc.member(records[2]))
+    warc.register(spark)
+    read = spark.read.format(warc.NAME).load(f"file://{tmp_path}")
+    assert sorted((r.record_id, len(r.payload)) for r in read.collect()) == sorted((f"urn:x:{i}", i * 70_000) for i in (0, 1, 2, 3, 0, 1, 2))
+    assert [r.record_id for r in read.where("target_uri = 'http://b/'").orderBy("offset", "record_id").collect()] == ["urn:x:1", "urn:x:3", "urn:x:1"]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(records[0] + records[3][:-9000]))
+    with pytest.raises(Exception, match="cut off at 0"):
+        read.count()
+
+
 # op8
 
 
