@@ -4,28 +4,32 @@ Words (ASCII lower case, then one end token a text) are events of a
 class-factored softmax:
 
 * a *symbol*: the end, one of the most frequent training words, or the class of
-  another word (by its last two bytes, then split by its code). The log-bilinear
+  another word (its last two bytes, then how frequent it is). The log-bilinear
   model (Mnih and Hinton, 2007; Mnih and Teh, 2012) predicts a symbol from the
   ``CONTEXT`` before it: position weights scale the vectors of the words there,
   the sum meets every symbol's vector in a matrix product, and a softmax over
   all symbols normalises it;
 * the word inside its class: the same sum meets the vectors of the class's
-  *trained* words and of one event for its rare words, under a second softmax.
-  A word is trained, with vectors of its own as context and as target, if it
-  occurs in the training texts at least ``TRAINED`` times, or root(tokens) /
-  ``ROOT`` times if that is more: the vocabulary has no greatest size, it grows
-  with the corpus about as its root, so it fits a task, and so do the classes;
-* a rare word inside its class, by the base model's smoothed training counts,
-  where one share stands for all unknown words. So a text's probabilities are
-  normalised over the same events as the base score's.
+  *trained* words, and in a suffix's last class of one event for its rare words,
+  under a second softmax. A word is trained, with vectors of its own as context
+  and as target, if it occurs in the training texts at least ``TRAINED`` times,
+  or root(tokens) / ``ROOT`` times if that is more: the vocabulary has no
+  greatest size, it grows with the corpus about as its root, so it fits a task.
+  The number of classes grows with it, and classes of frequent words are small;
+* a rare word among those of its suffix, by the base model's smoothed training
+  counts, where one share stands for all unknown words. So a text's
+  probabilities are normalised over the same events as the base score's.
 
 Counts cover all training texts. Training starts on the driver from a bounded
-sample and then runs over *every* training text: each task improves the model on
-its own tokens, and each vector is averaged over the tasks that met it, by how
-often they did, ``ROUNDS`` times. The most frequent ``FREQUENT`` counts, and those of all trained words,
-are broadcast; rarer words meet theirs in a join, where no key is hot.
-
-Word identity is a 64-bit code. Null and empty texts are the end alone. With no
+sample (``WARM_TEXTS`` texts, ``shared.SAMPLE_BYTES`` at most) and then runs over
+*every* training text: each task improves the model on its own tokens, and each
+vector is averaged over the tasks that met it, by how often they did, ``ROUNDS``
+times. The most frequent ``FREQUENT`` counts, and those of all trained words, are
+broadcast; rarer words meet theirs in a join, where no key is hot.
+
+Word identity is a 64-bit code. Null and empty texts are the end alone. Repeated
+rows are counted and scored one by one. A very long text is a piece of its own,
+read whole. An empty table gives no rows. Other columns are not read. With no
 training text every count is 0 and every symbol equally likely.
 """
 
@@ -41,15 +45,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import remainder, stored
+from .shared import one_text_each, remainder, stored
 
 HEAD, BUCKETS = 191, 64
-SYMBOLS = 1 + HEAD + BUCKETS
 DIM = 24
 CONTEXT = 4
 NOISE, INNER_NOISE = 64, 8
 TRAINED, ROOT = 20, 100
-BATCH = 2048
+#: Tokens of one step, and words of a class that share noise draws in it.
+BATCH, SHARED = 4096, 16
 ROUNDS = 1
 WARM_TEXTS, WARM_EPOCHS = 400, 4
 RATE = 0.08
@@ -69,10 +73,11 @@ def tokens(piece: K.Piece) -> tuple[np.ndarray, np.ndarray, K.Words]:
 
 @dataclass
 class Vocabulary:
-    """Training counts: of all tokens, end tokens, frequent words, symbols, and by class of words that are not trained.
+    """Training counts: of all tokens, end tokens, frequent words, symbols, and by suffix bucket of words that are not trained.
 
-    The first ``HEAD`` codes are symbols, those from there to ``trained`` words with vectors in their class.
-    Inside the classes, each event has a row: class by class its rare words, then its trained words.
+    The first ``HEAD`` codes are symbols, those from there to ``trained`` words with vectors in their class,
+    ``word_class``. Inside the classes each event has a row, class by class: the trained words, and at the end of a
+    bucket's last class, ``rare_class``, one for the bucket's rare words.
     """
 
     total: int
@@ -82,10 +87,12 @@ class Vocabulary:
     counts: np.ndarray
     trained: int
     all_words: bool
-    split: int
     symbol_counts: np.ndarray
     rare_counts: np.ndarray
     rare_distinct: np.ndarray
+    rare_class: np.ndarray
+    rare_event: np.ndarray
+    word_class: np.ndarray
     event: np.ndarray
     event_counts: np.ndarray
     first_event: np.ndarray
@@ -93,11 +100,8 @@ class Vocabulary:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + ALPHA) / (self.total + ALPHA * (self.distinct + 1)))
 
-    def among_rare(self, counts: np.ndarray, own: np.ndarray) -> np.ndarray:
-        return np.log10((counts + ALPHA) / (self.rare_counts[own] + ALPHA * (self.rare_distinct[own] + 1)))
-
-    def classes(self, codes: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-        return buckets * self.split + ((codes >> np.uint64(40)) % np.uint64(self.split)).astype(np.int64)
+    def among_rare(self, counts: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        return np.log10((counts + ALPHA) / (self.rare_counts[buckets] + ALPHA * (self.rare_distinct[buckets] + 1)))
 
     @property
     def light(self) -> Vocabulary:
@@ -105,27 +109,39 @@ class Vocabulary:
         return replace(self, codes=self.codes[: self.trained], counts=self.counts[: self.trained])
 
 
-def symbols(codes: np.ndarray, own: np.ndarray, first: np.ndarray, slots: K.Slots, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' symbols with their ends, their events inside classes (-1 for none), the contexts (tokens x CONTEXT, nearest first), and where texts begin."""
+@dataclass
+class Stream:
+    """Tokens of some texts, ends included.
+
+    ``out`` is each token's symbol, ``event`` its event inside a class (-1 for none). ``source`` holds what
+    the tokens are as context, with ``CONTEXT`` ends before each text, and ``at`` each token's place there.
+    ``begin`` is where texts begin among the tokens.
+    """
+
+    out: np.ndarray
+    event: np.ndarray
+    source: np.ndarray
+    at: np.ndarray
+    begin: np.ndarray
+
+
+def stream(codes: np.ndarray, buckets: np.ndarray, first: np.ndarray, slots: K.Slots, words: Vocabulary) -> Stream:
     n = len(first) - 1
     place = slots.find(codes)
+    own, inner = words.rare_class[buckets], words.rare_event[buckets]
     begin = first + np.arange(n + 1)
     out, event = np.zeros(begin[-1], np.int64), np.full(begin[-1], -1)
     word = np.ones(begin[-1], bool)
     word[begin[1:] - 1] = False
     head = (place >= 0) & (place < HEAD)
-    out[word] = np.where(head, 1 + place, 1 + HEAD + own)
-    inner = words.first_event[own]
     trained = place >= HEAD
-    inner[trained] = words.event[place[trained] - HEAD]
+    own[trained], inner[trained] = words.word_class[place[trained] - HEAD], words.event[place[trained] - HEAD]
+    out[word] = np.where(head, 1 + place, 1 + HEAD + own)
     event[word] = np.where(head, -1, inner)
-    source = np.where(event >= 0, 1 + HEAD + event, out)
-    place = np.arange(begin[-1]) - np.repeat(begin[:-1], np.diff(begin))
-    context = np.zeros((len(out), CONTEXT), np.int64)
-    for k in range(CONTEXT):
-        context[k + 1 :, k] = source[: -k - 1]
-        context[place <= k, k] = 0
-    return out, event, context, begin
+    at = np.arange(begin[-1]) + CONTEXT * (1 + np.repeat(np.arange(n), np.diff(begin)))
+    source = np.zeros(begin[-1] + CONTEXT * n, np.int64)
+    source[at] = np.where(event >= 0, 1 + HEAD + event, out)
+    return Stream(out, event, source, at, begin)
 
 
 @dataclass
@@ -139,7 +155,8 @@ class Noise:
     def __post_init__(self):
         self.upto = np.cumsum(self.symbol)
         self.event_upto = np.concatenate([[0.0], np.cumsum(self.event)])
-        self.log_event = np.log(self.event).astype(np.float32)
+        self.log_symbol = np.log(NOISE * self.symbol).astype(np.float32)
+        self.log_event = np.log(INNER_NOISE * self.event).astype(np.float32)
 
 
 @dataclass
@@ -157,11 +174,8 @@ class Bilinear:
     met: list[np.ndarray] = field(default_factory=list)
 
     @staticmethod
-    def fresh(noise: np.ndarray, event: np.ndarray | None = None, first: np.ndarray | None = None) -> Bilinear:
-        """For the shares of the symbols and of the events in their classes; without these, a class has its rare words alone."""
-        if event is None:
-            first = np.arange(len(noise) - HEAD)
-            event = np.ones(len(noise) - 1 - HEAD)
+    def fresh(noise: np.ndarray, event: np.ndarray, first: np.ndarray) -> Bilinear:
+        """For the shares of the symbols and of the events in their classes."""
         rng = np.random.default_rng(17)
         draw = lambda n: rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
         return Bilinear(draw(1 + HEAD + len(event)), draw(len(noise)), np.full((CONTEXT, DIM), 0.5, np.float32), np.log(noise).astype(np.float32), draw(len(event)), np.log(event).astype(np.float32), first)
@@ -173,95 +187,152 @@ class Bilinear:
     def copy(self) -> Bilinear:
         return Bilinear(*(p.copy() for p in self.parts), self.first, [s.copy() for s in self.squares])
 
-    def log_probabilities(self, out: np.ndarray, context: np.ndarray, event: np.ndarray | None = None) -> np.ndarray:
-        """log10 of the normalised probability of each symbol of ``out``, and of its ``event`` inside the class."""
-        q = np.empty((len(out), DIM), np.float32)
-        found = np.empty(len(out))
-        for at in range(0, len(out), 4096):
-            rows = slice(at, at + 4096)
-            q[rows] = sum(self.source[context[rows, k]] * self.position[k] for k in range(CONTEXT))
-            found[rows] = _chosen(q[rows] @ self.target.T + self.bias, out[rows])
+    def queries(self, source: np.ndarray) -> np.ndarray:
+        """For each place of ``source`` the sum of the scaled vectors before it."""
+        vectors = self.source[source]
+        q = np.zeros_like(vectors)
+        for k in range(1, CONTEXT + 1):
+            q[k:] += vectors[:-k] * self.position[k - 1]
+        return q
+
+    def log_probabilities(self, q: np.ndarray, out: np.ndarray, event: np.ndarray | None = None) -> np.ndarray:
+        """log10 of the normalised probability, after contexts of the sums ``q``, of each symbol of ``out``, and of its ``event`` inside the class."""
+        q = _with_bias(q, np.ones(len(q), np.float32))
+        target, inner = _with_bias(self.target, self.bias), _with_bias(self.inner, self.inner_bias)
+        found = np.einsum("nd,nd->n", q, target[out]).astype(np.float64)
+        for at in range(0, len(out), 256):
+            found[at : at + 256] -= _log_sums(q[at : at + 256], target)
         if event is not None:
             rows = np.flatnonzero(event >= 0)
             rows = rows[np.argsort(out[rows], kind="stable")]
+            inside = q[rows]
+            found[rows] += np.einsum("nd,nd->n", inside, inner[event[rows]])
             edges = np.searchsorted(out[rows], 1 + HEAD + np.arange(len(self.first)))
             for c in np.flatnonzero(np.diff(edges)):
-                a, b = self.first[c], self.first[c + 1]
-                if b - a > 1:
-                    for at in range(edges[c], edges[c + 1], 4096):
-                        some = rows[at : min(at + 4096, edges[c + 1])]
-                        found[some] += _chosen(q[some] @ self.inner[a:b].T + self.inner_bias[a:b], event[some] - a)
+                for at in range(edges[c], edges[c + 1], 256):
+                    some = slice(at, min(at + 256, edges[c + 1]))
+                    found[rows[some]] -= _log_sums(inside[some], inner[self.first[c] : self.first[c + 1]])
         return found / np.log(10)
 
-    def learn(self, out: np.ndarray, event: np.ndarray, context: np.ndarray, noise: Noise, rng: np.random.Generator) -> None:
-        """One noise-contrastive step (AdaGrad) on some tokens: symbols against draws that serve the whole batch, words against words of their class."""
+    def learn(self, some: Stream, a: int, b: int, noise: Noise, rng: np.random.Generator) -> None:
+        """One noise-contrastive step (AdaGrad) on the tokens from ``a`` to ``b``: symbols against draws that serve all of them, words against draws that serve up to ``SHARED`` words of their class."""
+        out, event, at = some.out[a:b], some.event[a:b], some.at[a:b]
+        ids, at = some.source[at[0] - CONTEXT : at[-1] + 1], at - at[0] + CONTEXT
         n = len(out)
         drawn = np.minimum(np.searchsorted(noise.upto, rng.random(NOISE) * noise.upto[-1]), len(noise.symbol) - 1)
-        seen = self.source[context]
-        q = (seen * self.position).sum(axis=1)
+        seen = self.source[ids]
+        q = np.zeros_like(seen)
+        for k in range(1, CONTEXT + 1):
+            q[k:] += seen[:-k] * self.position[k - 1]
+        q = q[at]
         wanted = self.target[out]
-        log_k = np.log(NOISE * noise.symbol).astype(np.float32)
-        g_yes = _slope((q * wanted).sum(axis=1) + self.bias[out] - log_k[out]) - 1
-        g_no = _slope(q @ self.target[drawn].T + self.bias[drawn] - log_k[drawn])
+        g_yes = _slope((q * wanted).sum(axis=1) + self.bias[out] - noise.log_symbol[out]) - 1
+        g_no = _slope(q @ self.target[drawn].T + (self.bias[drawn] - noise.log_symbol[drawn]))
         dq = g_yes[:, None] * wanted + g_no @ self.target[drawn]
         inside = np.flatnonzero(event >= 0)
         own = out[inside] - 1 - HEAD
-        inside = inside[self.first[own + 1] - self.first[own] > 1]
+        alone = self.first[own + 1] - self.first[own] < 2
+        inside, own = inside[~alone], own[~alone]
         steps = []
         if len(inside):
-            own, word, q_in = out[inside] - 1 - HEAD, event[inside], q[inside]
-            low, high = noise.event_upto[self.first[own]], noise.event_upto[self.first[own + 1]]
-            others = np.searchsorted(noise.event_upto, low[:, None] + rng.random((len(own), INNER_NOISE)) * (high - low)[:, None], "right") - 1
-            others = np.clip(others, self.first[own][:, None], self.first[own + 1][:, None] - 1)
-            rows = np.concatenate([word[:, None], others], axis=1)
-            vectors = self.inner[rows]
-            log_in = np.log(INNER_NOISE) + noise.log_event[rows]
-            slope = _slope(np.einsum("nkd,nd->nk", vectors, q_in) + self.inner_bias[rows] - log_in).astype(np.float32)
-            slope[:, 0] -= 1
-            dq[inside] += np.einsum("nk,nkd->nd", slope, vectors)
-            flat = rows.ravel()
-            steps = [(4, flat, (slope[:, :, None] * q_in[:, None, :]).reshape(-1, DIM)), (5, flat, slope.ravel())]
+            order = np.argsort(own, kind="stable")
+            inside, own = inside[order], own[order]
+            # groups of up to SHARED words of one class, as rows of a table
+            starts = _changes(own)
+            rank = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
+            group = np.cumsum(rank % SHARED == 0) - 1
+            column = rank % SHARED
+            classes = own[column == 0]
+            low, high = noise.event_upto[self.first[classes]], noise.event_upto[self.first[classes + 1]]
+            others = np.searchsorted(noise.event_upto, low[:, None] + rng.random((len(classes), INNER_NOISE)) * (high - low)[:, None], "right") - 1
+            others = np.clip(others, self.first[classes][:, None], self.first[classes + 1][:, None] - 1)
+            q_in = np.zeros((len(classes), SHARED, DIM), np.float32)
+            q_in[group, column] = q[inside]
+            there = np.zeros((len(classes), SHARED, 1), np.float32)
+            there[group, column] = 1
+            word = event[inside]
+            own_vectors, vectors = self.inner[word], self.inner[others]
+            s_yes = _slope((q[inside] * own_vectors).sum(axis=1) + self.inner_bias[word] - noise.log_event[word]) - 1
+            s_no = _slope(q_in @ vectors.transpose(0, 2, 1) + (self.inner_bias[others] - noise.log_event[others])[:, None, :]) * there
+            dq[inside] += s_yes[:, None] * own_vectors + (s_no @ vectors)[group, column]
+            rows = np.concatenate([word, others.ravel()])
+            steps = [
+                (4, rows, np.concatenate([s_yes[:, None] * q[inside], (s_no.transpose(0, 2, 1) @ q_in).reshape(-1, DIM)])),
+                (5, rows, np.concatenate([s_yes, s_no.sum(axis=1).ravel()])),
+            ]
+        spread = np.zeros_like(seen)
+        spread[at] = dq
+        d_seen, d_position = np.zeros_like(seen), np.zeros_like(self.position)
+        for k in range(1, CONTEXT + 1):
+            d_seen[:-k] += spread[k:] * self.position[k - 1]
+            d_position[k - 1] = np.einsum("nd,nd->d", spread[k:], seen[:-k])
         steps += [
             (1, np.concatenate([out, drawn]), np.concatenate([g_yes[:, None] * q, g_no.T @ q])),
-            (0, context.ravel(), (dq[:, None, :] * self.position).reshape(-1, DIM)),
-            (2, np.arange(CONTEXT), (dq[:, None, :] * seen).sum(axis=0)),
+            (0, ids, d_seen),
+            (2, np.arange(CONTEXT), d_position),
             (3, np.concatenate([out, drawn]), np.concatenate([g_yes, g_no.sum(axis=0)])),
         ]
         if not self.squares:
             self.squares = [np.full_like(p, 1e-4) for p in self.parts]
         if not self.met:
             self.met = [np.zeros(len(p), np.int64) for p in self.parts]
+        known: tuple = (None, None, None, None)
         for i, rows, values in steps:
-            own, g = _summed(rows, values)
-            g = g / n
+            if rows is not known[0]:
+                order = np.argsort(rows, kind="stable")
+                begin = _changes(rows[order])
+                own = rows[order][begin]
+                known = rows, order, own, begin
+            _, order, own, begin = known
+            g = np.add.reduceat(values[order], begin, axis=0) / np.float32(n)
             self.met[i][own] += 1
             square = self.squares[i][own] + g * g
             self.squares[i][own] = square
-            self.parts[i][own] -= RATE * g / np.sqrt(square)
+            self.parts[i][own] -= np.float32(RATE) * g / np.sqrt(square)
 
-    def train(self, out: np.ndarray, event: np.ndarray, context: np.ndarray, noise: Noise, rng: np.random.Generator) -> None:
-        order = rng.permutation(len(out))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            self.learn(out[rows], event[rows], context[rows], noise, rng)
+    def train(self, some: Stream, noise: Noise, rng: np.random.Generator) -> None:
+        """Steps over portions of the tokens as they stand in the texts."""
+        for a in range(0, len(some.out), BATCH):
+            self.learn(some, a, min(a + BATCH, len(some.out)), noise, rng)
 
 
 def _slope(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """1 / (1 + exp(-x)), in place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _with_bias(vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.concatenate([vectors, bias[:, None]], axis=1)
 
 
-def _chosen(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """The log softmax of one column a row."""
-    own = logits[np.arange(len(logits)), column].astype(np.float64)
-    top = logits.max(axis=1, keepdims=True)
-    return own - top[:, 0] - np.log(np.exp(logits - top).sum(axis=1, dtype=np.float64))
+def _log_sums(q: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's sum of exponentials over all ``targets``; q ends in a column of ones, the targets in their biases."""
+    logits = q @ targets.T
+    top = 0.0
+    if logits.max(initial=0) > 60:
+        top = logits.max(axis=1, keepdims=True)
+        logits -= top
+        top = top[:, 0]
+    np.exp(logits, out=logits)
+    return np.log(logits @ np.ones(len(targets), np.float32), dtype=np.float64) + top
 
 
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows, and each one's sum of values."""
     order = np.argsort(rows, kind="stable")
-    own, begin = np.unique(rows[order], return_index=True)
-    return own, np.add.reduceat(values[order], begin, axis=0)
+    begin = _changes(rows[order])
+    return rows[order][begin], np.add.reduceat(values[order], begin, axis=0)
+
+
+def _changes(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,58 +362,82 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
+def _frequent(counts: DataFrame, total: int) -> tuple[pa.Table, int]:
+    """The words of the greatest counts, ``FREQUENT`` of them or, if those are more, all trained ones, and how many are trained.
+
+    A histogram of the counts says from which one on words are taken, so no task sorts or merges words of others.
+    """
+    step = F.floor(F.log2("n") * 64)
+    histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
+    least = max(TRAINED, int(np.ceil(total**0.5 / ROOT)))
+    held, from_step = 0, None
+    for r in histogram:
+        if held + r.words > FREQUENT:
+            break
+        held, from_step = held + r.words, r.step
+    taken = (F.col("n") >= least) | (F.lit(False) if from_step is None else step >= from_step)
+    top = counts.where(taken).toArrow().sort_by([("n", "descending"), ("code", "ascending")])
+    return top, int(np.count_nonzero(top["n"].to_numpy() >= least))
+
+
 def vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """The counts of the training ``texts``, and the table (code, bucket, n) of all their words."""
     counts = stored(texts.select("text").mapInArrow(_count, "code long, bucket long, n long").groupBy("code").agg(F.first("bucket").alias("bucket"), F.sum("n").alias("n")), "counts")
     ends = texts.count()
     distinct, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     total += ends
-    often = counts.where(F.col("n") >= max(TRAINED, int(np.ceil(total**0.5 / ROOT)))).count()
-    top = counts.orderBy(F.desc("n"), "code").limit(max(FREQUENT, often)).toArrow()
+    top, often = _frequent(counts, total)
     codes, n, bucket = top["code"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["bucket"].to_numpy()
     trained = min(len(codes), max(HEAD, often))
-    split = 1 << max(0, round(np.log2(max(1.0, trained**0.5 / BUCKETS))))
-    size = BUCKETS * split
-    in_class = (F.col("bucket") * split + F.pmod(F.shiftrightunsigned("code", 40), F.lit(split))).cast("long")
-    symbol, rare, rare_distinct = np.zeros(1 + HEAD + size), np.zeros(size), np.zeros(size)
-    for row in counts.groupBy(in_class.alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        rare[row["class"]] = row.n
-        rare_distinct[row["class"]] = row.v
-    words = Vocabulary(total, distinct + (ends > 0), ends, codes, n, trained, len(codes) == distinct, split, symbol, rare, rare_distinct, *(np.zeros(0, np.int64) for _ in range(3)))
-    own = words.classes(codes[:trained], bucket[:trained])
-    np.subtract.at(rare, own[:HEAD], n[: min(HEAD, trained)])
+    rare, rare_distinct = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for row in counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        rare[row.bucket] = row.n
+        rare_distinct[row.bucket] = row.v
+    np.subtract.at(rare, bucket[:trained], n[:trained])
+    np.subtract.at(rare_distinct, bucket[:trained], 1)
+    # a bucket's trained words, most frequent first, are cut into classes of equal sums of roots of their counts:
+    # that makes the classes of frequent words small, and the mean size of a token's class least
+    own, weight = bucket[HEAD:trained], n[HEAD:trained] ** 0.5
+    mass = np.bincount(own, weight, BUCKETS)
+    wanted = max(BUCKETS, (len(own) / 5) ** 0.5)
+    cuts = np.maximum(1, np.round(wanted * mass / max(mass.sum(), 1e-9))).astype(np.int64)
+    after = np.cumsum(cuts)
+    order = np.argsort(own, kind="stable")
+    upto = np.cumsum(weight[order]) - weight[order] - (np.cumsum(mass) - mass)[own[order]]
+    tier = np.minimum(upto / np.maximum(mass[own[order]], 1e-9) * cuts[own[order]], cuts[own[order]] - 1).astype(np.int64)
+    word_class, event = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+    word_class[order] = (after - cuts)[own[order]] + np.maximum(tier, 0)
+    members = np.bincount(word_class, minlength=after[-1])
+    members[after - 1] += 1
+    first_event = np.concatenate([[0], np.cumsum(members)])
+    event[order] = np.arange(len(order)) + own[order]  # behind as many rare events as there are buckets before
+    event_counts = np.empty(first_event[-1])
+    event_counts[first_event[after] - 1] = rare
+    event_counts[event] = n[HEAD:trained]
+    symbol = np.zeros(1 + HEAD + after[-1])
     symbol[0] = ends
     symbol[1 : 1 + len(n[:HEAD])] = n[:HEAD]
-    symbol[1 + HEAD :] = rare
-    np.subtract.at(rare, own[HEAD:], n[HEAD:trained])
-    np.subtract.at(rare_distinct, own, 1)
-    members = np.bincount(own[HEAD:], minlength=size)
-    words.first_event = np.concatenate([[0], np.cumsum(members + 1)])
-    order = np.argsort(own[HEAD:], kind="stable")
-    words.event = np.empty(len(order), np.int64)
-    # the k-th trained word by class stands behind k others and the rare events of the classes up to its own
-    words.event[order] = np.arange(len(order)) + own[HEAD:][order] + 1
-    words.event_counts = np.empty(words.first_event[-1])
-    words.event_counts[words.first_event[:-1]] = rare
-    words.event_counts[words.event] = n[HEAD:trained]
-    return words, counts
+    np.add.at(symbol, 1 + HEAD + word_class, n[HEAD:trained])
+    np.add.at(symbol, HEAD + after, rare)
+    return Vocabulary(total, distinct + (ends > 0), ends, codes, n, trained, len(codes) == distinct, symbol, rare, rare_distinct, after - 1, first_event[after] - 1, word_class, event, event_counts, first_event), counts
 
 
 def _noise(words: Vocabulary) -> Noise:
     symbol = words.symbol_counts + 0.5
     event = words.event_counts + 0.5
-    inside = np.add.reduceat(event, words.first_event[:-1])
-    return Noise(symbol / symbol.sum(), event / np.repeat(inside, np.diff(words.first_event)), words.first_event)
+    size = np.diff(words.first_event)
+    inside = np.zeros(len(size))
+    inside[size > 0] = np.add.reduceat(event, words.first_event[:-1][size > 0])
+    return Noise(symbol / symbol.sum(), event / np.repeat(inside, size), words.first_event)
 
 
 def _learn_pieces(model: Bilinear, words: Vocabulary, slots: K.Slots, noise: Noise, rng: np.random.Generator, column: pa.Array | pa.ChunkedArray) -> None:
     for piece in K.pieces(column):
         code, bucket, found = tokens(piece)
-        out, event, context, _ = symbols(code, words.classes(code, bucket), found.first, slots, words)
-        model.train(out, event, context, noise, rng)
+        model.train(stream(code, bucket, found.first, slots, words), noise, rng)
 
 
-VECTORS = "part int, row long, met long, value array<float>"
+VECTORS = "part int, row long, met long, value binary"
 
 
 def _improve(model: Bilinear, words: Vocabulary, noise: Noise):
@@ -362,8 +457,14 @@ def _improve(model: Bilinear, words: Vocabulary, noise: Noise):
 
 
 def _vectors(part: np.ndarray, row: np.ndarray, met: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    offsets = np.arange(len(row) + 1) * value.shape[1]
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(row, pa.int64()), pa.array(met, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.ravel(), pa.float32()))], names=[f.split()[0] for f in VECTORS.split(", ")])
+    value = np.ascontiguousarray(value, "<f4")
+    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * value.shape[1]), len(row), [None, pa.py_buffer(value)]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(row, pa.int64()), pa.array(met, pa.int64()), raw], names=[f.split()[0] for f in VECTORS.split(", ")])
+
+
+def _values(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of one part."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), -1)
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +475,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, met = (batch.column(i).to_numpy() for i in range(3))
         for i in np.unique(part):
             some = np.flatnonzero(part == i)
-            value = batch.column(3).take(pa.array(some)).flatten().to_numpy().reshape(len(some), -1).astype(np.float64)
+            value = _values(batch.column(3).take(pa.array(some))).astype(np.float64)
             value = np.concatenate([value * met[some, None], met[some, None]], axis=1)
             if i in keys:
                 keys[i], sums[i] = _summed(np.concatenate([keys[i], row[some]]), np.concatenate([sums[i], value]))
@@ -388,7 +489,8 @@ def train(texts: DataFrame, words: Vocabulary) -> Bilinear:
     """The model after a warm start on a bounded sample and ROUNDS passes over all ``texts``."""
     noise, words = _noise(words), words.light
     model, slots, rng = Bilinear.fresh(noise.symbol, noise.event, noise.first), K.Slots(words.codes), np.random.default_rng(18)
-    sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_TEXTS).select("text").toArrow()
+    ids = [r.doc_id for r in texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_TEXTS).collect()]
+    sample = one_text_each(texts.where(F.col("doc_id").isin(ids)).select("doc_id", "text"))
     for _ in range(WARM_EPOCHS):
         _learn_pieces(model, words, slots, noise, rng, sample["text"])
     for _ in range(ROUNDS):
@@ -397,12 +499,12 @@ def train(texts: DataFrame, words: Vocabulary) -> Bilinear:
         for i, p in enumerate(model.parts):
             some = np.flatnonzero(part == i)
             if len(some):
-                p[row[some]] = rows["value"].take(pa.array(some)).combine_chunks().flatten().to_numpy().reshape(p[row[some]].shape)
+                p[row[some]] = _values(rows["value"].take(pa.array(some))).reshape(p[row[some]].shape)
     model.squares, model.met = [], []
     return model
 
 
-PARTIAL = "row long, doc_id long, n_tokens long, n_known long, base double, model double, tail_code array<long>, tail_class array<long>, tail_n array<long>"
+PARTIAL = "row long, doc_id long, n_tokens long, n_known long, base double, model double, tail_code array<long>, tail_bucket array<long>, tail_n array<long>"
 
 
 def _score(model: Bilinear, words: Vocabulary):
@@ -415,14 +517,13 @@ def _score(model: Bilinear, words: Vocabulary):
         for batch in batches:
             for piece in K.pieces(batch.column(1)):
                 code, bucket, found = tokens(piece)
-                own = words.classes(code, bucket)
-                out, event, context, begin = symbols(code, own, found.first, slots, words)
-                log_p = model.log_probabilities(out, context, event)
+                some = stream(code, bucket, found.first, slots, words)
+                log_p = model.log_probabilities(model.queries(some.source)[some.at], some.out, some.event)
                 place = frequent.find(code)
                 known = place >= 0
                 extra = np.zeros(len(code))
                 inside = known & ~own_event[place] if len(own_event) else np.zeros(len(code), bool)
-                extra[inside] = words.among_rare(words.counts[place[inside]], own[inside])
+                extra[inside] = words.among_rare(words.counts[place[inside]], bucket[inside])
                 base_known = np.zeros(len(code))
                 base_known[known] = base[place[known]]
                 fold = lambda v: _fold(v, found.first)
@@ -438,9 +539,9 @@ def _score(model: Bilinear, words: Vocabulary):
                     pa.array(found.count + 1),
                     pa.array(_fold(known.astype(float), found.first).astype(np.int64) + int(words.ends > 0)),
                     pa.array(fold(base_known) + end),
-                    pa.array(np.add.reduceat(log_p, begin[:-1]) + fold(extra)),
+                    pa.array(np.add.reduceat(log_p, some.begin[:-1]) + fold(extra)),
                     tail(K.signed(code[~known])),
-                    tail(own[~known]),
+                    tail(bucket[~known]),
                     pa.ListArray.from_arrays(offsets, pa.array(times[order], pa.int64())),
                 ]
                 row += piece.n
@@ -462,14 +563,14 @@ def score(docs: DataFrame, model: Bilinear, words: Vocabulary, counts: DataFrame
     """(doc_id, n_tokens, n_known, base_score, score) for every row of ``docs``."""
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     partial = stored(texts.mapInArrow(_score(model, words), PARTIAL), "partial")
-    tail = partial.select("row", F.explode(F.arrays_zip("tail_code", "tail_class", "tail_n")).alias("t")).select("row", F.col("t.tail_code").alias("code"), F.col("t.tail_class").alias("class"), F.col("t.tail_n").alias("times"))
+    tail = partial.select("row", F.explode(F.arrays_zip("tail_code", "tail_bucket", "tail_n")).alias("t")).select("row", F.col("t.tail_code").alias("code"), F.col("t.tail_bucket").alias("bucket"), F.col("t.tail_n").alias("times"))
     if words.all_words:  # the broadcast table holds every count
         found = tail.withColumn("c", F.lit(0).cast("long"))
     else:
         least = int(words.counts[-1])
         rare = counts.where(F.col("n") <= least).select("code", F.col("n").alias("c"))
         found = tail.join(rare, "code", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
-    size = F.element_at(F.array(*(F.lit(float(n + ALPHA * (v + 1))) for n, v in zip(words.rare_counts, words.rare_distinct, strict=True))), (F.col("class") + 1).cast("int"))
+    size = F.element_at(F.array(*(F.lit(float(n + ALPHA * (v + 1))) for n, v in zip(words.rare_counts, words.rare_distinct, strict=True))), (F.col("bucket") + 1).cast("int"))
     whole = words.total + ALPHA * (words.distinct + 1)
     sums = found.groupBy("row").agg(
         F.sum(F.col("times") * F.log10((F.col("c") + ALPHA) / F.lit(whole))).alias("b"),

@@ -553,13 +553,6 @@ def test_lm_counts(spark, sf_dir, texts, monkeypatch, frequent):
     assert model > base
 
 
-def test_lm_is_normalised():
-    rng = np.random.default_rng(0)
-    model = lm.Bilinear.fresh(np.full(lm.SYMBOLS, 1 / lm.SYMBOLS))
-    context = rng.integers(0, lm.SYMBOLS, (1, lm.CONTEXT)).repeat(lm.SYMBOLS, axis=0)
-    assert math.isclose((10 ** model.log_probabilities(np.arange(lm.SYMBOLS), context)).sum(), 1, rel_tol=1e-6)
-
-
 def test_lm_on_hard_rows(hard):
     rows = lm.lm_scores(hard).collect()
     assert len(rows) == 10 and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
@@ -586,7 +579,44 @@ def test_lm_words_have_vectors_of_their_own(spark, monkeypatch):
     asked = [f"{a} {b}" for a, _ in pairs for _, b in pairs]
     got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, words, counts).collect()}
     assert got[0] > got[1] + 0.3 and got[3] > got[2] + 0.3
-    out = [np.arange(1 + lm.HEAD)] + [np.full(n, 1 + lm.HEAD + c) for c, n in enumerate(np.diff(words.first_event))]
+    assert_normalised(model, words, rng)
+
+
+def assert_normalised(model, words, rng):
+    """The probabilities of all events after some context sum to 1."""
+    out = np.concatenate([np.arange(1 + lm.HEAD), 1 + lm.HEAD + np.repeat(np.arange(len(words.first_event) - 1), np.diff(words.first_event))])
     event = np.concatenate([np.full(1 + lm.HEAD, -1), np.arange(words.first_event[-1])])
-    context = rng.integers(0, len(model.source), (1, lm.CONTEXT)).repeat(len(event), axis=0)
-    assert math.isclose((10 ** model.log_probabilities(np.concatenate(out), context, event)).sum(), 1, rel_tol=1e-6)
+    context = rng.integers(0, len(model.source), (1, lm.CONTEXT))
+    q = (model.source[context] * model.position).sum(axis=1).repeat(len(event), axis=0)
+    # an empty class has no event to go on to, only the little its symbol keeps
+    assert 0.99 < (10 ** model.log_probabilities(q, out, event)).sum() < 1 + 1e-5
+
+
+def test_lm_score_against_plain_loops(spark, sf_dir, monkeypatch):
+    """The score of every text, summed token by token from the model's vectors and the counts."""
+    monkeypatch.setattr(lm, "FREQUENT", 500)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, words, counts = lm.language_model(docs)
+    got = {r.doc_id: r.score for r in lm.score(docs, model, words, counts).collect()}
+    count = {r.code: r.n for r in counts.collect()}
+    place = {int(c): i for i, c in enumerate(words.codes[: words.trained])}
+    for doc_id, text in [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(12).collect()]:
+        code, bucket, _ = lm.tokens(next(kernels.pieces(pa.array([text or ""]))))
+        before, want = [0] * lm.CONTEXT, 0.0
+        for c, b in [*zip(code.tolist(), bucket.tolist(), strict=True), (None, None)]:
+            at = place.get(c, -1) if c is not None else -2
+            symbol = 0 if at == -2 else 1 + at if 0 <= at < lm.HEAD else 1 + lm.HEAD + int(words.word_class[at - lm.HEAD] if at >= 0 else words.rare_class[b])
+            event = -1 if symbol <= lm.HEAD else int(words.event[at - lm.HEAD] if at >= 0 else words.rare_event[b])
+            q = sum(model.source[x].astype(float) * model.position[k] for k, x in enumerate(reversed(before)))
+            outer = model.target @ q + model.bias
+            want += outer[symbol] - np.log(np.exp(outer).sum())
+            if event >= 0:
+                first, last = words.first_event[symbol - 1 - lm.HEAD : symbol + 1 - lm.HEAD]
+                inner = model.inner[first:last] @ q + model.inner_bias[first:last]
+                want += inner[event - first] - np.log(np.exp(inner).sum())
+            if at == -1:
+                n = count.get(int(np.uint64(c).astype(np.int64)), 0)
+                want += np.log((n + lm.ALPHA) / (words.rare_counts[b] + lm.ALPHA * (words.rare_distinct[b] + 1)))
+            before = [*before[1:], 1 + lm.HEAD + event if event >= 0 else symbol]
+        assert math.isclose(got[doc_id], want / math.log(10), rel_tol=1e-4)
+    assert_normalised(model, words, np.random.default_rng(3))
