@@ -10,13 +10,12 @@ class-factored softmax:
   the sum meets every symbol's vector in a matrix product, and a softmax over
   all symbols normalises it;
 * the word inside its class: the same sum meets the vectors of the class's
-  *trained* words, and in a suffix's last class of one event for its rare words,
-  under a second softmax. A word is trained, with vectors of its own as context
+  *trained* words under a second softmax. A word is trained, with vectors of its own as context
   and as target, if it occurs in the training texts at least ``TRAINED`` times,
   or root(tokens) / ``ROOT`` times if that is more: the vocabulary has no
   greatest size, it grows with the corpus about as its root, so it fits a task.
   The number of classes grows with it, and classes of frequent words are small;
-* a rare word among those of its suffix, by the base model's smoothed training
+* a rare word, in the class of all rare words of its suffix, by the base model's smoothed training
   counts, where one share stands for all unknown words. So a text's
   probabilities are normalised over the same events as the base score's.
 
@@ -47,16 +46,18 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import one_text_each, remainder, stored
 
-HEAD, BUCKETS = 191, 64
+HEAD, BUCKETS = 31, 64
 DIM = 24
 CONTEXT = 4
 NOISE, INNER_NOISE = 64, 8
+#: Classes for each root of the number of trained words.
+CLASSES = 0.67
 TRAINED, ROOT = 20, 100
 #: Tokens of one step, and words of a class that share noise draws in it.
-BATCH, SHARED = 4096, 16
+BATCH, SHARED = 2048, 16
 ROUNDS = 1
 WARM_TEXTS, WARM_EPOCHS = 400, 4
-RATE = 0.08
+RATE = 0.15
 FREQUENT = 1 << 18
 ALPHA = 0.1
 MERGE_AT = 1 << 20
@@ -76,8 +77,8 @@ class Vocabulary:
     """Training counts: of all tokens, end tokens, frequent words, symbols, and by suffix bucket of words that are not trained.
 
     The first ``HEAD`` codes are symbols, those from there to ``trained`` words with vectors in their class,
-    ``word_class``. Inside the classes each event has a row, class by class: the trained words, and at the end of a
-    bucket's last class, ``rare_class``, one for the bucket's rare words.
+    ``word_class``. Inside the classes each event has a row, class by class: the trained words, then one for each
+    bucket's rare words, which are a class of their own, ``rare_class``.
     """
 
     total: int
@@ -161,14 +162,12 @@ class Noise:
 
 @dataclass
 class Bilinear:
-    """Vectors of words as context, of symbols and of events inside classes as targets, position weights and target biases."""
+    """Vectors of words as context, position weights, and vectors of symbols and of events inside classes as targets, whose last column is a bias."""
 
     source: np.ndarray
     target: np.ndarray
     position: np.ndarray
-    bias: np.ndarray
     inner: np.ndarray
-    inner_bias: np.ndarray
     first: np.ndarray
     squares: list[np.ndarray] = field(default_factory=list)
     met: list[np.ndarray] = field(default_factory=list)
@@ -178,117 +177,106 @@ class Bilinear:
         """For the shares of the symbols and of the events in their classes."""
         rng = np.random.default_rng(17)
         draw = lambda n: rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
-        return Bilinear(draw(1 + HEAD + len(event)), draw(len(noise)), np.full((CONTEXT, DIM), 0.5, np.float32), np.log(noise).astype(np.float32), draw(len(event)), np.log(event).astype(np.float32), first)
+        targets = lambda share: np.concatenate([draw(len(share)), np.log(share)[:, None].astype(np.float32)], axis=1)
+        return Bilinear(draw(1 + HEAD + len(event)), targets(noise), np.full((CONTEXT, DIM), 0.5, np.float32), targets(event), first)
 
     @property
     def parts(self) -> list[np.ndarray]:
-        return [self.source, self.target, self.position, self.bias, self.inner, self.inner_bias]
+        return [self.source, self.target, self.position, self.inner]
 
     def copy(self) -> Bilinear:
         return Bilinear(*(p.copy() for p in self.parts), self.first, [s.copy() for s in self.squares])
 
-    def queries(self, source: np.ndarray) -> np.ndarray:
-        """For each place of ``source`` the sum of the scaled vectors before it."""
-        vectors = self.source[source]
-        q = np.zeros_like(vectors)
+    def queries(self, vectors: np.ndarray) -> np.ndarray:
+        """For each place the sum of the scaled ``vectors`` before it, and a 1 for the biases."""
+        q = np.zeros((len(vectors), DIM + 1), np.float32)
+        q[:, DIM] = 1
         for k in range(1, CONTEXT + 1):
-            q[k:] += vectors[:-k] * self.position[k - 1]
+            q[k:, :DIM] += vectors[:-k] * self.position[k - 1]
         return q
 
     def log_probabilities(self, q: np.ndarray, out: np.ndarray, event: np.ndarray | None = None) -> np.ndarray:
         """log10 of the normalised probability, after contexts of the sums ``q``, of each symbol of ``out``, and of its ``event`` inside the class."""
-        q = _with_bias(q, np.ones(len(q), np.float32))
-        target, inner = _with_bias(self.target, self.bias), _with_bias(self.inner, self.inner_bias)
-        found = np.einsum("nd,nd->n", q, target[out]).astype(np.float64)
+        found = np.einsum("nd,nd->n", q, self.target[out]).astype(np.float64)
         for at in range(0, len(out), 256):
-            found[at : at + 256] -= _log_sums(q[at : at + 256], target)
+            found[at : at + 256] -= _log_sums(q[at : at + 256], self.target)
         if event is not None:
             rows = np.flatnonzero(event >= 0)
+            rows = rows[np.diff(self.first)[out[rows] - 1 - HEAD] > 1]
             rows = rows[np.argsort(out[rows], kind="stable")]
             inside = q[rows]
-            found[rows] += np.einsum("nd,nd->n", inside, inner[event[rows]])
+            found[rows] += np.einsum("nd,nd->n", inside, self.inner[event[rows]])
             edges = np.searchsorted(out[rows], 1 + HEAD + np.arange(len(self.first)))
             for c in np.flatnonzero(np.diff(edges)):
                 for at in range(edges[c], edges[c + 1], 256):
                     some = slice(at, min(at + 256, edges[c + 1]))
-                    found[rows[some]] -= _log_sums(inside[some], inner[self.first[c] : self.first[c + 1]])
+                    found[rows[some]] -= _log_sums(inside[some], self.inner[self.first[c] : self.first[c + 1]])
         return found / np.log(10)
 
     def learn(self, some: Stream, a: int, b: int, noise: Noise, rng: np.random.Generator) -> None:
         """One noise-contrastive step (AdaGrad) on the tokens from ``a`` to ``b``: symbols against draws that serve all of them, words against draws that serve up to ``SHARED`` words of their class."""
         out, event, at = some.out[a:b], some.event[a:b], some.at[a:b]
         ids, at = some.source[at[0] - CONTEXT : at[-1] + 1], at - at[0] + CONTEXT
-        n = len(out)
         drawn = np.minimum(np.searchsorted(noise.upto, rng.random(NOISE) * noise.upto[-1]), len(noise.symbol) - 1)
         seen = self.source[ids]
-        q = np.zeros_like(seen)
-        for k in range(1, CONTEXT + 1):
-            q[k:] += seen[:-k] * self.position[k - 1]
-        q = q[at]
-        wanted = self.target[out]
-        g_yes = _slope((q * wanted).sum(axis=1) + self.bias[out] - noise.log_symbol[out]) - 1
-        g_no = _slope(q @ self.target[drawn].T + (self.bias[drawn] - noise.log_symbol[drawn]))
-        dq = g_yes[:, None] * wanted + g_no @ self.target[drawn]
+        q = self.queries(seen)[at]
+        wanted, others = self.target[out], self.target[drawn]
+        g_yes = _slope(np.einsum("nd,nd->n", q, wanted) - noise.log_symbol[out]) - 1
+        shifted = others.copy()
+        shifted[:, DIM] -= noise.log_symbol[drawn]
+        g_no = _slope(q @ shifted.T)
+        dq = g_no @ others
+        dq += g_yes[:, None] * wanted
+        steps = [(self.target, 1, np.concatenate([out, drawn]), np.concatenate([g_yes[:, None] * q, g_no.T @ q]))]
         inside = np.flatnonzero(event >= 0)
         own = out[inside] - 1 - HEAD
-        alone = self.first[own + 1] - self.first[own] < 2
-        inside, own = inside[~alone], own[~alone]
-        steps = []
+        several = self.first[own + 1] - self.first[own] > 1
+        inside, own = inside[several], own[several]
         if len(inside):
             order = np.argsort(own, kind="stable")
             inside, own = inside[order], own[order]
             # groups of up to SHARED words of one class, as rows of a table
             starts = _changes(own)
             rank = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
-            group = np.cumsum(rank % SHARED == 0) - 1
-            column = rank % SHARED
+            group, column = np.cumsum(rank % SHARED == 0) - 1, rank % SHARED
             classes = own[column == 0]
-            low, high = noise.event_upto[self.first[classes]], noise.event_upto[self.first[classes + 1]]
-            others = np.searchsorted(noise.event_upto, low[:, None] + rng.random((len(classes), INNER_NOISE)) * (high - low)[:, None], "right") - 1
-            others = np.clip(others, self.first[classes][:, None], self.first[classes + 1][:, None] - 1)
-            q_in = np.zeros((len(classes), SHARED, DIM), np.float32)
-            q_in[group, column] = q[inside]
-            there = np.zeros((len(classes), SHARED, 1), np.float32)
-            there[group, column] = 1
+            first, last = self.first[classes][:, None], self.first[classes + 1][:, None]
+            low, high = noise.event_upto[first], noise.event_upto[last]
+            others = np.clip(np.searchsorted(noise.event_upto, low + rng.random((len(classes), INNER_NOISE)) * (high - low), "right") - 1, first, last - 1)
+            q_own = q[inside]
+            q_in = np.zeros((len(classes), SHARED, DIM + 1), np.float32)
+            q_in[group, column] = q_own
             word = event[inside]
             own_vectors, vectors = self.inner[word], self.inner[others]
-            s_yes = _slope((q[inside] * own_vectors).sum(axis=1) + self.inner_bias[word] - noise.log_event[word]) - 1
-            s_no = _slope(q_in @ vectors.transpose(0, 2, 1) + (self.inner_bias[others] - noise.log_event[others])[:, None, :]) * there
+            s_yes = _slope(np.einsum("nd,nd->n", q_own, own_vectors) - noise.log_event[word]) - 1
+            shifted = vectors.copy()
+            shifted[:, :, DIM] -= noise.log_event[others]
+            s_no = _slope(q_in @ shifted.transpose(0, 2, 1))
+            s_no *= q_in[:, :, DIM:]  # nothing stands in the columns that a group leaves free
             dq[inside] += s_yes[:, None] * own_vectors + (s_no @ vectors)[group, column]
-            rows = np.concatenate([word, others.ravel()])
-            steps = [
-                (4, rows, np.concatenate([s_yes[:, None] * q[inside], (s_no.transpose(0, 2, 1) @ q_in).reshape(-1, DIM)])),
-                (5, rows, np.concatenate([s_yes, s_no.sum(axis=1).ravel()])),
-            ]
+            steps.append((self.inner, 3, np.concatenate([word, others.ravel()]), np.concatenate([s_yes[:, None] * q_own, (s_no.transpose(0, 2, 1) @ q_in).reshape(-1, DIM + 1)])))
         spread = np.zeros_like(seen)
-        spread[at] = dq
+        spread[at] = dq[:, :DIM]
         d_seen, d_position = np.zeros_like(seen), np.zeros_like(self.position)
         for k in range(1, CONTEXT + 1):
             d_seen[:-k] += spread[k:] * self.position[k - 1]
             d_position[k - 1] = np.einsum("nd,nd->d", spread[k:], seen[:-k])
-        steps += [
-            (1, np.concatenate([out, drawn]), np.concatenate([g_yes[:, None] * q, g_no.T @ q])),
-            (0, ids, d_seen),
-            (2, np.arange(CONTEXT), d_position),
-            (3, np.concatenate([out, drawn]), np.concatenate([g_yes, g_no.sum(axis=0)])),
-        ]
+        steps += [(self.source, 0, ids, d_seen), (self.position, 2, np.arange(CONTEXT), d_position)]
         if not self.squares:
             self.squares = [np.full_like(p, 1e-4) for p in self.parts]
         if not self.met:
             self.met = [np.zeros(len(p), np.int64) for p in self.parts]
-        known: tuple = (None, None, None, None)
-        for i, rows, values in steps:
-            if rows is not known[0]:
-                order = np.argsort(rows, kind="stable")
-                begin = _changes(rows[order])
-                own = rows[order][begin]
-                known = rows, order, own, begin
-            _, order, own, begin = known
-            g = np.add.reduceat(values[order], begin, axis=0) / np.float32(n)
+        for part, i, rows, values in steps:
+            own, g = _summed(rows, values)
+            g /= np.float32(len(out))
             self.met[i][own] += 1
-            square = self.squares[i][own] + g * g
+            square = self.squares[i][own]
+            square += g * g
             self.squares[i][own] = square
-            self.parts[i][own] -= np.float32(RATE) * g / np.sqrt(square)
+            np.sqrt(square, out=square)
+            g /= square
+            g *= np.float32(RATE)
+            part[own] -= g
 
     def train(self, some: Stream, noise: Noise, rng: np.random.Generator) -> None:
         """Steps over portions of the tokens as they stand in the texts."""
@@ -305,12 +293,8 @@ def _slope(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _with_bias(vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    return np.concatenate([vectors, bias[:, None]], axis=1)
-
-
 def _log_sums(q: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """The logarithm of each row's sum of exponentials over all ``targets``; q ends in a column of ones, the targets in their biases."""
+    """The logarithm of each row's sum of exponentials over all ``targets``."""
     logits = q @ targets.T
     top = 0.0
     if logits.max(initial=0) > 60:
@@ -399,36 +383,31 @@ def vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     # that makes the classes of frequent words small, and the mean size of a token's class least
     own, weight = bucket[HEAD:trained], n[HEAD:trained] ** 0.5
     mass = np.bincount(own, weight, BUCKETS)
-    wanted = max(BUCKETS, (len(own) / 5) ** 0.5)
-    cuts = np.maximum(1, np.round(wanted * mass / max(mass.sum(), 1e-9))).astype(np.int64)
-    after = np.cumsum(cuts)
+    wanted = max(BUCKETS, CLASSES * len(own) ** 0.5)
+    cuts = np.where(mass > 0, np.maximum(1, np.round(wanted * mass / max(mass.sum(), 1e-9))), 0).astype(np.int64)
     order = np.argsort(own, kind="stable")
     upto = np.cumsum(weight[order]) - weight[order] - (np.cumsum(mass) - mass)[own[order]]
-    tier = np.minimum(upto / np.maximum(mass[own[order]], 1e-9) * cuts[own[order]], cuts[own[order]] - 1).astype(np.int64)
+    tier = np.clip(upto / mass[own[order]] * cuts[own[order]], 0, cuts[own[order]] - 1).astype(np.int64)
+    # tiers that no word begins in are left out
     word_class, event = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
-    word_class[order] = (after - cuts)[own[order]] + np.maximum(tier, 0)
-    members = np.bincount(word_class, minlength=after[-1])
-    members[after - 1] += 1
-    first_event = np.concatenate([[0], np.cumsum(members)])
-    event[order] = np.arange(len(order)) + own[order]  # behind as many rare events as there are buckets before
-    event_counts = np.empty(first_event[-1])
-    event_counts[first_event[after] - 1] = rare
-    event_counts[event] = n[HEAD:trained]
-    symbol = np.zeros(1 + HEAD + after[-1])
+    word_class[order] = np.unique(own[order] * (1 + cuts.max(initial=0)) + tier, return_inverse=True)[1]
+    event[order] = np.arange(len(own))
+    n_classes = int(word_class.max(initial=-1)) + 1
+    first_event = np.concatenate([[0], np.cumsum(np.bincount(word_class, minlength=n_classes)), len(own) + np.arange(1, BUCKETS + 1)])
+    event_counts = np.concatenate([n[HEAD:trained][order], rare])
+    symbol = np.zeros(1 + HEAD + n_classes + BUCKETS)
     symbol[0] = ends
     symbol[1 : 1 + len(n[:HEAD])] = n[:HEAD]
     np.add.at(symbol, 1 + HEAD + word_class, n[HEAD:trained])
-    np.add.at(symbol, HEAD + after, rare)
-    return Vocabulary(total, distinct + (ends > 0), ends, codes, n, trained, len(codes) == distinct, symbol, rare, rare_distinct, after - 1, first_event[after] - 1, word_class, event, event_counts, first_event), counts
+    symbol[1 + HEAD + n_classes :] = rare
+    return Vocabulary(total, distinct + (ends > 0), ends, codes, n, trained, len(codes) == distinct, symbol, rare, rare_distinct, n_classes + np.arange(BUCKETS), len(own) + np.arange(BUCKETS), word_class, event, event_counts, first_event), counts
 
 
 def _noise(words: Vocabulary) -> Noise:
     symbol = words.symbol_counts + 0.5
     event = words.event_counts + 0.5
-    size = np.diff(words.first_event)
-    inside = np.zeros(len(size))
-    inside[size > 0] = np.add.reduceat(event, words.first_event[:-1][size > 0])
-    return Noise(symbol / symbol.sum(), event / np.repeat(inside, size), words.first_event)
+    inside = np.add.reduceat(event, words.first_event[:-1])
+    return Noise(symbol / symbol.sum(), event / np.repeat(inside, np.diff(words.first_event)), words.first_event)
 
 
 def _learn_pieces(model: Bilinear, words: Vocabulary, slots: K.Slots, noise: Noise, rng: np.random.Generator, column: pa.Array | pa.ChunkedArray) -> None:
@@ -518,7 +497,7 @@ def _score(model: Bilinear, words: Vocabulary):
             for piece in K.pieces(batch.column(1)):
                 code, bucket, found = tokens(piece)
                 some = stream(code, bucket, found.first, slots, words)
-                log_p = model.log_probabilities(model.queries(some.source)[some.at], some.out, some.event)
+                log_p = model.log_probabilities(model.queries(model.source[some.source])[some.at], some.out, some.event)
                 place = frequent.find(code)
                 known = place >= 0
                 extra = np.zeros(len(code))

@@ -587,9 +587,8 @@ def assert_normalised(model, words, rng):
     out = np.concatenate([np.arange(1 + lm.HEAD), 1 + lm.HEAD + np.repeat(np.arange(len(words.first_event) - 1), np.diff(words.first_event))])
     event = np.concatenate([np.full(1 + lm.HEAD, -1), np.arange(words.first_event[-1])])
     context = rng.integers(0, len(model.source), (1, lm.CONTEXT))
-    q = (model.source[context] * model.position).sum(axis=1).repeat(len(event), axis=0)
-    # an empty class has no event to go on to, only the little its symbol keeps
-    assert 0.99 < (10 ** model.log_probabilities(q, out, event)).sum() < 1 + 1e-5
+    q = model.queries(model.source[context[0][::-1].tolist() + [0]])[-1:].repeat(len(event), axis=0)
+    assert math.isclose((10 ** model.log_probabilities(q, out, event)).sum(), 1, rel_tol=1e-4)
 
 
 def test_lm_score_against_plain_loops(spark, sf_dir, monkeypatch):
@@ -608,11 +607,11 @@ def test_lm_score_against_plain_loops(spark, sf_dir, monkeypatch):
             symbol = 0 if at == -2 else 1 + at if 0 <= at < lm.HEAD else 1 + lm.HEAD + int(words.word_class[at - lm.HEAD] if at >= 0 else words.rare_class[b])
             event = -1 if symbol <= lm.HEAD else int(words.event[at - lm.HEAD] if at >= 0 else words.rare_event[b])
             q = sum(model.source[x].astype(float) * model.position[k] for k, x in enumerate(reversed(before)))
-            outer = model.target @ q + model.bias
+            outer = model.target[:, :-1] @ q + model.target[:, -1]
             want += outer[symbol] - np.log(np.exp(outer).sum())
             if event >= 0:
                 first, last = words.first_event[symbol - 1 - lm.HEAD : symbol + 1 - lm.HEAD]
-                inner = model.inner[first:last] @ q + model.inner_bias[first:last]
+                inner = model.inner[first:last, :-1] @ q + model.inner[first:last, -1]
                 want += inner[event - first] - np.log(np.exp(inner).sum())
             if at == -1:
                 n = count.get(int(np.uint64(c).astype(np.int64)), 0)
