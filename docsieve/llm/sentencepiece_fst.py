@@ -1,22 +1,31 @@
 """SentencePiece encoding and decoding by weighted finite-state transduction.
 
-Compiled from a model file of BPE type:
-
-* the *normaliser* maps space to U+2581 and begins a text with one (the model's
-  flags; only the identity character map is accepted);
-* the *piece acceptor* reads a piece a step. Its state is the piece read last,
-  and an arc from piece a to piece b exists where the BPE of their joined text
-  is exactly a, b: a sequence is the BPE of its text if and only if every
-  neighbouring pair is, so the machine accepts one segmentation, the right one,
-  though merges are not local weights;
-* *byte fallback* arcs read a character that is no piece as its UTF-8 bytes.
-
-A text is composed with the machine, every arc weighing 1, and the path of least
-weight is taken (tropical semiring: weights add along a path, the least path
-counts). Composition is done, as far as the search needs it, for each stretch from a run of U+2581 to the next,
-which no piece crosses, with a bounded cache of stretches and of arcs.
-
-Null is the empty text: no pieces, and decodes to the empty text.
+A model file of BPE type is compiled once, on the driver, into arrays:
+
+* the *normaliser* rewrites space as U+2581 and begins a text with one (the
+  model's flags; only the identity character map is accepted);
+* the *piece automaton* is a trie of states whose transitions are labelled with
+  characters; where a state ends a piece, an arc writes that piece for weight 1;
+* *byte fallback* arcs read a character that is no piece and write its UTF-8
+  bytes, for weight 1 a byte;
+* the *boundary automaton* has the piece read last as its state. Going on to
+  another piece is free where BPE of the two pieces' text is just these two, and
+  costs ``VIOLATION`` where it merges across their border. Whether it does follows
+  from how both pieces are merged: the derivations and all merges are compiled,
+  pairs are looked up as composition meets them.
+
+A sequence is the BPE of its text if and only if every neighbouring pair is, so
+the path of least weight in the composition of a text with the machine is the
+BPE, although merges are no weights of single pieces. Composition is over
+stretches from a run of U+2581 to the next, which no piece crosses: many distinct
+stretches at once, position by position, each arc keeps the least weight of a
+path that ends with it (tropical semiring: weights add along a path, the least
+path counts) and where that path came from.
+
+Null is the empty text: no pieces, and decodes to the empty text. Repeated rows
+are encoded one by one. Memory follows the longest text, and the longest stretch
+of a text that holds no space. An empty table gives no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -29,10 +38,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SPACE = "▁"
-CACHED = 400_000
+SPACE = "\u2581"
+#: Stretches whose ids a worker keeps, and the longest kept.
+CACHED, CACHED_LENGTH = 400_000, 64
+#: Characters of stretches, and pairs of arcs, that are composed at once.
+BLOCK, PAIRS = 1 << 16, 1 << 20
+VIOLATION = 1 << 32
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
+NEVER = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean"
 
 
@@ -73,155 +87,304 @@ class Transducer:
         self.dummy_prefix = bool(normaliser.get(3, 1))
         if normaliser.get(4, 1) or not normaliser.get(5, 1):
             raise ValueError("only models that keep and mark all spaces are compiled")
-        self.pieces: list[str] = []
-        self.ids: dict[str, int] = {}
-        self.score: dict[str, float] = {}
-        self.bytes = [0] * 256
-        self.byte_of: dict[int, int] = {}
+        self.byte_ids = np.zeros(256, np.int64)
+        self.written: list[bytes] = []
+        ids: dict[str, int] = {}
+        score: dict[str, float] = {}
         for i, raw in enumerate(v for k, v in model if k == 1):
             own = dict(fields(raw))
             piece, kind = own.get(1, b"").decode(), own.get(3, NORMAL)
-            self.pieces.append("" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else piece)
+            self.written.append(b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else piece.encode())
             if kind == BYTE:
-                self.bytes[int(piece[1:-1], 16)] = i
-                self.byte_of[i] = int(piece[1:-1], 16)
+                self.byte_ids[int(piece[1:-1], 16)] = i
+                self.written[i] = bytes([int(piece[1:-1], 16)])
             elif kind == NORMAL:
-                self.ids[piece] = i
-                self.score[piece] = float(np.frombuffer(own.get(2, b"\0\0\0\0"), "<f4")[0])
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+                ids[piece] = i
+                score[piece] = float(np.frombuffer(own.get(2, b"\0\0\0\0"), "<f4")[0])
+        if any(SPACE in p.lstrip(SPACE) for p in ids):
             raise ValueError("a piece crosses from one word into the next")
-        self.starts: dict[str, list[int]] = {}
-        for p in self.ids:
-            self.starts.setdefault(p[0], []).append(len(p))
-        self.starts = {c: sorted(set(n), reverse=True) for c, n in self.starts.items()}
-        self.arcs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.stretches: dict[str, tuple[int, ...]] = {}
+        self.is_byte = np.zeros(len(self.written), bool)
+        self.is_byte[self.byte_ids] = True
+        self._compile_merges(ids, score)
+        self._compile_trie({p: i for p, i in ids.items() if i in self.reachable})
+        self.stretches: dict[str, bytes] = {}
         self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.known_pairs = np.zeros(1 << 20, np.int64)
+        self.known_fit = np.ones(1 << 20, bool)
+
+    def _compile_merges(self, ids: dict[str, int], score: dict[str, float]) -> None:
+        """How each piece is merged (its last two parts and when), and when two symbols are merged."""
+        symbols = dict(ids)
+        for c in sorted({c for p in ids for c in p}):
+            symbols.setdefault(c, len(self.written) + len(symbols) - len(ids))
+        order = {p: i for i, p in enumerate(sorted(score, key=lambda p: -score[p]))}
+        n = len(self.written) + len(symbols) - len(ids)
+        self.when = np.full(n, -1, np.int64)
+        self.left, self.right = np.arange(n), np.arange(n)
+        self.reachable: set[int] = set()
+        when: dict[str, int] = {}
+
+        def time(a: str, b: str) -> int:
+            """When two symbols become one: in the order of scores, but not before both stand there; among those at once, by score."""
+            own = order[a + b]
+            return max(own << 20, when.get(a, 0) >> 20 << 20, when.get(b, 0) >> 20 << 20) | own
+
+        for piece, i in sorted(ids.items(), key=lambda x: len(x[0])):
+            parts = last = list(piece)
+            while len(parts) > 1 and (merged := merged_once(parts, score)) is not parts:
+                last, parts = parts, merged
+            if len(parts) == 1:
+                self.reachable.add(i)
+                if len(piece) > 1:
+                    when[piece] = time(*last)
+                    self.when[i], self.left[i], self.right[i] = when[piece], symbols[last[0]], symbols[last[1]]
+        found = {}
+        for piece in ids:
+            for k in range(1, len(piece)):
+                a, b = symbols.get(piece[:k]), symbols.get(piece[k:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = time(piece[:k], piece[k:])
+        self.merge_keys = np.array(sorted(found), np.int64)
+        self.merge_when = np.array([found[k] for k in self.merge_keys.tolist()], np.int64)
+
+    def _compile_trie(self, ids: dict[str, int]) -> None:
+        """States and transitions of the piece automaton; state 0 is its beginning."""
+        step: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
+        for piece, i in ids.items():
+            state = 0
+            for c in piece:
+                state = step.setdefault((state, ord(c)), len(step) + 1)
+            ends[state] = i
+        keys = sorted(step)
+        self.arc_keys = np.array([s << 21 | c for s, c in keys], np.int64)
+        self.arc_to = np.array([step[k] for k in keys], np.int64)
+        self.accepts = np.full(len(step) + 1, -1, np.int64)
+        self.accepts[list(ends)] = list(ends.values())
+
+    def go(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The next states, -1 for none."""
+        return _found(self.arc_keys, self.arc_to, state << 21 | char, -1)
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether BPE leaves pieces ``a`` and ``b`` side by side.
+
+        Both derivations are undone from the last merge backwards. What stands at
+        the border is then what stood there while BPE ran; if it can be merged
+        before its own next merge (the left one first among equals), it would be.
+        """
+        out = np.ones(len(a), bool)
+        x, y = a.copy(), b.copy()
+        until_x, until_y = np.full(len(a), NEVER, np.int64), np.full(len(a), NEVER, np.int64)
+        at = np.arange(len(a))
+        while len(at):
+            when = _found(self.merge_keys, self.merge_when, x << 32 | y, NEVER)
+            across = (when < until_x) & (when <= until_y)
+            out[at[across]] = False
+            open_ = ~across & ((self.when[x] >= 0) | (self.when[y] >= 0))
+            at, x, y, until_x, until_y = at[open_], x[open_], y[open_], until_x[open_], until_y[open_]
+            undo = self.when[x] > self.when[y]
+            until_x, until_y = np.where(undo, self.when[x], until_x), np.where(undo, until_y, self.when[y])
+            x, y = np.where(undo, self.right[x], x), np.where(undo, y, self.left[y])
+        return out
 
-    def merged(self, text: str) -> list[str]:
-        """BPE of a short text by its definition: merge the best-scored neighbours, leftmost first, until none are a piece."""
-        parts, of = list(text), self.score.get
-        scores = [of(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            best = -1
-            for i, x in enumerate(scores):
-                if x is not None and (best < 0 or x > scores[best]):
-                    best = i
-            if best < 0:
-                return parts
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-            del scores[best]
-            if best:
-                scores[best - 1] = of(parts[best - 1] + parts[best])
-            if best < len(scores):
-                scores[best] = of(parts[best] + parts[best + 1])
-
-    def arc(self, a: str, b: str) -> bool:
-        """Whether piece ``b`` may follow piece ``a``."""
-        found = self.arcs.get((a, b))
-        if found is None:
-            if len(self.arcs) > CACHED:
-                self.arcs.clear()
-            found = self.arcs[a, b] = self.merged(a + b) == [a, b]
-        return found
-
-    def reachable(self, piece: str) -> bool:
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = self.merged(piece) == [piece]
-        return found
+    def boundary(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The weight of going on from piece ``a`` to piece ``b``, -1 standing for bytes; recent pairs are kept."""
+        key = (a + 1) << 32 | (b + 1)
+        out = np.zeros(len(key), np.int64)
+        place = ((key * 0x9E3779B97F4A7C1) >> 40) & (len(self.known_pairs) - 1)
+        new = (self.known_pairs[place] != key) & (a >= 0) & (b >= 0)
+        if new.any():
+            pairs, inverse = np.unique(key[new], return_inverse=True)
+            fit = self.fits((pairs >> 32) - 1, (pairs & 0xFFFFFFFF) - 1)
+            out[new] = np.where(fit, 0, VIOLATION)[inverse]
+        old = ~new & (a >= 0) & (b >= 0)
+        out[old] = np.where(self.known_fit[place[old]], 0, VIOLATION)
+        if new.any():
+            # of several pairs for one place, both arrays take the last
+            put, last = np.unique(place[new][::-1], return_index=True)
+            self.known_pairs[put], self.known_fit[put] = key[new][::-1][last], out[new][::-1][last] == 0
+        return out
+
+    def arcs(self, char: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece) of all arcs over ``char``, sorted by start; ``end`` is where each position's stretch ends."""
+        at, state = np.arange(len(char)), np.zeros(len(char), np.int64)
+        starts, lengths, pieces = [], [], []
+        length = 0
+        while len(at):
+            inside = at + length < end[at]
+            at, state = at[inside], state[inside]
+            state = self.go(state, char[at + length])
+            there = state >= 0
+            if not length:
+                lone = at[~there | (self.accepts[state] < 0)]
+                starts.append(lone)
+                lengths.append(np.ones(len(lone), np.int64))
+                pieces.append(np.full(len(lone), -1))
+            at, state = at[there], state[there]
+            length += 1
+            whole = self.accepts[state] >= 0
+            starts.append(at[whole])
+            lengths.append(np.full(np.count_nonzero(whole), length))
+            pieces.append(self.accepts[state[whole]])
+        start = np.concatenate(starts)
+        order = np.argsort(start, kind="stable")
+        return start[order], np.concatenate(lengths)[order], np.concatenate(pieces)[order]
+
+    def shortest_paths(self, stretches: list[str]) -> list[bytes]:
+        """Each stretch's ids, as little-endian 32-bit numbers, along the path of least weight."""
+        char = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.array([len(x) for x in stretches])
+        upto = np.cumsum(size)
+        start, length, piece = self.arcs(char, np.repeat(upto, size))
+        weight = np.where(piece >= 0, 1, _utf8_length(char[start]))
+        first = np.searchsorted(start, np.arange(len(char) + 1))
+        place = start - np.repeat(upto - size, size)[start]  # inside the stretch
+        total = np.where(place == 0, weight, np.iinfo(np.int64).max)
+        came = np.full(len(start), -1)
+        # an arc is reached from those that end where it starts: sort these by that end, then pair them up place by place
+        by_end = np.argsort(start + length, kind="stable")
+        ends = np.searchsorted((start + length)[by_end], np.arange(len(char) + 2))
+        order = np.argsort(place, kind="stable")
+        order = order[place[order] > 0]
+        from_n = (ends[1:] - ends[:-1])[start[order]]
+        level_ends = np.append(np.flatnonzero(np.diff(place[order])) + 1, len(order)) if len(order) else np.zeros(0, np.int64)
+        pairs_upto = np.concatenate([[0], np.cumsum(from_n)])
+        done = 0
+        while done < len(level_ends):
+            a = level_ends[done - 1] if done else 0
+            until = max(done + 1, int(np.searchsorted(pairs_upto[level_ends], pairs_upto[a] + PAIRS, "right")))
+            b = level_ends[until - 1]
+            own = order[a:b]
+            to = np.repeat(own, from_n[a:b])
+            begin = pairs_upto[a:b] - pairs_upto[a]
+            source = by_end[np.repeat(ends[start[own]] - begin, from_n[a:b]) + np.arange(len(to))]
+            cost = self.boundary(piece[source], piece[to]) + weight[to]
+            for k in range(done, until):
+                lo, hi = (level_ends[k - 1] if k else 0) - a, level_ends[k] - a
+                p, q = begin[lo], begin[hi] if hi < len(begin) else len(to)
+                way = total[source[p:q]] + cost[p:q]
+                groups = begin[lo:hi] - p
+                least = np.minimum.reduceat(way, groups)
+                total[own[lo:hi]] = least
+                hit = np.flatnonzero(way == np.repeat(least, from_n[a + lo : a + hi]))
+                came[own[lo:hi]] = source[p + hit[np.searchsorted(hit, groups)]]
+            done = until
+        # the least arc that ends each stretch, then back along where it came from
+        path = []
+        n_last = ends[upto + 1] - ends[upto]
+        begin = np.cumsum(n_last) - n_last
+        last = by_end[np.repeat(ends[upto] - begin, n_last) + np.arange(n_last.sum())]
+        least = np.minimum.reduceat(total[last], begin)
+        hit = np.flatnonzero(total[last] == np.repeat(least, n_last))
+        now = last[hit[np.searchsorted(hit, begin)]]
+        while len(now):
+            path.append(now)
+            now = came[now]
+            now = now[now >= 0]
+        arc = np.sort(np.concatenate(path))  # arcs are in order of their start
+        n_ids = np.where(piece[arc] >= 0, 1, weight[arc])
+        after = np.cumsum(n_ids)
+        ids = np.zeros(after[-1], "<u4")
+        whole = piece[arc] >= 0
+        ids[after[whole] - 1] = piece[arc[whole]]
+        for k in np.flatnonzero(~whole):
+            ids[after[k] - n_ids[k] : after[k]] = self.byte_ids[list(chr(char[start[arc[k]]]).encode())]
+        raw = ids.tobytes()
+        cuts = np.concatenate([[0], 4 * after[np.searchsorted(start[arc], upto) - 1]]).tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def normalise(self, text: str) -> str:
         return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
 
-    def shortest_path(self, stretch: str) -> tuple[int, ...]:
-        """The ids of the least-weight path through the composition of ``stretch`` with the machine.
-
-        Composed states are (position, last piece), the latter None at the start
-        and after byte fallback. The longest arc, which is the least weight a
-        character, is tried first and dead states are remembered: as the machine
-        accepts one path, the first that reaches the end is the least.
-        """
-        n, dead = len(stretch), set()
-        path: list[tuple[int, str | None, Iterator]] = []
-        i, last, choices = 0, None, self._arcs_from(stretch, 0, None)
-        while i < n:
-            step = next((x for x in choices if (i + x[0], x[1]) not in dead), None)
-            if step is None:
-                dead.add((i, last))
-                i, last, choices = path.pop()
-            else:
-                path.append((i, last, choices))
-                i, last = i + step[0], step[1]
-                choices = self._arcs_from(stretch, i, last)
-        ids: list[int] = []
-        for (at, _, _), piece in zip(path, [x[1] for x in path[1:]] + [last], strict=True):
-            ids.extend((self.ids[piece],) if piece is not None else (self.bytes[b] for b in stretch[at].encode()))
-        return tuple(ids)
-
-    def _arcs_from(self, stretch: str, i: int, last: str | None) -> Iterator[tuple[int, str | None]]:
-        """(length, piece) of the arcs that read ``stretch`` at ``i`` in state ``last``, longest first."""
-        if i >= len(stretch):
-            return
-        c = stretch[i]
-        room = len(stretch) - i
-        for m in self.starts.get(c, ()):
-            if m <= room:
-                piece = stretch[i : i + m]
-                if piece in self.ids and (self.arc(last, piece) if last is not None else m == 1 or self.reachable(piece)):
-                    yield m, piece
-        if c not in self.ids:
-            yield 1, None
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        split = [self.split.findall(self.normalise(x)) for x in texts]
+        if len(self.stretches) > CACHED:
+            self.stretches.clear()
+        new = list(dict.fromkeys(x for own in split for x in own if x not in self.stretches))
+        found, held, n = {}, [], 0
+        for x in [*new, None]:
+            if held and (x is None or n + len(x) > BLOCK):
+                found |= zip(held, self.shortest_paths(held), strict=True)
+                held, n = [], 0
+            if x is not None:
+                held.append(x)
+                n += len(x)
+        self.stretches |= {x: ids for x, ids in found.items() if len(x) <= CACHED_LENGTH}
+        of = self.stretches
+        return [b"".join([of[x] if x in of else found[x] for x in own]) for own in split]
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for stretch in self.split.findall(self.normalise(text)):
-            found = self.stretches.get(stretch)
-            if found is None:
-                if len(self.stretches) > CACHED:
-                    self.stretches.clear()
-                found = self.shortest_path(stretch)
-                if len(stretch) <= 64:
-                    self.stretches[stretch] = found
-            out.extend(found)
-        return out
+        return np.frombuffer(self.encode_all([text])[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids: the machine read backwards."""
-        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in ids)
-        text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
+def merged_once(parts: list[str], score: dict[str, float]) -> list[str]:
+    """BPE by its definition, one step: the best-scored neighbours, leftmost first, become one; the same list if none are a piece."""
+    pairs = [(-score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in score]
+    if not pairs:
+        return parts
+    i = min(pairs)[1]
+    return [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: int) -> np.ndarray:
+    """The values of the ``wanted`` keys, ``other`` where there is none."""
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, values[place], other)
+
+
+def _utf8_length(char: np.ndarray) -> np.ndarray:
+    return 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
+
+
+PORTION = 256
+
+
+def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+
+
 def sentencepiece(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, ids) for every row of ``docs``."""
+    compiled = docs.sparkSession.sparkContext.broadcast(Transducer(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([machine.encode(x or "") for x in some.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for at in range(0, batch.num_rows, PORTION):
+                some = batch.slice(at, PORTION)
+                raw = compiled.value.encode_all([x or "" for x in some.column(1).to_pylist()])
+                offsets = np.cumsum([0, *(len(x) // 4 for x in raw)])
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32()))
+                yield pa.RecordBatch.from_arrays([some.column(0), ids], names=["doc_id", "ids"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs, text, doc_id).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Digest of the ids of every row of ``docs``, and whether they decode to the text (U+2581 in a text comes back as space)."""
+    compiled = docs.sparkSession.sparkContext.broadcast(Transducer(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model)
+        machine = compiled.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                rows = []
-                for doc, x in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    ids = machine.encode(x or "")
-                    raw = np.array(ids, "<u4")
-                    rows.append((doc, len(ids), sum(i in machine.byte_of for i in ids), zlib.crc32(raw.tobytes()), machine.decode(ids) == (x or "").replace(SPACE, " ")))
-                columns = [list(c) for c in zip(*rows, strict=True)]
-                types = [pa.int64()] * 4 + [pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
-
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+            for at in range(0, batch.num_rows, PORTION):
+                some = batch.slice(at, PORTION)
+                texts = [x or "" for x in some.column(1).to_pylist()]
+                raw = machine.encode_all(texts)
+                ids = [np.frombuffer(x, "<u4") for x in raw]
+                columns = [
+                    some.column(0),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([int(np.count_nonzero(machine.is_byte[x])) for x in ids], pa.int64()),
+                    pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                    pa.array([machine.decode(x.tolist()) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SCHEMA.split(", ")])
+
+    return _texts(docs, text, doc_id).mapInArrow(run, SCHEMA)

@@ -230,26 +230,50 @@ def test_nearest_counts_ids_not_rows(spark, monkeypatch):
 # op4
 
 
-def test_sentencepiece_equals_the_library(texts):
+@pytest.fixture(scope="module")
+def machine():
+    return sentencepiece_fst.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def test_sentencepiece_equals_the_library(spark, sf_dir, machine):
+    """All texts of sf0.01, strings of odd characters and of pieces: ids and decoded texts."""
     import random
 
     import sentencepiece
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    machine, library = sentencepiece_fst.Transducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     rng = random.Random(1)
     odd = ["".join(rng.choice("aaabethinos   \n\t▁你好é🙂.,'12 \x00") for _ in range(rng.randint(0, 50))) for _ in range(400)]
-    for text in [*list(texts.values())[:60], *odd, *(" " * k + "a" for k in range(40))]:
-        ids = machine.encode(text)
-        assert ids == library.encode(text)
-        assert machine.decode(ids) == library.decode(ids)
+    pieces = [p.decode() for p in machine.written[3:] if 1 < len(p) < 9 and not p.startswith(b"<")]
+    joined = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(2000)]
+    texts = [r.text or "" for r in table(spark, sf_dir.replace("0.001", "0.01"), "documents").collect()]
+    for some in (texts, odd, joined, [" " * k + "a" for k in range(40)], ["x" * 5000, "ab" * 3000]):
+        ids = [np.frombuffer(x, "<u4").tolist() for x in machine.encode_all(some)]
+        assert ids == library.encode(some)
+        assert [machine.decode(x) for x in ids] == library.decode(ids)
+
+
+def test_boundaries_follow_the_definition_of_bpe(machine):
+    """Going on from one piece to another is free exactly where BPE of their text leaves them as they are."""
+    score = {p.decode(): -float(machine.when[i] & 0xFFFFF) for i, p in enumerate(machine.written) if machine.when[i] >= 0}
+    rng = np.random.default_rng(0)
+    known = np.array([i for i in sorted(machine.reachable) if "▁" not in machine.written[i].decode() and len(machine.written[i]) < 7])
+    a, b = rng.choice(known, 5000), rng.choice(known, 5000)
+    for x, y, fit in zip(a, b, machine.fits(a, b), strict=True):
+        want = [machine.written[x].decode(), machine.written[y].decode()]
+        parts = list("".join(want))
+        while (merged := sentencepiece_fst.merged_once(parts, score)) is not parts:
+            parts = merged
+        assert (parts == want) == fit
+    assert machine.boundary(a, b).tolist() == machine.boundary(a, b).tolist()  # looked up, and kept
 
 
 def test_sentencepiece_on_hard_rows(hard):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = sentencepiece_fst.round_trip(hard, path).collect()
     assert len(rows) == 10 and all(r.round_trip for r in rows)
-    assert sentencepiece_fst.sentencepiece(hard.limit(0), path).count() == 0
+    assert {r.n_pieces for r in rows if r.doc_id in (1, 2)} == {0}
+    assert sentencepiece_fst.sentencepiece(hard.limit(0), path).count() == sentencepiece_fst.round_trip(hard.limit(0), path).count() == 0
 
 
 # op6
