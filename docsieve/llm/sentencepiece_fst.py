@@ -117,7 +117,8 @@ class Transducer:
         symbols = dict(ids)
         for c in sorted({c for p in ids for c in p}):
             symbols.setdefault(c, len(self.written) + len(symbols) - len(ids))
-        order = {p: i for i, p in enumerate(sorted(score, key=lambda p: -score[p]))}
+        rank = {x: i for i, x in enumerate(sorted(set(score.values()), reverse=True))}
+        order = {p: rank[x] for p, x in score.items()}
         n = len(self.written) + len(symbols) - len(ids)
         self.when = np.full(n, -1, np.int64)
         self.left, self.right = np.arange(n), np.arange(n)
