@@ -10,17 +10,21 @@
    of at most ``SHARD_TOKENS`` tokens (or one longer document), each with its
    inverted index in memory.
 4. In a shard, a seed opens a window; its unused neighbours, best BM25 score
-   first, fill it; a document that overflows is cut and its rest is the next
-   window's seed. With no neighbour left the next unused document follows. The
-   last window of a shard is cut into powers of two, so nothing is padded.
+   first, fill it, however many that takes; a document that overflows is cut and
+   its rest is the next window's seed. Only where no unused document of the shard
+   shares a term with the seed, the next unused one follows. The last window of a
+   shard is cut into powers of two, so nothing is padded.
 
 A piece's sequence id holds the partition and a running number. Null and empty
-texts are the end id alone. Repeated rows are packed one by one. An empty table
-gives no pieces.
+texts are the end id alone. Repeated rows are packed one by one. A very long text
+is a shard of its own, so memory follows the longest text. An empty table gives
+no pieces. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import struct
 import zlib
@@ -45,7 +49,8 @@ QUERY_TERMS = 12
 NEIGHBOURS = 64
 ROUTE_TERMS = 4
 K1, B = 1.2, 0.75
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
+NEVER = np.iinfo(np.int32).max
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -56,27 +61,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
-class _Cache(dict):
-    """Makes what it does not hold."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        self[key] = value = self.make(key)
-        return value
-
-
 class WordBpe:
     """Ids of the word-end BPE file as little-endian 16-bit bytes, word by word with a bounded cache.
 
     The file's rules: NFC, white space to one space, small letters, then words by
     the pattern below, each encoded alone; so a word's ids never depend on its
-    neighbours. Texts below U+0250 need no normaliser but lower().
+    neighbours. Texts below U+0250 need no normaliser but lower(). Words of up to
+    ``TABLE`` bytes that are not in the cache are merged many at a time, a row of
+    a table each. Texts that hold a special token's string go through the library.
     """
 
     _PARTS = r"{letter}+|'(?:s|t|re|ve|m|ll|d)|{number}|[^\t-\r \x85{space}{in_letter}{in_number}]+"
+    TABLE = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -84,13 +80,23 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, end = model["vocab"], model["end_of_word_suffix"]
         self.letters = _byte_letters()
+        self.inner, self.last = (np.array([vocabulary[self.letters[b] + x] for b in range(256)], np.int64) for x in ("", end))
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([vocabulary[a] << 16 | vocabulary[b] for a, b in merges], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.merged = np.array([vocabulary[a + b] for a, b in merges], np.int64)
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         low_letters, low_numbers = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
         self.low = re.compile(self._PARTS.format(letter=f"[{low_letters}]", number=f"[{low_numbers}]", space="\xa0", in_letter=low_letters, in_number=low_numbers))
         self.ascii = re.compile(self._PARTS.format(letter="[a-z]", number="[0-9]", space="", in_letter="a-z", in_number="0-9"))
         self.all = regex.compile(self._PARTS.format(letter=r"\p{L}", number=r"\p{N}", space=r"\p{Z}", in_letter=r"\p{L}", in_number=r"\p{N}"))
         self.high = re.compile("[^\x00-ɏ]")
-        self.cache = _Cache(self.word_ids)
+        self.cache: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         if text.isascii():
@@ -99,23 +105,85 @@ class WordBpe:
             return self.low.findall(text.lower())
         return self.all.findall(self.tokenizer.normalizer.normalize_str(text))
 
-    def word_ids(self, word: str) -> bytes:
-        mapped = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
-        found = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-        return struct.pack(f"<{len(found)}H", *found)
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """When two symbols are merged, NEVER if they are not."""
+        key = left << 16 | right
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, self.ranks[place], NEVER)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of some words of similar length: each row merges its best pair, the leftmost first, until none is left."""
+        size = np.array([len(w) for w in words])
+        n, width = len(words), int(size.max())
+        raw = np.zeros((n, width + 1), np.uint8)
+        there = np.arange(width + 1) < size[:, None]
+        raw[there] = np.frombuffer(b"".join(words), np.uint8)
+        symbol = np.where(there, self.inner[raw], 0)
+        symbol[np.arange(n), size - 1] = self.last[raw[np.arange(n), size - 1]]
+        out, length = symbol.copy(), size.copy()
+        rank = np.where(there[:, 1:], self.rank(symbol[:, :-1], symbol[:, 1:]), NEVER)
+        row, place = np.arange(n), np.arange(width)
+        while len(row):
+            best = rank.argmin(axis=1)
+            each = np.arange(len(row))
+            when = rank[each, best]
+            some = when < NEVER
+            if not some.all():
+                out[row[~some]] = symbol[~some]
+                row, symbol, rank, best, when = row[some], symbol[some], rank[some], best[some], when[some]
+                each = each[: len(row)]
+                if not len(row):
+                    break
+            # everything behind the pair moves a place to the left
+            behind = np.minimum(place + (place > best[:, None]), width)
+            symbol[:, :-1] = np.take_along_axis(symbol, behind, axis=1)
+            symbol[each, best] = self.merged[when]
+            shifted = np.take_along_axis(rank, np.minimum(place + (place >= best[:, None]), width - 1), axis=1)
+            length[row] -= 1
+            rank = np.where(place < length[row, None] - 1, shifted, NEVER)
+            left = np.flatnonzero(best > 0)
+            rank[left, best[left] - 1] = self.rank(symbol[left, best[left] - 1], symbol[left, best[left]])
+            right = np.flatnonzero(best < length[row] - 1)
+            rank[right, best[right]] = self.rank(symbol[right, best[right]], symbol[right, best[right] + 1])
+        ids = out.astype("<u2").tobytes()
+        step = 2 * (width + 1)
+        return [ids[i * step : i * step + 2 * k] for i, k in enumerate(length.tolist())]
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of ``words`` into the cache."""
+        pairs = sorted(((w.encode(), w) for w in words), key=lambda x: len(x[0]))
+        at = 0
+        while at < len(pairs) and len(pairs[at][0]) <= self.TABLE:
+            upto = min(len(pairs), at + 4096)
+            while len(pairs[upto - 1][0]) > self.TABLE or len(pairs[upto - 1][0]) > len(pairs[at][0]) + 3:
+                upto -= 1
+            some = pairs[at:upto]
+            self.cache |= zip([w for _, w in some], self.merge([x for x, _ in some]), strict=True)
+            at = upto
+        for raw, w in pairs[at:]:
+            self.cache[w] = np.array([t.id for t in self.tokenizer.model.tokenize(raw.decode("latin-1").translate(self.letters))], "<u2").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out, of, end = [], self.cache.__getitem__, struct.pack("<H", END)
-        for text in texts:
-            out.append(b"".join(map(of, self.words(text))) + end if text else end)
-            if len(self.cache) > CACHED_WORDS:
-                self.cache.clear()
+        end = struct.pack("<H", END)
+        plain = [None if not text else "" if self.special.search(text) else self.words(text) for text in texts]
+        if len(self.cache) > CACHED_WORDS:
+            self.cache.clear()
+        self.learn(set().union(*(x for x in plain if x)).difference(self.cache))
+        of, out = self.cache.__getitem__, []
+        for text, own in zip(texts, plain, strict=True):
+            if own == "":
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes() + end)
+            else:
+                out.append(b"".join(map(of, own or ())) + end)
         return out
 
 
+_bpe = functools.cache(WordBpe)
+
+
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(path)
+        bpe = _bpe(path)  # a worker keeps it, with its cache, for its next task
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -168,25 +236,40 @@ class Shard:
         key, times = np.unique(doc << 16 | np.concatenate(ids).astype(np.int64), return_counts=True)
         doc, term = key >> 16, key & 0xFFFF
         weight = corpus.weights(term, times, length[doc])
-        # a document's query: its weightiest terms
+        # a document's query: its terms, the weightiest first
         order = np.lexsort((term, -weight, doc))
         first = np.searchsorted(doc[order], np.arange(self.n + 1))
-        self.query = [term[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.query = [term[order[a:b]] for a, b in zip(first[:-1], first[1:], strict=True)]
         by_term = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[by_term], weight[by_term]
         self.first = np.searchsorted(term[by_term], np.arange((1 << 16) + 1))
         self.unused = np.ones(self.n, bool)
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """The unused documents that share a query term with ``seed``, best first, ties by place."""
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """Each unused document's BM25 score for a query of some terms."""
         scores = np.zeros(self.n)
-        for t in self.query[seed]:
+        for t in terms:
             at = slice(self.first[t], self.first[t + 1])
             scores[self.doc[at]] += self.weight[at]
         scores[~self.unused] = 0
+        return scores
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """The unused documents that share a term with ``seed``, best first, ties by place.
+
+        Those that share one of its ``QUERY_TERMS`` weightiest terms come first, the best ``NEIGHBOURS`` of them
+        before the others are even sorted; those that share only lighter terms follow. None is left out.
+        """
+        scores = self.scores(self.query[seed][:QUERY_TERMS])
         some = np.argpartition(-scores, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
         some = some[scores[some] > 0]
-        return some[np.lexsort((some, -scores[some]))]
+        yield from some[np.lexsort((some, -scores[some]))].tolist()
+        scores[some] = 0
+        for terms in (None, self.query[seed][QUERY_TERMS:]):
+            if terms is not None:
+                scores = self.scores(terms)
+            rest = np.flatnonzero(scores)
+            yield from rest[np.lexsort((rest, -scores[rest]))].tolist()
 
 
 def window_order(lengths: np.ndarray, shard: Shard) -> list[int]:
@@ -211,7 +294,7 @@ def window_order(lengths: np.ndarray, shard: Shard) -> list[int]:
         if after % WINDOW == 0:
             continue
         for doc in shard.neighbours(seed):
-            take(int(doc))
+            take(doc)
             if after // WINDOW > window:
                 break
         else:
@@ -256,12 +339,17 @@ def _routes(corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = K.signed(K.splitmix(1 << 16, 71))
         for batch in batches:
-            routes = []
-            for raw in batch.column(1):
-                terms, times = np.unique(np.frombuffer(raw.as_buffer(), "<u2"), return_counts=True)
-                weight = corpus.weights(terms, times, times.sum())
-                routes.append(code[terms[np.argsort(-weight, kind="stable")[:ROUTE_TERMS]]].min())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(routes, pa.int64())], names=["doc_id", "ids", "n", "route"])
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                ids = [np.frombuffer(raw, "<u2") for raw in some.column(1).to_pylist()]
+                length = np.array([len(x) for x in ids])
+                key, times = np.unique(np.repeat(np.arange(len(ids)), length) << 16 | np.concatenate(ids).astype(np.int64), return_counts=True)
+                doc, term = key >> 16, key & 0xFFFF
+                order = np.lexsort((term, -corpus.weights(term, times, length[doc]), doc))
+                place = np.arange(len(order)) - np.searchsorted(doc, doc)
+                heavy = order[place < ROUTE_TERMS]
+                routes = np.minimum.reduceat(code[term[heavy]], np.searchsorted(doc[heavy], np.arange(len(ids))))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(routes, pa.int64())], names=["doc_id", "ids", "n", "route"])
 
     return run
 

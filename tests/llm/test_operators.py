@@ -445,7 +445,6 @@ def test_packing(spark, sf_dir, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     ids = {k: t.encode(x, add_special_tokens=False).ids + [1] for k, x in texts.items()}
     assert check_packing(queries.op8_bm25_packing(spark, sf_dir).collect(), ids) == 0
 
@@ -455,8 +454,7 @@ def test_word_bpe_equals_the_library():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    odd = ["", "Hello <|endoftext|> it's we'll\x1c x\x85y ﬁ Σας ΑΣ İx 你好 123 ½ é 🙂\n\t !!'s '' don't", "ǅ Ǆ ﷺ क्षि \x00 x\x1fy", "İSTANBUL ŒUVRE straße ẞ ȸ", "one two three"]
+    odd = ["", "a <|startoftext|> b<|endoftext|><|EndOfText|>", "x" * 3000, "y" * 64 + " " + "z" * 65, "é" * 40, "Hello <|endoftext|> it's we'll\x1c x\x85y ﬁ Σας ΑΣ İx 你好 123 ½ é 🙂\n\t !!'s '' don't", "ǅ Ǆ ﷺ क्षि \x00 x\x1fy", "İSTANBUL ŒUVRE straße ẞ ȸ", "one two three"]
     assert [np.frombuffer(x, "<u2").tolist()[:-1] for x in packing.WordBpe(path).encode(odd)] == [t.encode(x, add_special_tokens=False).ids for x in odd]
 
 
@@ -464,9 +462,27 @@ def test_bm25_neighbours():
     corpus = packing.Corpus(np.ones(1 << 16), 4.0)
     shard = packing.Shard([np.array(x, "<u2") for x in ([5, 6, 7], [5, 6, 9], [8, 8, 8], [5, 10, 11])], corpus)
     shard.unused[0] = False
-    assert shard.neighbours(0).tolist() == [1, 3]
+    assert list(shard.neighbours(0)) == [1, 3]
     shard.unused[1] = False
-    assert shard.neighbours(0).tolist() == [3]
+    assert list(shard.neighbours(0)) == [3]
+
+
+def test_all_neighbours_come_before_strangers(monkeypatch):
+    """Beyond the first portion and the weightiest terms, every unused document that shares a term is a neighbour."""
+    monkeypatch.setattr(packing, "NEIGHBOURS", 4)
+    monkeypatch.setattr(packing, "QUERY_TERMS", 1)
+    idf = np.ones(1 << 16)
+    idf[10] = 5
+    seed = [10, 11, 12]
+    near = [[10, 100 + i] for i in range(20)]
+    light = [[12, 200 + i] for i in range(5)]
+    strangers = [[300 + i, 400 + i] for i in range(30)]
+    shard = packing.Shard([np.array(x, "<u2") for x in [seed, *strangers, *light, *near]], packing.Corpus(idf, 2.0))
+    shard.unused[0] = False
+    assert list(shard.neighbours(0)) == [*range(36, 56), *range(31, 36)]
+    shard.unused[0] = True
+    order = packing.window_order(np.full(56, 2), shard)
+    assert set(order[:26]) == {0, *range(31, 56)}
 
 
 def test_packing_on_hard_rows(hard):
