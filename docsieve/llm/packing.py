@@ -178,7 +178,9 @@ class WordBpe:
         return out
 
 
-_bpe = functools.cache(WordBpe)
+@functools.cache
+def _bpe(path: str) -> WordBpe:
+    return WordBpe(path)
 
 
 def _tokenise(path: str):
