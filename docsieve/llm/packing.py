@@ -259,12 +259,12 @@ class Shard:
     def neighbours(self, seed: int) -> Iterator[int]:
         """The unused documents that share a term with ``seed``, best first, ties by place.
 
-        Those that share one of its ``QUERY_TERMS`` weightiest terms come first, the best ``NEIGHBOURS`` of them
+        Those that share one of its ``QUERY_TERMS`` weightiest terms come first, the best ``NEIGHBOURS`` of them (and ties)
         before the others are even sorted; those that share only lighter terms follow. None is left out.
         """
         scores = self.scores(self.query[seed][:QUERY_TERMS])
-        some = np.argpartition(-scores, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        some = some[scores[some] > 0]
+        least = np.partition(scores, self.n - NEIGHBOURS)[self.n - NEIGHBOURS] if self.n > NEIGHBOURS else 0
+        some = np.flatnonzero(scores >= least if least > 0 else scores)
         yield from some[np.lexsort((some, -scores[some]))].tolist()
         scores[some] = 0
         for terms in (None, self.query[seed][QUERY_TERMS:]):
