@@ -58,7 +58,9 @@ def pieces(column: pa.Array | pa.ChunkedArray, limit: int = PIECE_BYTES) -> Iter
     """The column's texts in pieces of about ``limit`` bytes; null is the empty text."""
     done = 0
     for array in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
-        array = array.cast(pa.large_string()).fill_null("")
+        array = array.cast(pa.large_string())
+        if array.null_count:
+            array = array.fill_null("")
         if not len(array):
             continue
         raw = array.buffers()

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import one_text_each, remainder
+from .shared import one_text_each, release, remainder
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -183,6 +183,8 @@ def train(docs: DataFrame, fold: Column) -> Model:
     temperature = float(min(np.geomspace(0.1, 10, 81), key=loss))
     seen = np.maximum(np.bincount(label[own], minlength=len(languages)), 0.5)
     prior = np.array([counts[x] for x in languages], float)
+    del sample, rows, leader
+    release()
     return Model(languages, idf, weights, temperature, np.log(prior / prior.sum()) - np.log(seen / seen.sum()))
 
 

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import one_text_each, remainder, stored
+from .shared import one_text_each, release, remainder, stored
 
 HEAD, BUCKETS = 31, 64
 DIM = 24
@@ -480,6 +480,8 @@ def train(texts: DataFrame, words: Vocabulary) -> Bilinear:
             if len(some):
                 p[row[some]] = _values(rows["value"].take(pa.array(some))).reshape(p[row[some]].shape)
     model.squares, model.met = [], []
+    del sample, slots
+    release()
     return model
 
 

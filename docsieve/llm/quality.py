@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import labelled_sample, remainder
+from .shared import labelled_sample, release, remainder
 
 WORDS, SHAPES, DIM = 4096, 512, 24
 NONZERO = 4
@@ -195,7 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, vectors: np.ndarray)
     sample, share = labelled_sample(docs, known.select("doc_id", F.col("quality").alias("label")), SAMPLE_LOW, SAMPLE_HIGH)
     index = index_vectors()
     rows = [pooled(piece, vectors, index) for piece in K.pieces(sample["text"])] or [np.zeros((0, 5 * DIM + 3))]
-    return fit(np.concatenate(rows), np.asarray(sample["label"], np.float64), share)
+    net = fit(np.concatenate(rows), np.asarray(sample["label"], np.float64), share)
+    del sample, rows
+    release()
+    return net
 
 
 def score(docs: DataFrame, vectors: np.ndarray, net: Network, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import labelled_sample, remainder
+from .shared import labelled_sample, release, remainder
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
 PREFIXES = (4, 5, 6, 7, 8)
@@ -189,6 +189,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, toxic_share: float) -> Model:
         minima.append(least)
         shares.append(patterns(piece))
         np.add.at(held, short(code), 1)
+    release()
     # most terms are in one text alone and can be no voter: a second pass leaves them out
     codes, docs = [], []
     for piece in K.pieces(texts):
@@ -198,7 +199,10 @@ def fit(texts: pa.Array, toxic: np.ndarray, toxic_share: float) -> Model:
         docs.append((doc[often] + piece.lo).astype(np.int32))
     code, doc, share = np.concatenate(codes), np.concatenate(docs), np.concatenate(shares)
     del codes, docs, held
-    vocabulary, term = np.unique(code, return_inverse=True)
+    release()
+    vocabulary = np.unique(code)
+    term = np.searchsorted(vocabulary, code).astype(np.int32)
+    del code
     # near copies would give the terms of one text many voices: texts with the same few MinHash values share one
     alike = np.zeros(len(toxic), np.uint64)
     for least in np.concatenate(minima, axis=1):
@@ -214,15 +218,21 @@ def fit(texts: pa.Array, toxic: np.ndarray, toxic_share: float) -> Model:
     chosen = np.union1d(np.argsort(-np.abs(rank), kind="stable")[:MAX_FEATURES], voters)
     column = np.full(len(vocabulary), -1)
     column[chosen] = np.arange(len(chosen))
-    presence = np.zeros((len(toxic), len(chosen)), np.float32)
+    codes = vocabulary[chosen]
     known = column[term] >= 0
-    presence[doc[known], column[term[known]]] = 1
-    votes = np.concatenate([presence[:, column[voters]], (share > PATTERN_CUTS).astype(np.float32)], axis=1)
+    rows, columns = doc[known], column[term[known]]
+    del doc, term, known
+    release()
+    # term presence, and the pattern shares in the last columns
+    x = np.zeros((len(toxic), len(chosen) + len(PATTERN_CUTS)), np.float32)
+    x[rows, columns] = 1
+    x[:, len(chosen) :] = share
+    votes = np.concatenate([x[:, column[voters]], (share > PATTERN_CUTS).astype(np.float32)], axis=1)
     start = np.where(toxic > 0, 0.9, np.where(votes[:, : len(voters)].sum(axis=1) > 1, 0.3, 0.05))
     label_model, _ = fit_label_model(votes, start, n1 / (n1 + n0))
-    weights, intercept = fit_logistic(np.concatenate([presence, share.astype(np.float32)], axis=1), label_model.posterior(votes))
+    weights, intercept = fit_logistic(x, label_model.posterior(votes))
     shift = np.log(max(toxic_share, 1e-6) / max(1 - toxic_share, 1e-6)) - np.log(n1 / n0)
-    return Model(vocabulary[chosen], weights[:-3], weights[-3:], intercept + shift, label_model)
+    return Model(codes, weights[:-3], weights[-3:], intercept + shift, label_model)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -248,7 +258,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column) -> Model:
     """Fits the model on a bounded sample of the rows of ``labels`` for which ``fold`` holds."""
     known = labels.where(fold & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     sample, share = labelled_sample(docs, known.select("doc_id", F.col("toxic").alias("label")), SAMPLE_CLEAN, SAMPLE_TOXIC)
-    return fit(sample["text"], np.asarray(sample["label"], np.int64), share)
+    model = fit(sample["text"], np.asarray(sample["label"], np.int64), share)
+    del sample
+    release()
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
