@@ -25,22 +25,22 @@ RUN_LEAST, DECODE_MOST = 80, 8192
 FOLDS = {"\u00df": "ss", "\u01f0": "j\u030c", "\u1e96": "h\u0331", "\u1e97": "t\u0308", "\u1e98": "w\u030a", "\u1e99": "y\u030a"}
 
 
-# The four instruction patterns, between word borders.
-_S = r"[\t\n\r\p{Z}]+"
-INSTRUCTION = (
-    r"(?<![\p{L}\p{N}_])(?:"
-    + "|".join(
-        (
-            rf"ignore{_S}(?:(?:all|any){_S})?(?:previous|prior|above){_S}(?:instructions?|directions?)",
-            rf"(?:disregard|override|bypass){_S}(?:the{_S})?(?:previous|prior|system|developer)",
-            rf"(?:reveal|show|print|exfiltrate){_S}(?:the{_S})?(?:system|developer){_S}(?:prompt|instructions?)",
-            rf"you{_S}are{_S}now",
-        )
-    )
-    + r")(?![\p{L}\p{N}_])"
+# The four instruction patterns, with S for white space, between word borders.
+INSTRUCTION_PATTERNS = (
+    "ignoreS(?:(?:all|any)S)?(?:previous|prior|above)S(?:instructions?|directions?)",
+    "(?:disregard|override|bypass)S(?:theS)?(?:previous|prior|system|developer)",
+    "(?:reveal|show|print|exfiltrate)S(?:theS)?(?:system|developer)S(?:prompt|instructions?)",
+    "youSareSnow",
 )
 
 
+def instruction_pattern(white: str, before: str, after: str) -> str:
+    """The patterns as one expression of any dialect, given its white space and word borders."""
+    return f"{before}(?:{'|'.join(INSTRUCTION_PATTERNS).replace('S', white)}){after}"
+
+
+INSTRUCTION = instruction_pattern(r"[\t\n\r\p{Z}]+", r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
+
 def stable(text: Column) -> Column:
     """Whether a text is its own NFKC: Latin-1 without the letters that change, and the registered controls."""
     return text.rlike(rf"\A(?:[\x00-\xff&&[^{UNSTABLE_LATIN}]]|[{BIDI}{ZERO_WIDTH}])*+\z")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: what names a document in a call.
 DOCUMENT = r"(?:^|[\s'\"=:/])[^\s'\"=]*\.(?:txt|md|markdown|html?|docx|pptx|xlsx|pdf|png|jpe?g)(?:$|[\s'\";,)])"
 EVENT = "PreToolUse"
 PAYLOAD_BYTES = 1 << 20

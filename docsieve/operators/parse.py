@@ -56,6 +56,18 @@ def parsed(suffix: Column, content: Column, limits: Limits, adapters: rendered.A
     return run(suffix, content)
 
 
+def text_parsed(text: Column, limits: Limits) -> Column:
+    """TXT-09 of texts that are strings already, a parse each."""
+
+    @F.pandas_udf(PARSED)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = [guarded(partial(plain_text, t, Clock(limits)), [TEXT_CHECK]).row() for t in texts]
+            yield pd.DataFrame(rows, columns=PARSED.fieldNames())
+
+    return run(text)
+
+
 def normalised(text: Column) -> Column:
     """TXT-02: NFKC without controls; only texts of an unstable alphabet leave the JVM."""
 

@@ -44,11 +44,12 @@ class RenderedPage:
 
 @dataclass
 class Pdf:
-    """``dictionaries`` gives the key sets of all reachable objects, one each."""
+    """``dictionaries`` gives the key sets of all reachable objects, one each; ``locked`` says that nothing can be read without a password."""
 
     encrypted: bool
     dictionaries: Iterable[frozenset[str]]
     pages: list[RenderedPage]
+    locked: bool = False
 
 
 @dataclass
@@ -114,9 +115,10 @@ def pdf(data: bytes, limits: Limits, clock: Clock, adapters: Adapters) -> Parsed
     """PD-03."""
     adapters.need("ocr", "pdf")
     document = adapters.pdf(data)
-    if document.encrypted:
-        return Parsed([(QUARANTINE, "ENCRYPTED_DOCUMENT", "file:structure", None)], "", PDF_CHECKS, PDF_CHECKS)
-    findings, shown = pdf_structure(document, limits), []
+    encrypted: list[Finding] = [(QUARANTINE, "ENCRYPTED_DOCUMENT", "file:structure", None)] if document.encrypted else []
+    if document.locked:
+        return Parsed(encrypted, "", PDF_CHECKS, PDF_CHECKS)
+    findings, shown = encrypted + pdf_structure(document, limits), []
     _bounded(document.pages, limits)
     for number, page in enumerate(document.pages, 1):
         clock.check()

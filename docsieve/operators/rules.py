@@ -9,6 +9,8 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+import subprocess
+import sys
 import time
 import unicodedata
 import zipfile
@@ -16,22 +18,27 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from xml.etree.ElementTree import ParseError
 
-from ..functions.text import ALPHABET, BIDI, DECODE_MOST, RUN_LEAST, ZERO_WIDTH
+from ..functions.text import ALPHABET, BIDI, DECODE_MOST, RUN_LEAST, ZERO_WIDTH, instruction_pattern
 from ..plans.contract import FAILURES, LOCATION, QUARANTINE, REVIEW, Limits
 
 Finding = tuple[int, str, str, str | None]
 
-_DROPPED = dict.fromkeys(map(ord, BIDI + ZERO_WIDTH))
 _WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{ALPHABET}][{ALPHABET}{_WHITE}]*")
-_STRETCH = re.compile(f"[^/{_WHITE}]+")
-_SPACES = re.compile(f"[{_WHITE}]+")
-_INSTRUCTIONS = re.compile(
-    r"\b(?:ignore\s+(?:(?:all|any)\s+)?(?:previous|prior|above)\s+(?:instructions?|directions?)"
-    r"|(?:disregard|override|bypass)\s+(?:the\s+)?(?:previous|prior|system|developer)"
-    r"|(?:reveal|show|print|exfiltrate)\s+(?:the\s+)?(?:system|developer)\s+(?:prompt|instructions?)"
-    r"|you\s+are\s+now)\b"
-)
+_INSTRUCTIONS = re.compile(instruction_pattern(r"\s+", r"\b", r"\b"))
+#: A word at the beginning of each pattern; most texts hold none.
+_FIRST_WORDS = ("ignore", "disregard", "override", "bypass", "reveal", "show", "print", "exfiltrate", "you")
+
+
+def _of_categories(*categories: str, but: str = "") -> re.Pattern:
+    """Any character of some Unicode categories."""
+    points = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in categories and chr(c) not in but]
+    starts = [c for i, c in enumerate(points) if not i or points[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(points) if i + 1 == len(points) or points[i + 1] != c + 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
+_CONTROLS = _of_categories("Cc", "Cf", but="\t\n\r")
 _LOCATION = re.compile(LOCATION.replace(r"\z", r"\Z"))
 
 
@@ -43,6 +50,10 @@ class Unavailable(FileNotFoundError):
     """A reader, renderer or recogniser that a format needs is not there."""
 
 
+class IntegrityError(Exception):
+    """A result that is not what its own rules allow."""
+
+
 @dataclass
 class Clock:
     """A parse's deadline; ``now`` can be replaced in tests."""
@@ -75,10 +86,12 @@ def failure_kind(error: BaseException) -> str:
     """The kind of failure of an exception; its message goes nowhere."""
     if isinstance(error, TimeoutError):
         return "TIMEOUT"
-    if isinstance(error, MemoryError):
+    if isinstance(error, MemoryError | subprocess.TimeoutExpired):
         return "RESOURCE_LIMIT"
-    if isinstance(error, FileNotFoundError):
+    if isinstance(error, FileNotFoundError | ImportError):
         return "DEPENDENCY"
+    if isinstance(error, IntegrityError):
+        return "RESULT_INTEGRITY"
     if isinstance(error, zipfile.BadZipFile | EOFError | ValueError | ParseError):
         return "PARSER"
     return "UNKNOWN"
@@ -94,21 +107,25 @@ def guarded(parse: Callable[[], Parsed], checks: Iterable[str]) -> Parsed:
     try:
         out = parse()
         if not all(_LOCATION.match(f[2]) for f in out.findings):
-            raise ValueError("location")
+            raise IntegrityError
         return out
     except Exception as error:  # whatever goes wrong with one document stays with it
         return failed(failure_kind(error), checks)
 
 
+def no_controls(text: str, lines: list[str]) -> bool:
+    """Whether, by a quick look, a text of these ``lines`` holds no control or format character but LF; False leaves it open."""
+    return all(map(str.isprintable, lines)) and text.removesuffix("\n") == "\n".join(lines)
+
+
 def normalise(text: str) -> str:
-    plain = unicodedata.normalize("NFKC", text).translate(_DROPPED)
-    if plain.isascii() and plain.isprintable():
-        return plain
-    return "".join(c for c in plain if c in "\t\n\r" or unicodedata.category(c) not in ("Cc", "Cf"))
+    """TXT-02; the registered invisible characters are format characters, so they go with the others."""
+    plain = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    return plain if no_controls(plain, plain.splitlines()) else _CONTROLS.sub("", plain)
 
 
 def has_disallowed(text: str) -> bool:
-    return not text.isprintable() and any(c not in "\t\n\r" and unicodedata.category(c) in ("Cc", "Cf") for c in text)
+    return not no_controls(text, text.splitlines()) and _CONTROLS.search(text) is not None
 
 
 def anomalies(text: str) -> list[str]:
@@ -116,7 +133,13 @@ def anomalies(text: str) -> list[str]:
 
 
 def is_instruction(text: str) -> bool:
-    return _INSTRUCTIONS.search(normalise(text).casefold()) is not None
+    return tells(normalise(text))
+
+
+def tells(plain: str) -> bool:
+    """Whether any instruction pattern is in a text in normal form."""
+    folded = plain.casefold()
+    return any(word in folded for word in _FIRST_WORDS) and _INSTRUCTIONS.search(folded) is not None
 
 
 def instructions(text: str, location: str, hidden: bool) -> list[Finding]:
@@ -126,7 +149,7 @@ def instructions(text: str, location: str, hidden: bool) -> list[Finding]:
 
 
 def decode_block(encoded: str) -> str | None:
-    compact = _SPACES.sub("", encoded)
+    compact = "".join(encoded.split())
     if len(compact) > DECODE_MOST or len(compact) % 4 == 1:
         return None
     try:
@@ -137,14 +160,14 @@ def decode_block(encoded: str) -> str | None:
 
 def run_risk(run: str) -> int | None:
     """Rank of the finding that a run of the alphabet and white space makes."""
-    n = len(_SPACES.sub("", run))
+    n = len("".join(run.split()))
     if n < RUN_LEAST:
         return None
     if len(run) - n > n // 2:
         return QUARANTINE
     decoded = decode_block(run[:DECODE_MOST]) if n <= DECODE_MOST else None
     if decoded is None:
-        longest = max((len(x) for x in _STRETCH.findall(run)), default=0)
+        longest = max(map(len, run.replace("/", " ").split()), default=0)
         return REVIEW if "+" in run or "=" in run or longest >= RUN_LEAST else None
     return QUARANTINE if is_instruction(decoded) else REVIEW
 
@@ -152,7 +175,7 @@ def run_risk(run: str) -> int | None:
 def encoded_blocks(text: str, location: str) -> list[Finding]:
     if len(text) < RUN_LEAST:
         return []
-    ranks = (run_risk(m[0]) for m in _RUN.finditer(text) if len(m[0]) >= RUN_LEAST)
+    ranks = (run_risk(run) for run in _RUN.findall(text) if len(run) >= RUN_LEAST)
     return [(r, "ENCODED_INSTRUCTION_PATTERN", location, "LONG_ENCODED_BLOCK") for r in ranks if r is not None]
 
 
@@ -177,14 +200,18 @@ def decode_text(content: bytes) -> str:
 def plain_text(text: str, clock: Clock, more: Callable[[str], tuple[list[Finding], bool]] | None = None) -> Parsed:
     """TXT-09, with what ``more`` finds and whether it holds the derivative back."""
     at_top = "text:line=1"
+    plain = normalise(text)
     findings = [mismatch(at_top)] if has_disallowed(text) else []
-    for number, line in enumerate(text.splitlines(), 1):
-        clock.check()
-        where = f"text:line={number}"
-        findings += [mismatch(where, a) for a in anomalies(line)]
-        findings += instructions(line, where, hidden=False)
+    lines = text.splitlines()
+    # no line holds what the whole text does not: most texts are not looked at line by line
+    if anomalies(text) or tells(plain if no_controls(text, lines) else normalise("\n".join(lines))):
+        for number, line in enumerate(lines, 1):
+            clock.check()
+            where = f"text:line={number}"
+            findings += [mismatch(where, a) for a in anomalies(line)]
+            findings += instructions(line, where, hidden=False)
     blocks = encoded_blocks(text, at_top)
     findings += blocks
     extra, held = more(text) if more else ([], False)
     clock.check()
-    return Parsed(findings + extra, "" if blocks or held else normalise(text), ["text-patterns"], ["text-patterns"])
+    return Parsed(findings + extra, "" if blocks or held else plain, ["text-patterns"], ["text-patterns"])

@@ -33,6 +33,7 @@ LOCATION = (
     r"|html:node=[1-9][0-9]{0,8}|text:line=[1-9][0-9]{0,8}|image:region=[1-9][0-9]{0,8}"
     r"|file:metadata|file:structure)\z"
 )
+# Fixed values, down to the marker: floors, failures, formats, suffixes and the derivative's first lines.
 #: Least risk of evidence, where it is not low.
 FLOORS = {"PARSER_FAILURE": QUARANTINE, "SCANNER_DEPENDENCY_UNAVAILABLE": REVIEW, "RESOURCE_LIMIT_EXCEEDED": QUARANTINE, "RESULT_INTEGRITY_FAILURE": QUARANTINE}
 #: Evidence of each kind of failure; all are reported as quarantine.

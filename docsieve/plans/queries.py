@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import preflight as P
 from ..functions import text as X
 from ..functions import verdict as V
+from ..operators import office
 from ..operators.guard import EVENT, raw_read_denied
 from ..operators.parse import member_rows, normalised, parsed
+from ..operators.rendered import Span, span_anomaly
+from ..operators.rules import IntegrityError, guarded
 from ..streaming.tables import streamed
 from . import overlay as O
-from .contract import EVIDENCE, FAILURES, FLOORS, LOCATION, MARKER, Limits
+from .contract import EVIDENCE, LOCATION, MARKER, Limits
 from .samples import sample_package
 from .scan import findings_table, scan, scan_text_rows, with_verdict
 
@@ -63,12 +66,6 @@ def strip_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attacked(spark, sf_dir).select("doc_id", F.md5(X.strip_controls(F.col("t"))).alias("digest"))
 
 
-@query(f"WITH d AS ({ATTACKED}) SELECT doc_id, md5({O.sql_plain('t')}) AS digest FROM d WHERE doc_id % 11 <> 4")
-def normalize_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = attacked(spark, sf_dir).where("doc_id % 11 <> 4")
-    return rows.select("doc_id", F.md5(X.drop_controls(F.col("t"))).alias("digest"))
-
-
 @query(f"WITH d AS ({ATTACKED}) SELECT doc_id, md5({O.sql_plain('t')}) AS digest FROM d")
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-02 of all documents, NFKC included. The SQL knows of NFKC only what it does to the overlay's characters; tests/test_normalise.py has others."""
@@ -222,15 +219,48 @@ def required_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", V.verdict(findings)["risk_level"].alias("risk_level"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{e}')" for k, e in FAILURES.items()) + ") AS v(kind, evidence)")
+#: What a parse may raise, and the evidence that the contract asks for.
+_RAISED = {
+    "ValueError": (ValueError, "PARSER_FAILURE"),
+    "EOFError": (EOFError, "PARSER_FAILURE"),
+    "TimeoutError": (TimeoutError, "RESOURCE_LIMIT_EXCEEDED"),
+    "MemoryError": (MemoryError, "RESOURCE_LIMIT_EXCEEDED"),
+    "FileNotFoundError": (FileNotFoundError, "SCANNER_DEPENDENCY_UNAVAILABLE"),
+    "ModuleNotFoundError": (ModuleNotFoundError, "SCANNER_DEPENDENCY_UNAVAILABLE"),
+    "IntegrityError": (IntegrityError, "RESULT_INTEGRITY_FAILURE"),
+    "KeyError": (KeyError, "PARSER_FAILURE"),
+}
+
+
+@query("SELECT doc_id, v.name, v.evidence FROM documents JOIN (VALUES " + ", ".join(f"({i}, '{k}', '{e}')" for i, (k, (_, e)) in enumerate(_RAISED.items())) + f") AS v(k, name, evidence) ON doc_id % {len(_RAISED)} = v.k")
 def failure_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in FAILURES], "kind string").select("kind", V.failure_evidence(F.col("kind")).alias("evidence"))
+    """JN-10: a parse of each document that raises one of these errors, by way of the parsers' own guard."""
+
+    @F.pandas_udf("string")
+    def fail(names: pd.Series) -> pd.Series:
+        def evidence(name: str) -> str:
+            def parse():
+                raise _RAISED[name][0]
+
+            return guarded(parse, ["check"]).findings[0][1]
+
+        return names.map(evidence)
+
+    names = F.array(*(F.lit(k) for k in _RAISED))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.element_at(names, (F.col("doc_id") % len(_RAISED) + 1).cast("int")).alias("name"))
+    return rows.select("doc_id", "name", fail("name").alias("evidence"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{e}', {FLOORS.get(e, 0)})" for e in EVIDENCE) + ") AS v(evidence, risk)")
+_LEAST_RISK = "CASE v.evidence WHEN 'PARSER_FAILURE' THEN 'quarantine' WHEN 'RESOURCE_LIMIT_EXCEEDED' THEN 'quarantine' WHEN 'RESULT_INTEGRITY_FAILURE' THEN 'quarantine' WHEN 'SCANNER_DEPENDENCY_UNAVAILABLE' THEN 'review' ELSE 'low' END"
+
+
+@query("SELECT doc_id, v.evidence, " + _LEAST_RISK + " AS risk_level FROM documents JOIN (VALUES " + ", ".join(f"({i}, '{e}')" for i, e in enumerate(EVIDENCE)) + f") AS v(k, evidence) ON doc_id % {len(EVIDENCE)} = v.k")
 def evidence_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(e,) for e in EVIDENCE], "evidence string")
-    return rows.select("evidence", V.rank(F.array(V.finding(0, "x", "file:structure").withField("evidence", F.col("evidence")))).alias("risk"))
+    """JN-09: the verdict of one low finding with each code."""
+    code = F.element_at(F.array(*(F.lit(e) for e in EVIDENCE)), (F.col("doc_id") % len(EVIDENCE) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", code.alias("evidence"))
+    findings = F.array(V.finding(0, "x", "file:structure").withField("evidence", F.col("evidence")))
+    return rows.select("doc_id", "evidence", V.verdict(findings)["risk_level"].alias("risk_level"))
 
 
 _NAMES = {0: ".txt", 1: ".md", 2: ".pdf", 3: ".HTML", 4: ".csv", 5: "", 6: ".png"}
@@ -288,18 +318,28 @@ def zip_member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_linenumber AS line, chr(CAST(64 + l_linenumber AS INTEGER)) || 'B' AS letters, CAST(l_linenumber * 26 + 2 AS BIGINT) AS n FROM lineitem GROUP BY l_linenumber")
 def column_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XL-02, the workbook parser's own."""
+
+    @F.pandas_udf("long")
+    def number(letters: pd.Series) -> pd.Series:
+        return letters.map(office.column_number)
+
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("line")).distinct().withColumn("letters", F.concat(F.chr(64 + F.col("line")), F.lit("B")))
-    digits = F.transform(F.split("letters", ""), lambda c: (F.ascii(c) - 64).cast(LONG))
-    return rows.select("line", "letters", F.aggregate(digits, F.lit(0).cast(LONG), lambda a, d: a * 26 + d).alias("n"))
+    return rows.select("line", "letters", number("letters").alias("n"))
 
 
 @query("SELECT l_orderkey AS row_number, string_agg(CASE WHEN q IS NULL THEN '' ELSE q END, chr(9) ORDER BY c) AS line FROM (SELECT o.l_orderkey, c, max(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) FILTER (l_linenumber * 2 = c) AS q FROM (SELECT l_orderkey, 2 * max(l_linenumber) AS m FROM lineitem GROUP BY l_orderkey) o, LATERAL (SELECT unnest(range(1, m + 1)) AS c) LEFT JOIN lineitem l ON l.l_orderkey = o.l_orderkey AND l_linenumber * 2 = c GROUP BY ALL) GROUP BY l_orderkey")
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-05: cells (row, column, value) as lines between tabs, gaps empty."""
+    """AGG-05: cells (row, column, value) as lines between tabs, gaps empty, by the workbook parser's own rule."""
+
+    @F.pandas_udf("string")
+    def line(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda own: office.sheet_lines({1: {int(c["c"]): c["value"] for c in own}})[0])
+
     cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_number"), (2 * F.col("l_linenumber")).cast("int").alias("c"), F.col("l_quantity").cast(LONG).cast("string").alias("value"))
     one = cells.groupBy("row_number", "c").agg(F.max("value").alias("value"))
-    rows = one.groupBy("row_number").agg(F.map_from_entries(F.collect_list(F.struct("c", "value"))).alias("cells"), F.max("c").alias("last"))
-    return rows.select("row_number", F.array_join(F.transform(F.sequence(F.lit(1), "last"), lambda i: F.coalesce(F.element_at("cells", i), F.lit(""))), "\t").alias("line"))
+    rows = one.groupBy("row_number").agg(F.collect_list(F.struct("c", "value")).alias("cells"))
+    return rows.select("row_number", line("cells").alias("line"))
 
 
 _SPAN = "CASE WHEN l_quantity / 4 < 4 THEN 'TINY_TEXT' WHEN (l_partkey * 7919) % 16777216 >= 16448250 THEN 'WHITE_ON_WHITE_TEXT' WHEN NOT (least(612, x + 10) > greatest(0, x) AND least(792, y + 10) > greatest(0, y)) THEN 'OFF_CANVAS_TEXT' END"
@@ -307,11 +347,15 @@ _SPAN = "CASE WHEN l_quantity / 4 < 4 THEN 'TINY_TEXT' WHEN (l_partkey * 7919) %
 
 @query(f"SELECT {_SPAN} AS anomaly, count(*) AS n FROM (SELECT *, CAST(l_suppkey % 700 AS DOUBLE) AS x, CAST(l_partkey % 900 AS DOUBLE) AS y FROM lineitem) GROUP BY ALL")
 def pdf_span_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PD-02 as Columns over span rows."""
-    rows = table(spark, sf_dir, "lineitem").withColumns({"x": (F.col("l_suppkey") % 700).cast("double"), "y": (F.col("l_partkey") % 900).cast("double"), "colour": (F.col("l_partkey").cast(LONG) * 7919) % 16777216})
-    inside = (F.least(F.lit(612.0), F.col("x") + 10) > F.greatest(F.lit(0.0), F.col("x"))) & (F.least(F.lit(792.0), F.col("y") + 10) > F.greatest(F.lit(0.0), F.col("y")))
-    anomaly = F.when(F.col("l_quantity") / 4 < 4, "TINY_TEXT").when(F.col("colour") >= 0xFAFAFA, "WHITE_ON_WHITE_TEXT").when(~inside, "OFF_CANVAS_TEXT")
-    return rows.groupBy(anomaly.alias("anomaly")).agg(F.count(F.lit(1)).alias("n"))
+    """PD-02 of made spans, by the page parser's own rule."""
+
+    @F.pandas_udf("string")
+    def anomaly(size: pd.Series, colour: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        page = (0.0, 0.0, 612.0, 792.0)
+        return pd.Series([span_anomaly(Span(s, c, (a, b, a + 10, b + 10), ""), page) for s, c, a, b in zip(size, colour, x, y, strict=True)])
+
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 4).cast("double"), (F.col("l_partkey").cast(LONG) * 7919) % 16777216, (F.col("l_suppkey") % 700).cast("double"), (F.col("l_partkey") % 900).cast("double"))
+    return rows.groupBy(anomaly(*rows.columns).alias("anomaly")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _UPLOADS = {"a.TXT": ".txt", "b.docx": ".docx", "c.exe": ".unsupported", "noext": ".unsupported", ".md": ".unsupported", "d.tar.html": ".html"}
@@ -329,13 +373,13 @@ def job_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PATHS = {"read /tmp/a.pdf now": True, "cat notes.md": True, "ls -la": False, "x.pdfx": False, '"b.HTML"': True, "=c.jpeg;": True, "http://h/d.docx": True, "md": False}
-_GUARD = r"(?i)(?:^|[\s'\"=:/])[^\s'\"=]*\.(?:txt|md|markdown|html?|docx|pptx|xlsx|pdf|png|jpe?g)(?:$|[\s'\";,)])"
-
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(v).lower()})" for k, v in _PATHS.items()) + ") AS v(command, denied)")
 def raw_read_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-05: commands that name a document and so may not run."""
-    return spark.createDataFrame([(k,) for k in _PATHS], "command string").select("command", F.col("command").rlike(_GUARD).alias("denied"))
+    """FLT-05: commands that name a document and so may not run, as the guard decides."""
+    rows = spark.createDataFrame([(k,) for k in _PATHS], "command string")
+    call = F.to_json(F.struct(F.lit(EVENT).alias("hook_event_name"), F.lit("Bash").alias("tool_name"), F.struct("command").alias("tool_input")))
+    return rows.select("command", raw_read_denied(call).alias("denied"))
 
 
 #: Calls by id mod 8; the whole text of a document is in each of them. True and False: denied or not, whatever the text.

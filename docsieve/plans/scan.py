@@ -1,8 +1,8 @@
 """The scan: from documents to findings, verdicts and derivatives in one pass without a shuffle.
 
-Plain text is judged by Columns alone. Other formats, and the few plain texts
-that need NFKC or strict UTF-16, go through one Arrow operator, which gets null
-for every other row. Findings stay an array a document, so the verdict is a
+Formats that have to be walked, plain text among them, go through one Arrow
+operator; a file that preflight refuses is judged by Columns alone and reaches
+no Python worker. Findings stay an array a document, so the verdict is a
 projection; explode them only where a table of findings is wanted.
 """
 
@@ -11,59 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
-from ..functions.preflight import suffix, text_of, with_preflight
+from ..functions.preflight import suffix, with_preflight
 from ..functions.stage import once
-from ..functions.verdict import completed, derivative, finding, no_findings, some, verdict
-from ..operators.parse import TEXT_CHECK, parsed
+from ..functions.verdict import completed, derivative, finding, verdict
+from ..operators.parse import parsed, text_parsed
 from ..operators.rendered import Adapters
-from .contract import PARSED, QUARANTINE, REVIEW, Limits
-
-TOP = "text:line=1"
-MISMATCH = "VISIBLE_EXTRACTED_TEXT_MISMATCH"
-
-
-def line_findings(text: Column) -> Column:
-    """Anomalies and instructions of every line, numbered from 1; no line is looked at where the whole text holds none."""
-    joined = F.regexp_replace(text, X.BREAKS, "\n")
-    worth = X.is_instruction(joined) | X.has_bidi(text) | X.has_zero_width(text)
-
-    def of(line: Column, i: Column) -> Column:
-        where = F.concat(F.lit("text:line="), (i + 1).cast("string"))
-        return F.concat(
-            some(X.has_bidi(line), finding(REVIEW, MISMATCH, where, "BIDI_CONTROL_CHARACTERS")),
-            some(X.has_zero_width(line), finding(REVIEW, MISMATCH, where, "ZERO_WIDTH_CHARACTERS")),
-            some(X.is_instruction(line), finding(REVIEW, "VISIBLE_INSTRUCTION_PATTERN", where)),
-        )
-
-    return F.when(worth, F.flatten(F.transform(X.lines(text), of))).otherwise(no_findings())
-
-
-def run_findings(ranks: Column) -> Column:
-    block = lambda r: finding(r, "ENCODED_INSTRUCTION_PATTERN", TOP, "LONG_ENCODED_BLOCK")
-    return F.transform(ranks, block)
-
-
-def native_text(text: Column, ranks: Column) -> Column:
-    """TXT-09 for a stable text, given the ranks of its runs."""
-    checks = F.array(F.lit(TEXT_CHECK))
-    return F.struct(
-        F.concat(some(X.has_disallowed(text), finding(REVIEW, MISMATCH, TOP)), line_findings(text), run_findings(ranks)).alias("findings"),
-        F.when(F.size(ranks) > 0, F.lit("")).otherwise(X.drop_controls(text)).alias("visible_text"),
-        checks.alias("required"),
-        checks.alias("completed"),
-    ).cast(PARSED)
+from .contract import QUARANTINE, Limits
 
 
 def scan_text_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a column ``parsed`` of its texts, scanned as plain text; null text as empty."""
-    rows = once(docs, {"_body": F.coalesce(F.col(text).cast("string"), F.lit(""))})
-    rows = once(rows, {"_ranks": F.when(X.stable(F.col("_body")), X.run_risks(F.col("_body")))})
-    rows = once(rows, {"_foreign": F.col("_ranks").isNull() | F.exists("_ranks", lambda r: r < 0)})
-    foreign = F.col("_foreign")
-    rows = rows.withColumn("_other", parsed(F.when(foreign, F.lit(".txt")), F.when(foreign, F.encode("_body", "UTF-8")), Limits()))
-    rows = once(rows, {"parsed": F.when(foreign, F.col("_other")).otherwise(native_text(F.col("_body"), F.col("_ranks")))})
-    return rows.drop("_body", "_ranks", "_foreign", "_other")
+    return docs.withColumn("parsed", text_parsed(F.coalesce(F.col(text).cast("string"), F.lit("")), Limits()))
 
 
 def with_verdict(parsed_rows: DataFrame, classifier: Column | None = None) -> DataFrame:
@@ -80,17 +38,12 @@ def scan(files: DataFrame, limits: Limits | None = None, adapters: Adapters | No
     rows = with_preflight(files, name, content, limits)
     body = F.coalesce(F.col(content), F.lit(b""))
     rows = once(rows, {"_passed": F.size("preflight.findings") == 0, "_ending": F.lower(suffix(F.col(name)))})
-    rows = once(rows, {"_text": F.when(F.col("_passed") & (F.col("_ending") == ".txt"), text_of(body))})
-    rows = once(rows, {"_ranks": F.when(F.col("_text").isNotNull() & X.stable(F.col("_text")), X.run_risks(F.col("_text")))})
-    rows = once(rows, {"_native": F.coalesce(F.forall("_ranks", lambda r: r >= 0), F.lit(False))})
-    python = F.col("_passed") & ~F.col("_native")
-    rows = rows.withColumn("_other", parsed(F.when(python, F.col("_ending")), F.when(python, body), limits, adapters))
-    rows = once(rows, {"_parsed": F.when(F.col("_native"), native_text(F.col("_text"), F.col("_ranks"))).otherwise(F.col("_other"))})
+    rows = rows.withColumn("_parsed", parsed(F.when(F.col("_passed"), F.col("_ending")), F.when(F.col("_passed"), body), limits, adapters))
     p = F.col("_parsed")
     rows = once(rows, {"findings": F.when(F.col("_passed"), completed(p["findings"], p["required"], p["completed"])).otherwise(F.col("preflight.findings"))})
     rows = once(rows, {"result": verdict(F.col("findings"))})
     rows = rows.withColumn("derivative", F.when(F.col("_passed"), derivative(F.col("result"), p["visible_text"])))
-    return rows.drop("_passed", "_ending", "_text", "_ranks", "_native", "_other", "_parsed")
+    return rows.drop("_passed", "_ending", "_parsed")
 
 
 def findings_table(scanned: DataFrame, *keys: str) -> DataFrame:

@@ -33,10 +33,30 @@ def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def contents(spark: SparkSession, folder: str, limits: Limits | None = None) -> DataFrame:
-    """(path, name, content, length) of a folder's files; oversize ones are skipped in the scan, before their bytes are read."""
+    """(path, name, content, length) of all of a folder's files; of one over the upload bound the content is null and never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    bounded = files.where(F.col("length") <= (limits or Limits()).upload_bytes)
-    return bounded.select(plain_path(F.col("path")).alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), "content", "length")
+    return bounded(files, limits or Limits()).select(plain_path(F.col("path")).alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), "content", "length")
+
+
+def bounded(files: DataFrame, limits: Limits) -> DataFrame:
+    """Rows of the binary file source: those over the upload bound come from a read without the column of contents."""
+    over = F.col("length") > limits.upload_bytes
+    small = files.where(~over)
+    return small.unionByName(files.drop("content").where(over).withColumn("content", F.lit(None).cast("binary")).select(small.columns))
+
+
+def scan_folder(spark: SparkSession, folder: str, limits: Limits | None = None, adapters: Adapters | None = None) -> DataFrame:
+    """(path, name, result, derivative) of all files under ``folder``; one over the upload bound is quarantined."""
+    limits = limits or Limits()
+    return scan_bounded(contents(spark, folder, limits), limits, adapters).select("path", "name", "result", "derivative")
+
+
+def scan_bounded(files: DataFrame, limits: Limits, adapters: Adapters | None = None) -> DataFrame:
+    """The scan of ``files`` (name, content, length), where a length over the bound is a finding of its own."""
+    over = F.col("length") > limits.upload_bytes
+    out = scan(files, limits, adapters)
+    refused = verdict(unreadable("RESOURCE_LIMIT_EXCEEDED"))
+    return out.withColumns({"result": F.when(over, refused).otherwise(F.col("result")), "derivative": F.when(~over, F.col("derivative"))})
 
 
 def plain_path(uri: Column) -> Column:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='docsieve-')}"
-    return f"{folder.rstrip('/')}/docsieve-{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that spark.checkpoint.dir names; where that is unset, a temporary one, on a single machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{(folder or 'file://' + tempfile.mkdtemp(prefix='docsieve-')).rstrip('/')}/docsieve-{name}-{uuid.uuid4().hex}"
 
 
 def streamed(spark: SparkSession, path: str, schema, plan, name: str) -> DataFrame:

@@ -79,7 +79,8 @@ CASES = [
     ("low.docx", docx("<w:t>Visible</w:t>"), "low", [], [], "Visible"),
     ("vanish.docx", docx(f"<w:rPr><w:vanish/></w:rPr><w:t>{ATK2}</w:t>"), "quarantine", ["HIDDEN_INSTRUCTION_PATTERN"], ["HIDDEN_XML_TEXT"], None),
     ("macro.docx", docx("<w:t>x</w:t>", **{"word/vbaProject.bin": "x"}), "quarantine", ["ACTIVE_CONTENT_PRESENT"], ["MACRO_CONTENT"], None),
-    ("entity.docx", package("word/document.xml", "wordprocessingml.document", {"word/document.xml": "<!DOCTYPE a><a/>"}), "quarantine", ["PARSER_FAILURE"], [], None),
+    ("doctype.docx", package("word/document.xml", "wordprocessingml.document", {"word/document.xml": "<!DOCTYPE a><a/>"}), "low", [], [], ""),
+    ("entity.docx", package("word/document.xml", "wordprocessingml.document", {"word/document.xml": "<!DOCTYPE a [<!ENTITY b 'c'>]><a/>"}), "quarantine", ["PARSER_FAILURE"], [], None),
     ("low.xlsx", xlsx("", "<v>2</v>"), "low", [], [], "Revenue\t2"),
     ("row.xlsx", xlsx(" hidden='1'", f"<v>{ATK2}</v>"), "quarantine", ["HIDDEN_INSTRUCTION_PATTERN"], ["HIDDEN_ROW"], None),
     ("dde.xlsx", xlsx("", "<f>DDE(1)</f><v>2</v>"), "quarantine", ["ACTIVE_CONTENT_PRESENT"], [], None),
@@ -124,3 +125,77 @@ def test_limits(spark):
     assert many.result.evidence == ["RESOURCE_LIMIT_EXCEEDED"]
     with pytest.raises(ValueError):
         Limits(depth=0)
+
+
+def test_failure_kinds():
+    """Q-28: what a parse raises, and the kind of failure that it is."""
+    import subprocess
+
+    from docsieve.operators.rules import IntegrityError, LimitExceeded, Unavailable, failure_kind
+
+    kinds = {
+        "TIMEOUT": [TimeoutError()],
+        "RESOURCE_LIMIT": [LimitExceeded(), MemoryError(), subprocess.TimeoutExpired("x", 1)],
+        "DEPENDENCY": [Unavailable(), ImportError(), ModuleNotFoundError()],
+        "PARSER": [ValueError(), EOFError()],
+        "RESULT_INTEGRITY": [IntegrityError()],
+        "UNKNOWN": [KeyError(), RuntimeError()],
+    }
+    assert all(failure_kind(e) == kind for kind, errors in kinds.items() for e in errors)
+
+
+def test_encrypted_pages_are_read_where_no_password_is_needed():
+    from docsieve.operators.parse import parse
+    from docsieve.operators.rendered import Adapters, Pdf, RenderedPage, Span
+
+    page = RenderedPage(b"", 1, (0, 0, 10, 10), "seen", [Span(2.0, 0, (1, 1, 2, 2), ATK)])
+    codes = lambda pdf: {f[1] for f in parse(".pdf", b"", None, Adapters(ocr=lambda p: "seen", pdf=lambda d: pdf)).findings}
+    assert codes(Pdf(True, [], [page])) == {"ENCRYPTED_DOCUMENT", "HIDDEN_INSTRUCTION_PATTERN", "VISIBLE_EXTRACTED_TEXT_MISMATCH"}
+    assert codes(Pdf(True, [], [], locked=True)) == {"ENCRYPTED_DOCUMENT"}
+
+
+def test_large_files_are_quarantined_rows(spark, tmp_path):
+    from docsieve.sources.files import contents, scan_folder
+
+    (tmp_path / "a.txt").write_text("fine")
+    (tmp_path / "b.txt").write_text("x" * 100)
+    tight = Limits(upload_bytes=50)
+    assert {(r.name, r.content is None) for r in contents(spark, str(tmp_path), tight).collect()} == {("a.txt", False), ("b.txt", True)}
+    got = {r.name: (r.result.risk_level, r.result.evidence, r.derivative is None) for r in scan_folder(spark, str(tmp_path), tight).collect()}
+    assert got == {"a.txt": ("low", [], False), "b.txt": ("quarantine", ["RESOURCE_LIMIT_EXCEEDED"], True)}
+
+
+def test_job_life_cycle(spark, tmp_path):
+    """Upload bound, status before and after, a job too large for the scan, the count of processed jobs."""
+    from docsieve.operators.rules import LimitExceeded
+    from docsieve.streaming import jobs
+
+    landed, sink, progress = (str(tmp_path / x) for x in ("in", "out", "progress"))
+    (tmp_path / "in").mkdir()
+    with pytest.raises(LimitExceeded):
+        jobs.create(landed, "a.txt", b"x" * 60, Limits(upload_bytes=50))
+    small, large = jobs.create(landed, "a.TXT", b"fine"), jobs.create(landed, "b.txt", b"x" * 60)
+    assert {r.status for r in jobs.status(spark, landed, sink).collect()} == {"pending"} and jobs.processed(spark, sink) == 0
+    jobs.run(spark, landed, sink, progress, limits=Limits(upload_bytes=50)).awaitTermination()
+    assert {r.status for r in jobs.status(spark, landed, sink).collect()} == {"complete"} and jobs.processed(spark, sink) == 2
+    assert jobs.lookup(spark, sink, small).first().derivative.endswith("fine\n")
+    row = jobs.lookup(spark, sink, large).first()
+    assert row.derivative is None and "RESOURCE_LIMIT_EXCEEDED" in row.result
+
+
+def test_text_rules_agree_with_columns(spark):
+    """The parser's rules and the Column forms, on texts of a stable alphabet with every kind of line break and control."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from docsieve.functions import text as X
+    from docsieve.operators import rules
+
+    rng = random.Random(2)
+    parts = ["ignore", "previous", "instructions", "IGNORE all prior directions", " ", "\n", "\r\n", "\x0b", "\x1c", "\u2028", "\u200b", "\u202e", "stra\u00dfe", "bypa\u00df the system", "you are\tnow", "\x07", "a", "Z" * 90]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.drop_controls(F.col("t")).alias("plain"), X.has_disallowed(F.col("t")).alias("bad"), X.is_instruction(F.col("t")).alias("tells"))
+    for r in rows.collect():
+        t = texts[r.i]
+        assert (rules.normalise(t), rules.has_disallowed(t), rules.is_instruction(t)) == (r.plain, r.bad, r.tells)
