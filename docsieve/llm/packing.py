@@ -84,12 +84,12 @@ class WordBpe:
             model = json.load(f)["model"]
         vocabulary, end = model["vocab"], model["end_of_word_suffix"]
         self.letters = _byte_letters()
-        self.inner, self.last = (np.array([vocabulary[self.letters[b] + x] for b in range(256)], np.int64) for x in ("", end))
+        self.inner, self.last = (np.array([vocabulary[self.letters[b] + x] for b in range(256)], np.int32) for x in ("", end))
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([vocabulary[a] << 16 | vocabulary[b] for a, b in merges], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int32)
-        self.merged = np.array([vocabulary[a + b] for a, b in merges], np.int64)
+        self.merged = np.array([vocabulary[a + b] for a, b in merges], np.int32)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         low_letters, low_numbers = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
         self.low = re.compile(self._PARTS.format(letter=f"[{low_letters}]", number=f"[{low_numbers}]", space="\xa0", in_letter=low_letters, in_number=low_numbers))
@@ -107,7 +107,7 @@ class WordBpe:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """When two symbols are merged, NEVER if they are not."""
-        key = left << 16 | right
+        key = left.astype(np.int64) << 16 | right
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[place] == key, self.ranks[place], NEVER)
 
@@ -115,53 +115,55 @@ class WordBpe:
         """The ids of some words of similar length: each row merges its best pair, the leftmost first, until none is left."""
         size = np.array([len(w) for w in words])
         n, width = len(words), int(size.max())
-        raw = np.zeros((n, width + 1), np.uint8)
-        there = np.arange(width + 1) < size[:, None]
+        raw = np.zeros((n, width), np.uint8)
+        there = np.arange(width) < size[:, None]
         raw[there] = np.frombuffer(b"".join(words), np.uint8)
-        symbol = np.where(there, self.inner[raw], 0)
+        symbol = self.inner[raw]
         symbol[np.arange(n), size - 1] = self.last[raw[np.arange(n), size - 1]]
-        out, length = symbol.copy(), size.copy()
+        out, length, row = np.zeros((n, width), "<u2"), size.copy(), np.arange(n)
         rank = np.where(there[:, 1:], self.rank(symbol[:, :-1], symbol[:, 1:]), NEVER)
-        row, place = np.arange(n), np.arange(width)
-        while len(row):
+        while rank.size:
             best = rank.argmin(axis=1)
-            each = np.arange(len(row))
-            when = rank[each, best]
-            some = when < NEVER
-            if not some.all():
-                out[row[~some]] = symbol[~some]
-                row, symbol, rank, best, when = row[some], symbol[some], rank[some], best[some], when[some]
-                each = each[: len(row)]
-                if not len(row):
-                    break
-            # everything behind the pair moves a place to the left
-            behind = np.minimum(place + (place > best[:, None]), width)
-            symbol[:, :-1] = np.take_along_axis(symbol, behind, axis=1)
+            when = rank[np.arange(len(row)), best]
+            open_ = when < NEVER
+            if not open_.all():
+                out[row[~open_], : symbol.shape[1]] = symbol[~open_]
+                row, symbol, rank, best, when = row[open_], symbol[open_], rank[open_], best[open_], when[open_]
+            # each row loses a symbol, so the table loses a column
+            each, n_left, width = np.arange(len(row)), len(row), symbol.shape[1]
+            keep = np.ones(symbol.shape, bool)
+            keep[each, best + 1] = False
+            symbol = symbol[keep].reshape(n_left, width - 1)
             symbol[each, best] = self.merged[when]
-            shifted = np.take_along_axis(rank, np.minimum(place + (place >= best[:, None]), width - 1), axis=1)
+            keep = np.ones(rank.shape, bool)
+            keep[each, best] = False
+            rank = rank[keep].reshape(n_left, width - 2)
             length[row] -= 1
-            rank = np.where(place < length[row, None] - 1, shifted, NEVER)
             left = np.flatnonzero(best > 0)
             rank[left, best[left] - 1] = self.rank(symbol[left, best[left] - 1], symbol[left, best[left]])
             right = np.flatnonzero(best < length[row] - 1)
             rank[right, best[right]] = self.rank(symbol[right, best[right]], symbol[right, best[right] + 1])
-        ids = out.astype("<u2").tobytes()
-        step = 2 * (width + 1)
-        return [ids[i * step : i * step + 2 * k] for i, k in enumerate(length.tolist())]
+        out[row, : symbol.shape[1]] = symbol
+        ids, step = out.tobytes(), 2 * out.shape[1]
+        return [ids[i : i + 2 * k] for i, k in zip(range(0, len(ids), step), length.tolist(), strict=True)]
 
     def learn(self, words: set[str]) -> None:
         """Puts the ids of ``words`` into the cache."""
-        pairs = sorted(((w.encode(), w) for w in words), key=lambda x: len(x[0]))
-        at = 0
-        while at < len(pairs) and len(pairs[at][0]) <= self.TABLE:
-            upto = min(len(pairs), at + 4096)
-            while len(pairs[upto - 1][0]) > self.TABLE or len(pairs[upto - 1][0]) > len(pairs[at][0]) + 3:
-                upto -= 1
-            some = pairs[at:upto]
-            self.cache |= zip([w for _, w in some], self.merge([x for x, _ in some]), strict=True)
+        if not words:
+            return
+        own = list(words)
+        raw = list(map(str.encode, own))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(size, kind="stable")
+        size = size[order]
+        short, at = int(np.searchsorted(size, self.TABLE, "right")), 0
+        while at < short:
+            upto = min(short, at + 4096, int(np.searchsorted(size, size[at] + 3, "right")))
+            some = order[at:upto].tolist()
+            self.cache |= zip([own[i] for i in some], self.merge([raw[i] for i in some]), strict=True)
             at = upto
-        for raw, w in pairs[at:]:
-            self.cache[w] = np.array([t.id for t in self.tokenizer.model.tokenize(raw.decode("latin-1").translate(self.letters))], "<u2").tobytes()
+        for i in order[short:].tolist():
+            self.cache[own[i]] = np.array([t.id for t in self.tokenizer.model.tokenize(raw[i].decode("latin-1").translate(self.letters))], "<u2").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         end = struct.pack("<H", END)
@@ -197,11 +199,13 @@ def _tokenise(path: str):
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each id; under the place after the last id, the number of tokens."""
-    total = np.zeros((1 << 16) + 1, np.int64)
+    total, slot = np.zeros((1 << 16) + 1, np.int64), np.zeros(1 << 16, np.int64)
     for batch in batches:
         for raw in batch.column(0):
             ids = np.frombuffer(raw.as_buffer(), "<u2")
-            total[np.unique(ids)] += 1
+            place = np.arange(len(ids))
+            slot[ids] = place  # of an id's places one stands there: that one counts
+            total[ids[slot[ids] == place]] += 1
             total[-1] += len(ids)
     terms = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(total[terms])], names=["term", "df"])
