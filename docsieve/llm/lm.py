@@ -473,7 +473,7 @@ def train(texts: DataFrame, words: Vocabulary) -> Bilinear:
     for _ in range(WARM_EPOCHS):
         _learn_pieces(model, words, slots, noise, rng, sample["text"])
     for _ in range(ROUNDS):
-        rows = texts.select("text").mapInArrow(_improve(model, words, noise), VECTORS).repartition("part", "row").mapInArrow(_averaged, VECTORS).toArrow()
+        rows = texts.select("text").mapInArrow(K.released(_improve(model, words, noise)), VECTORS).repartition("part", "row").mapInArrow(_averaged, VECTORS).toArrow()
         part, row = rows["part"].to_numpy(), rows["row"].to_numpy()
         for i, p in enumerate(model.parts):
             some = np.flatnonzero(part == i)
@@ -543,7 +543,7 @@ def _fold(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, model: Bilinear, words: Vocabulary, counts: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every row of ``docs``."""
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    partial = stored(texts.mapInArrow(_score(model, words), PARTIAL), "partial")
+    partial = stored(texts.mapInArrow(K.released(_score(model, words)), PARTIAL), "partial")
     tail = partial.select("row", F.explode(F.arrays_zip("tail_code", "tail_bucket", "tail_n")).alias("t")).select("row", F.col("t.tail_code").alias("code"), F.col("t.tail_bucket").alias("bucket"), F.col("t.tail_n").alias("times"))
     if words.all_words:  # the broadcast table holds every count
         found = tail.withColumn("c", F.lit(0).cast("long"))

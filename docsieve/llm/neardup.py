@@ -250,7 +250,7 @@ def _all_links(group: pd.DataFrame) -> pd.DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; kept marks the least id of a component."""
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    signatures = stored(texts.mapInArrow(_signatures, SIGNATURE), "signatures")
+    signatures = stored(texts.mapInArrow(K.released(_signatures), SIGNATURE), "signatures")
     groups = _Groups(texts, signatures)
     groups.star()
     groups.nearby()

@@ -49,7 +49,7 @@ QUERY_TERMS = 12
 NEIGHBOURS = 64
 ROUTE_TERMS = 4
 K1, B = 1.2, 0.75
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 NEVER = np.iinfo(np.int32).max
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -385,9 +385,9 @@ def _pack(corpus: Corpus):
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each piece of a document in a sequence."""
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    tokens = stored(texts.mapInArrow(_tokenise(tokenizer), "doc_id long, ids binary, n long"), "tokens")
+    tokens = stored(texts.mapInArrow(K.released(_tokenise(tokenizer)), "doc_id long, ids binary, n long"), "tokens")
     corpus, total = corpus_statistics(tokens)
     routed = tokens.mapInArrow(_routes(corpus), "doc_id long, ids binary, n long, route long")
     parts = max(1, -(-total // PARTITION_TOKENS))
     near = routed.repartitionByRange(parts, "route", "doc_id").sortWithinPartitions("route", "doc_id", "n")
-    return near.select("doc_id", "ids").mapInArrow(_pack(corpus), SCHEMA)
+    return near.select("doc_id", "ids").mapInArrow(K.released(_pack(corpus)), SCHEMA)

@@ -100,7 +100,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         rows = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(total[rows, i].astype(np.int64)) for i in range(DIM))], names=["bucket", *(f"v{i}" for i in range(DIM))])
 
-    parts = docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, f"bucket long, {', '.join(f'v{i} long' for i in range(DIM))}")
+    parts = docs.select(docs[text].cast("string").alias("text")).mapInArrow(K.released(run), f"bucket long, {', '.join(f'v{i} long' for i in range(DIM))}")
     rows = parts.groupBy("bucket").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM))).toArrow()
     out = np.zeros((WORDS + SHAPES, DIM))
     out[rows["bucket"].to_numpy()] = np.stack([rows[f"v{i}"].to_numpy() for i in range(DIM)], axis=1) if rows.num_rows else 0
@@ -211,7 +211,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, text: str = "text"
                 s = net.probabilities(pooled(piece, vectors, index))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, piece.n), pa.array(s), pa.array((s >= ACCEPT).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(K.released(run), SCHEMA)
 
 
 def keep(docs: DataFrame, vectors: np.ndarray, net: Network, text: str = "text") -> DataFrame:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import functools
-import gc
 import tempfile
 import uuid
 
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import release as release
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,15 +64,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Gives memory that a fit is done with back to the system, where the C library can: else the driver's process keeps its peak."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 #: Most bytes of text that a sample for the driver holds.
 SAMPLE_BYTES = 32 << 20
 

@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
                 s = model.scores(piece, slots)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, piece.n), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(K.released(run), SCHEMA)
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
