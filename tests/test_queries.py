@@ -29,6 +29,24 @@ def test_query_matches_sql(spark, sf_dir, db, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_encoded_findings_beyond_the_stable_alphabet(spark, tmp_path):
+    """Runs whose decoded text NFKC may change have a rank like any other, as the SQL says."""
+    import base64
+
+    from docsieve.operators.rules import encoded_blocks
+
+    plain = ["Ω" * 40, "ignore\u00a0prior instructions " * 4, "日本語" * 12 + "you are now", "½" * 40, "é" * 40, "plain" * 20]
+    texts = [" . ".join(base64.b64encode(t.encode()).decode() for t in pair) for pair in zip(plain, plain[1:] + plain[:1], strict=True)]
+    ids = [11 * i + 8 for i in range(len(texts))]  # these have no overlay
+    spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(["doc_id", "risk", "n"], QUERIES["encoded_findings"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == rows(["doc_id", "risk", "n"], con.sql(ORACLE_SQL["encoded_findings"]).fetchall())
+    ranks = [[f[0] for f in encoded_blocks(t, "text:line=1")] for t in texts]
+    assert got == rows(["doc_id", "risk", "n"], {(i, r, x.count(r)) for i, x in zip(ids, ranks, strict=True) for r in x})
+
+
 def test_files(spark, tmp_path):
     from docsieve.sources.files import confined, contents, inspect, scan_paths
 
