@@ -1,14 +1,16 @@
 """Toxicity by weak supervision.
 
 1. *Voters.* Terms (words, and word beginnings of 4-8 bytes, of folded text) that
-   mark labelled toxic texts, ranked by the likelihood-ratio statistic G2, are
+   mark labelled toxic texts, ranked by the likelihood-ratio statistic G2 and
+   ``MIN_LIFT`` times as frequent there as in clean ones, are
    lexicon voters: each votes on a text that holds its term. Shares of capitals,
    exclamation marks and symbols give pattern voters. The recorded label is no
    voter: it only finds the lexicon and says which of the two classes is toxic.
 2. *Label model.* Expectation maximisation of a two-class generative model gives
    each voter's vote rates in both classes. The correlations of voters given
    the class come from what the model leaves unexplained; a voter's evidence is
-   divided by its correlated company, and the model is estimated again.
+   divided by its correlated company, and the model is estimated again. All
+   silences together weigh no more than that no voter votes.
 3. *Classifier.* A linear (logistic) model over term presence and the pattern
    shares learns the posterior labels; it alone scores. So a wrong label costs
    little: its text's voters outvote it (tests compare with raw labels).
@@ -45,7 +47,12 @@ MIN_DOCS = 3
 SKIP_BITS = 22
 MAX_VOTERS = 400
 MIN_G2 = 15.0
+#: A voter's share of the toxic texts is at least this many times its share of the clean ones: common words of long texts, or of a
+#: language, pass ``MIN_G2`` in large samples, and the label model would find those texts in place of the toxic ones.
+MIN_LIFT = 3.0
 MAX_FEATURES = 2048
+#: The share of either class that is taken to hold no voter's term, if fewer are seen.
+MISSED = 0.02
 #: Correlation given the class from which voters count as saying the same.
 COMPANY = 0.5
 PATTERN_CUTS = (0.5, 0.01, 0.02)
@@ -88,17 +95,23 @@ def g2(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """Vote rates (voters x classes), each voter's weight, and the prior of class 1."""
+    """Vote rates (voters x classes), each voter's weight, the prior of class 1, and the rates of no vote at all (``MISSED`` at least).
+
+    Silences are no independent evidence either: words of several languages, say, shut each other out. So all of
+    them together are worth no more than it is that nobody votes.
+    """
 
     rates: np.ndarray
     weights: np.ndarray
     prior: float
+    silent: np.ndarray | None = None
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         yes, no = np.log(self.rates), np.log1p(-self.rates)
-        gain = yes - no
-        evidence = votes @ (self.weights * (gain[:, 1] - gain[:, 0]))
-        evidence = evidence + (self.weights * (no[:, 1] - no[:, 0])).sum() + np.log(self.prior / (1 - self.prior))
+        quiet = self.weights * (no[:, 1] - no[:, 0])
+        if self.silent is not None and quiet.sum() < 0:
+            quiet = quiet * np.clip(np.log(self.silent[1] / self.silent[0]) / quiet.sum(), 0, 1)
+        evidence = votes @ (self.weights * (yes[:, 1] - yes[:, 0]) - quiet) + quiet.sum() + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
 
     def accuracies(self) -> np.ndarray:
@@ -114,13 +127,14 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds:
     """
     both = np.stack([1 - start, start], axis=1)
     anchor = (votes.T @ both + 0.1) / (both.sum(axis=0) + 0.2)
+    nobody = votes.sum(axis=1) == 0
 
     def em(weights: np.ndarray, posterior: np.ndarray) -> tuple[LabelModel, np.ndarray]:
         for _ in range(rounds):
             both = np.stack([1 - posterior, posterior], axis=1)
             sizes = both.sum(axis=0)
             rates = np.clip((votes.T @ both + anchor * sizes) / (2 * sizes + 1e-9), 1e-4, 1 - 1e-4)
-            model = LabelModel(rates, weights, prior)
+            model = LabelModel(rates, weights, prior, np.clip(nobody @ both / (sizes + 1e-9), MISSED, 1))
             posterior = model.posterior(votes)
         return model, posterior
 
@@ -213,7 +227,10 @@ def fit(texts: pa.Array, toxic: np.ndarray, toxic_share: float) -> Model:
     b = np.bincount(term, ((1 - toxic) * voice)[doc], len(vocabulary))
     rank = g2(a, b, (toxic * voice).sum(), ((1 - toxic) * voice).sum())
     rank[a + b < least_docs] = 0
-    voters = np.argsort(-rank, kind="stable")[:MAX_VOTERS]
+    # a mark of toxicity, not of length or language
+    marks = a * ((1 - toxic) * voice).sum() >= MIN_LIFT * b * (toxic * voice).sum()
+    voters = np.argsort(-np.where(marks, rank, 0), kind="stable")[:MAX_VOTERS]
+    voters = voters[marks[voters]]
     voters = voters[rank[voters] >= MIN_G2] if (rank[voters] >= MIN_G2).any() else voters[:20][rank[voters[:20]] > 0]
     chosen = np.union1d(np.argsort(-np.abs(rank), kind="stable")[:MAX_FEATURES], voters)
     column = np.full(len(vocabulary), -1)

@@ -109,6 +109,22 @@ def test_posterior_labels_beat_noisy_labels_and_single_voters(spark, sf_dir, mon
     assert (posterior == truth).mean() > max((s == truth).mean() for s in single) + 0.03
 
 
+def test_label_model_does_not_drift_to_long_texts():
+    """Toxic texts that are longer make common words significant: they are no voters, and the labels decide which texts are toxic."""
+    rng = np.random.default_rng(5)
+    word = lambda k, n: ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (k, n))]
+    common, marks = [word(400, 6) for _ in range(2)], [word(20, 9) for _ in range(2)]
+    toxic, tongue = rng.random(4000) < 0.3, rng.choice(2, 4000, p=(0.7, 0.3))
+    rows = []
+    for bad, k in zip(toxic, tongue, strict=True):
+        own = rng.choice(common[k], int(rng.lognormal(3.6 + 0.6 * bad, 0.8)) + 3).tolist()
+        rows.append(" ".join(own + (rng.choice(marks[k], rng.integers(1, 3)).tolist() if bad else [])))
+    model = toxicity.fit(pa.array(rows[:3000]), toxic[:3000].astype(np.int64), 0.3)
+    slots = kernels.Slots(model.codes)
+    found = np.concatenate([model.scores(p, slots) for p in kernels.pieces(pa.array(rows[3000:]))]) >= 0.5
+    assert found[toxic[3000:]].mean() > 0.95 and found[~toxic[3000:]].mean() < 0.01
+
+
 def test_language(spark, sf_dir):
     folder = sf_dir.replace("0.001", "0.01")
     truth = {r.doc_id: r.lang for r in table(spark, folder, "documents").collect()}
