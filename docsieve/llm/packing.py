@@ -61,13 +61,116 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
+#: Classes of bytes: white space, letters, numbers, all others, and the byte that ends a text.
+_SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[*range(9, 14), 0x20]] = _SPACE
+_CLASS[ord("a") : ord("z") + 1] = _LETTER
+_CLASS[ord("0") : ord("9") + 1] = _NUMBER
+_CLASS[0x80:0xFF] = _LETTER
+_CLASS[0xFF] = _END
+#: Classes of the characters U+0080 to U+00BF, by their second byte.
+_CLASS_C2 = np.full(256, _OTHER, np.uint8)
+_CLASS_C2[[0x85, 0xA0]] = _SPACE
+_CLASS_C2[[0xAA, 0xB5, 0xBA]] = _LETTER
+_CLASS_C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _NUMBER
+#: What may stand behind an apostrophe as a word with it: how many letters, by the first two.
+_SHORT = np.zeros((256, 256), np.int64)
+_SHORT[list(b"stmd")] = 1
+for _pair in (b"re", b"ve", b"ll"):
+    _SHORT[_pair[0], _pair[1]] = 2
+
+
+def _low_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in the UTF-8 of lower-case texts below U+0250, each closed by a byte 0xFF, which is a word too."""
+    kind = _CLASS[data]
+    if data.max(initial=0) >= 0x80:
+        lead = np.flatnonzero(data == 0xC2)
+        kind[lead] = kind[lead + 1] = _CLASS_C2[data[lead + 1]]
+        signs = np.flatnonzero(data == 0xC3)
+        signs = signs[(data[signs + 1] == 0x97) | (data[signs + 1] == 0xB7)]
+        kind[signs] = kind[signs + 1] = _OTHER
+    new = np.empty(len(data), bool)
+    new[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=new[1:])
+    new |= (kind == _END) | ((kind == _NUMBER) & (data & 0xC0 != 0x80))
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(data))
+    first = kind[start]
+    quote = np.flatnonzero((data[start] == ord("'")) & (end - start == 1))
+    if len(quote):
+        # the end of a text stands behind every word of it
+        quote = quote[first[quote + 1] == _LETTER]
+        at = start[quote + 1]
+        taken = _SHORT[data[at], data[at + 1]]
+        end[quote] += taken
+        start[quote + 1] += taken
+    some = np.flatnonzero((first != _SPACE) & (end > start))
+    return start[some], end[some]
+
+
+class WordTable:
+    """Ids of words by their 64-bit codes, in two direct-address tables; a word that finds both places taken takes the second."""
+
+    BITS = 21, 17
+
+    def __init__(self):
+        self.n = 1
+        self.codes = np.zeros(1 << 16, np.uint64)
+        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.held = np.zeros(1 << 18, np.uint16), 1
+        self.ids[0], self.size[0] = END, 1  # row 0 is the end of a text
+        self.rows = [np.full(1 << b, -1, np.int32) for b in self.BITS]
+
+    def places(self, code: np.ndarray) -> list[np.ndarray]:
+        return [code >> np.uint64(64 - self.BITS[0]), code & np.uint64((1 << self.BITS[1]) - 1)]
+
+    def find(self, code: np.ndarray, closes: np.ndarray) -> np.ndarray:
+        """The row of each word, -1 of unknown ones; 0 for those that ``closes`` marks."""
+        row = self.rows[0][self.places(code)[0]]
+        row[self.codes[row] != code] = -1
+        row[closes] = 0
+        left = np.flatnonzero(row < 0)
+        other = self.rows[1][self.places(code[left])[1]]
+        row[left] = np.where(self.codes[other] == code[left], other, -1)
+        return row
+
+    def add(self, code: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """New rows for distinct words."""
+        grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+        row = self.n + np.arange(len(code), dtype=np.int32)
+        flat = np.frombuffer(b"".join(ids), "<u2")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        self.codes, self.first, self.size = (grown(x, self.n + len(code)) for x in (self.codes, self.first, self.size))
+        self.ids = grown(self.ids, self.held + len(flat))
+        self.codes[row], self.first[row], self.size[row] = code, self.held + np.cumsum(size) - size, size
+        self.ids[self.held : self.held + len(flat)] = flat
+        self.n, self.held = self.n + len(code), self.held + len(flat)
+        place = self.places(code)
+        free = np.flatnonzero(self.rows[0][place[0]] < 0)
+        self.rows[0][place[0][free]] = row[free]
+        late = np.flatnonzero(self.rows[0][place[0]] != row)
+        self.rows[1][place[1][late]] = row[late]
+        return row
+
+    def joined(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some rows, and how many there are up to the end of each."""
+        size = self.size[row]
+        upto = np.cumsum(size)
+        at = np.repeat(self.first[row] - (upto - size), size)
+        at += np.arange(len(at))
+        return self.ids[at], upto
+
+
 class WordBpe:
     """Ids of the word-end BPE file as little-endian 16-bit bytes, word by word with a bounded cache.
 
     The file's rules: NFC, white space to one space, small letters, then words by
     the pattern below, each encoded alone; so a word's ids never depend on its
-    neighbours. Texts below U+0250 need no normaliser but lower(). Words of up to
-    ``TABLE`` bytes that are not in the cache are merged many at a time, a row of
+    neighbours. Texts below U+0250 need no normaliser but lower(); many of them are
+    cut at once, by the classes of their bytes, and their words found by 64-bit
+    codes (``WordTable``). Other texts are cut one by one. Words of up to
+    ``TABLE`` bytes that are not in a cache are merged many at a time, a row of
     a table each. Texts that hold a special token's string go through the library.
     """
 
@@ -91,18 +194,12 @@ class WordBpe:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.merged = np.array([vocabulary[a + b] for a, b in merges], np.int32)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        low_letters, low_numbers = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-        self.low = re.compile(self._PARTS.format(letter=f"[{low_letters}]", number=f"[{low_numbers}]", space="\xa0", in_letter=low_letters, in_number=low_numbers))
-        self.ascii = re.compile(self._PARTS.format(letter="[a-z]", number="[0-9]", space="", in_letter="a-z", in_number="0-9"))
         self.all = regex.compile(self._PARTS.format(letter=r"\p{L}", number=r"\p{N}", space=r"\p{Z}", in_letter=r"\p{L}", in_number=r"\p{N}"))
         self.high = re.compile("[^\x00-ɏ]")
         self.cache: dict[str, bytes] = {}
+        self.table = WordTable()
 
     def words(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.ascii.findall(text.lower())
-        if not self.high.search(text):
-            return self.low.findall(text.lower())
         return self.all.findall(self.tokenizer.normalizer.normalize_str(text))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -147,12 +244,9 @@ class WordBpe:
         ids, step = out.tobytes(), 2 * out.shape[1]
         return [ids[i : i + 2 * k] for i, k in zip(range(0, len(ids), step), length.tolist(), strict=True)]
 
-    def learn(self, words: set[str]) -> None:
-        """Puts the ids of ``words`` into the cache."""
-        if not words:
-            return
-        own = list(words)
-        raw = list(map(str.encode, own))
+    def ids(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of some words."""
+        out: list[bytes] = [b""] * len(raw)
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         order = np.argsort(size, kind="stable")
         size = size[order]
@@ -160,23 +254,56 @@ class WordBpe:
         while at < short:
             upto = min(short, at + 4096, int(np.searchsorted(size, size[at] + 3, "right")))
             some = order[at:upto].tolist()
-            self.cache |= zip([own[i] for i in some], self.merge([raw[i] for i in some]), strict=True)
+            for i, own in zip(some, self.merge([raw[i] for i in some]), strict=True):
+                out[i] = own
             at = upto
         for i in order[short:].tolist():
-            self.cache[own[i]] = np.array([t.id for t in self.tokenizer.model.tokenize(raw[i].decode("latin-1").translate(self.letters))], "<u2").tobytes()
+            out[i] = np.array([t.id for t in self.tokenizer.model.tokenize(raw[i].decode("latin-1").translate(self.letters))], "<u2").tobytes()
+        return out
+
+    def encode_low(self, texts: list[str]) -> list[bytes]:
+        """The ids, ends included, of texts in small letters below U+0250."""
+        data = np.frombuffer(b"\xff".join([*map(str.encode, texts), b""]), np.uint8)
+        start, end = _low_words(data)
+        code = K.run_codes(data, start, end)
+        closes = data[start] == 0xFF
+        row = self.table.find(code, closes)
+        missing = np.flatnonzero(row < 0)
+        if len(missing):
+            new, first, inverse = np.unique(code[missing], return_index=True, return_inverse=True)
+            if self.table.n + len(new) > CACHED_WORDS:
+                self.table = WordTable()
+                row = self.table.find(code, closes)
+                missing = np.flatnonzero(row < 0)
+                new, first, inverse = np.unique(code[missing], return_index=True, return_inverse=True)
+            raw, a, b = data.tobytes(), start[missing[first]].tolist(), end[missing[first]].tolist()
+            row[missing] = self.table.add(new, self.ids([raw[i:j] for i, j in zip(a, b, strict=True)]))[inverse]
+        ids, upto = self.table.joined(row)
+        ids, edges = ids.tobytes(), (2 * upto[closes]).tolist()
+        return [ids[i:j] for i, j in zip([0, *edges[:-1]], edges, strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         end = struct.pack("<H", END)
-        plain = [None if not text else "" if self.special.search(text) else self.words(text) for text in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        self.learn(set().union(*(x for x in plain if x)).difference(self.cache))
-        of, out = self.cache.__getitem__, []
-        for text, own in zip(texts, plain, strict=True):
-            if own == "":
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes() + end)
+        out: list[bytes] = [end] * len(texts)
+        low, high = {}, {}
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self.special.search(text):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes() + end
+            elif (small := text.lower()).isascii() or not self.high.search(small):
+                low[i] = small
             else:
-                out.append(b"".join(map(of, own or ())) + end)
+                high[i] = self.words(text)
+        for i, ids in zip(low, self.encode_low(list(low.values())) if low else [], strict=True):
+            out[i] = ids
+        if high:
+            if len(self.cache) > CACHED_WORDS:
+                self.cache.clear()
+            new = list(set().union(*high.values()).difference(self.cache))
+            self.cache |= zip(new, self.ids(list(map(str.encode, new))), strict=True)
+            for i, own in high.items():
+                out[i] = b"".join(map(self.cache.__getitem__, own)) + end
         return out
 
 

@@ -474,6 +474,21 @@ def test_word_bpe_equals_the_library():
     assert [np.frombuffer(x, "<u2").tolist()[:-1] for x in packing.WordBpe(path).encode(odd)] == [t.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def test_word_bpe_cuts_many_texts_at_once_as_the_library_does():
+    """Words next to every class of character below U+0250, capitals whose small letters lie above it, and more words than places."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, bpe, rng = Tokenizer.from_file(path), packing.WordBpe(path), np.random.default_rng(4)
+    parts = [*"ab'sret vlmd19.,\"\n\t \x85\xa0²½ªº×÷éßÀøĀɏȺİ\x1c-", "'s", "'re", "'ll", "'ve", "don't", " '"]
+    some = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(4000)]
+    want = [t.encode(x, add_special_tokens=False).ids + [packing.END] for x in some]
+    assert [np.frombuffer(x, "<u2").tolist() for x in bpe.encode(some)] == want
+    bpe.table = packing.WordTable()
+    bpe.table.BITS = 6, 3
+    assert [np.frombuffer(x, "<u2").tolist() for at in range(0, 4000, 500) for x in bpe.encode(some[at : at + 500])] == want
+
+
 def test_bm25_neighbours():
     corpus = packing.Corpus(np.ones(1 << 16), 4.0)
     shard = packing.Shard([np.array(x, "<u2") for x in ([5, 6, 7], [5, 6, 9], [8, 8, 8], [5, 10, 11])], corpus)
