@@ -234,12 +234,10 @@ class Slots:
         self.codes = np.asarray(codes, np.uint64)
         self.bits = max(8, int(2 * len(self.codes)).bit_length() + 3)
         self.table = np.full(1 << self.bits, -1, np.int32)
-        self.rest: dict[int, int] = {}
-        for i, place in enumerate((self.codes >> np.uint64(64 - self.bits)).tolist()):
-            if self.table[place] < 0:
-                self.table[place] = i
-            else:
-                self.rest[int(self.codes[i])] = i
+        place = (self.codes >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.table[place[::-1]] = np.arange(len(place), dtype=np.int32)[::-1]
+        late = np.flatnonzero(self.table[place] != np.arange(len(place)))
+        self.rest = dict(zip(self.codes[late].tolist(), late.tolist(), strict=True))
 
     def find(self, codes: np.ndarray) -> np.ndarray:
         """The place of each code, -1 for others."""

@@ -53,6 +53,8 @@ NOISE, INNER_NOISE = 64, 8
 #: Classes for each root of the number of trained words.
 CLASSES = 0.67
 TRAINED, ROOT = 20, 100
+#: Places whose sums over symbols, or words of a class, are taken at once: they stay in a core's own memory.
+BLOCK = 512
 #: Tokens of one step, and words of a class that share noise draws in it.
 BATCH, SHARED = 2048, 16
 ROUNDS = 1
@@ -189,27 +191,31 @@ class Bilinear:
 
     def queries(self, vectors: np.ndarray) -> np.ndarray:
         """For each place the sum of the scaled ``vectors`` before it, and a 1 for the biases."""
-        q = np.zeros((len(vectors), DIM + 1), np.float32)
+        q = np.empty((len(vectors), DIM + 1), np.float32)
         q[:, DIM] = 1
-        for k in range(1, CONTEXT + 1):
-            q[k:, :DIM] += vectors[:-k] * self.position[k - 1]
+        for a in range(0, len(vectors), BLOCK):
+            b = min(a + BLOCK, len(vectors))
+            own = np.zeros((b - a, DIM), np.float32)
+            for k in range(1, CONTEXT + 1):
+                own[max(k - a, 0) :] += vectors[max(a - k, 0) : max(b - k, 0)] * self.position[k - 1]
+            q[a:b, :DIM] = own
         return q
 
     def log_probabilities(self, q: np.ndarray, out: np.ndarray, event: np.ndarray | None = None) -> np.ndarray:
         """log10 of the normalised probability, after contexts of the sums ``q``, of each symbol of ``out``, and of its ``event`` inside the class."""
-        found = np.einsum("nd,nd->n", q, self.target[out]).astype(np.float64)
-        for at in range(0, len(out), 256):
-            found[at : at + 256] -= _log_sums(q[at : at + 256], self.target)
+        found = np.einsum("nd,nd->n", q, self.target.take(out, axis=0)).astype(np.float64)
+        for at in range(0, len(out), BLOCK):
+            found[at : at + BLOCK] -= _log_sums(q[at : at + BLOCK], self.target)
         if event is not None:
             rows = np.flatnonzero(event >= 0)
             rows = rows[np.diff(self.first)[out[rows] - 1 - HEAD] > 1]
-            rows = rows[np.argsort(out[rows], kind="stable")]
-            inside = q[rows]
-            found[rows] += np.einsum("nd,nd->n", inside, self.inner[event[rows]])
+            rows = rows[_order(out[rows])]
+            inside = q.take(rows, axis=0)
+            found[rows] += np.einsum("nd,nd->n", inside, self.inner.take(event[rows], axis=0))
             edges = np.searchsorted(out[rows], 1 + HEAD + np.arange(len(self.first)))
             for c in np.flatnonzero(np.diff(edges)):
-                for at in range(edges[c], edges[c + 1], 256):
-                    some = slice(at, min(at + 256, edges[c + 1]))
+                for at in range(edges[c], edges[c + 1], BLOCK):
+                    some = slice(at, min(at + BLOCK, edges[c + 1]))
                     found[rows[some]] -= _log_sums(inside[some], self.inner[self.first[c] : self.first[c + 1]])
         return found / np.log(10)
 
@@ -218,9 +224,9 @@ class Bilinear:
         out, event, at = some.out[a:b], some.event[a:b], some.at[a:b]
         ids, at = some.source[at[0] - CONTEXT : at[-1] + 1], at - at[0] + CONTEXT
         drawn = np.minimum(np.searchsorted(noise.upto, rng.random(NOISE) * noise.upto[-1]), len(noise.symbol) - 1)
-        seen = self.source[ids]
-        q = self.queries(seen)[at]
-        wanted, others = self.target[out], self.target[drawn]
+        seen = self.source.take(ids, axis=0)
+        q = self.queries(seen).take(at, axis=0)
+        wanted, others = self.target.take(out, axis=0), self.target.take(drawn, axis=0)
         g_yes = _slope(np.einsum("nd,nd->n", q, wanted) - noise.log_symbol[out]) - 1
         shifted = others.copy()
         shifted[:, DIM] -= noise.log_symbol[drawn]
@@ -233,7 +239,7 @@ class Bilinear:
         several = self.first[own + 1] - self.first[own] > 1
         inside, own = inside[several], own[several]
         if len(inside):
-            order = np.argsort(own, kind="stable")
+            order = _order(own)
             inside, own = inside[order], own[order]
             # groups of up to SHARED words of one class, as rows of a table
             starts = _changes(own)
@@ -243,11 +249,11 @@ class Bilinear:
             first, last = self.first[classes][:, None], self.first[classes + 1][:, None]
             low, high = noise.event_upto[first], noise.event_upto[last]
             others = np.clip(np.searchsorted(noise.event_upto, low + rng.random((len(classes), INNER_NOISE)) * (high - low), "right") - 1, first, last - 1)
-            q_own = q[inside]
+            q_own = q.take(inside, axis=0)
             q_in = np.zeros((len(classes), SHARED, DIM + 1), np.float32)
             q_in[group, column] = q_own
             word = event[inside]
-            own_vectors, vectors = self.inner[word], self.inner[others]
+            own_vectors, vectors = self.inner.take(word, axis=0), self.inner.take(others, axis=0)
             s_yes = _slope(np.einsum("nd,nd->n", q_own, own_vectors) - noise.log_event[word]) - 1
             shifted = vectors.copy()
             shifted[:, :, DIM] -= noise.log_event[others]
@@ -270,13 +276,13 @@ class Bilinear:
             own, g = _summed(rows, values)
             g /= np.float32(len(out))
             self.met[i][own] += 1
-            square = self.squares[i][own]
+            square = self.squares[i].take(own, axis=0)
             square += g * g
             self.squares[i][own] = square
             np.sqrt(square, out=square)
             g /= square
             g *= np.float32(RATE)
-            part[own] -= g
+            part[own] = np.subtract(part.take(own, axis=0), g, out=g)
 
     def train(self, some: Stream, noise: Noise, rng: np.random.Generator) -> None:
         """Steps over portions of the tokens as they stand in the texts."""
@@ -307,9 +313,37 @@ def _log_sums(q: np.ndarray, targets: np.ndarray) -> np.ndarray:
 
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows, and each one's sum of values."""
-    order = np.argsort(rows, kind="stable")
-    begin = _changes(rows[order])
-    return rows[order][begin], np.add.reduceat(values[order], begin, axis=0)
+    order = _order(rows)
+    ordered = rows[order]
+    begin = _changes(ordered)
+    out = values.take(order[begin], axis=0)
+    # most rows stand alone: only the others are summed
+    size = np.diff(begin, append=len(rows))
+    several = np.flatnonzero(size > 1)
+    if len(several):
+        size = size[several]
+        upto = np.cumsum(size)
+        places = np.repeat(begin[several] - (upto - size), size) + np.arange(upto[-1])
+        out[several] = np.add.reduceat(values.take(order[places], axis=0), upto - size, axis=0)
+    return ordered[begin], out
+
+
+def _order(rows: np.ndarray) -> np.ndarray:
+    """The stable order of some numbers from 0 on: numbers that hold their places are sorted faster than places by numbers."""
+    bits = len(rows).bit_length()
+    if int(rows.max(initial=0)) >> (63 - bits):
+        return np.argsort(rows, kind="stable")
+    return np.sort(rows.astype(np.int64) << bits | np.arange(len(rows))) & ((1 << bits) - 1)
+
+
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal codes stand together, and where each run of them begins.
+
+    Codes are sorted by as many of their bits as their places leave free: others may, by a rare chance, split a run.
+    """
+    bits = np.uint64(len(codes).bit_length())
+    order = (np.sort(codes >> bits << bits | np.arange(len(codes), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return order, _changes(codes[order])
 
 
 def _changes(ordered: np.ndarray) -> np.ndarray:
@@ -320,25 +354,28 @@ def _changes(ordered: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(code, bucket, n) of words, merged in bounded portions."""
+    """(code, bucket, n) of words, merged in bounded portions; a code may stand in several rows."""
     codes: list[np.ndarray] = []
     buckets: list[np.ndarray] = []
     counts: list[np.ndarray] = []
 
     def merged() -> pa.RecordBatch:
-        code, first, inverse = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
-        n = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(K.signed(code)), pa.array(np.concatenate(buckets)[first]), pa.array(n)], names=["code", "bucket", "n"])
+        code = np.concatenate(codes)
+        order, begin = _runs(code)
+        n = np.add.reduceat(np.concatenate(counts)[order], begin) if len(begin) else np.zeros(0, np.int64)
+        first = order[begin]
+        return pa.RecordBatch.from_arrays([pa.array(K.signed(code[first])), pa.array(np.concatenate(buckets)[first]), pa.array(n)], names=["code", "bucket", "n"])
 
     held = 0
     for batch in batches:
         for piece in K.pieces(batch.column(0)):
             code, bucket, _ = tokens(piece)
-            own, first, n = np.unique(code, return_index=True, return_counts=True)
-            codes.append(own)
+            order, begin = _runs(code)
+            first = order[begin]
+            codes.append(code[first])
             buckets.append(bucket[first])
-            counts.append(n)
-            held += len(own)
+            counts.append(np.diff(begin, append=len(code)))
+            held += len(first)
             if held > MERGE_AT:
                 yield merged()
                 codes, buckets, counts, held = [], [], [], 0
@@ -499,7 +536,7 @@ def _score(model: Bilinear, words: Vocabulary):
             for piece in K.pieces(batch.column(1)):
                 code, bucket, found = tokens(piece)
                 some = stream(code, bucket, found.first, slots, words)
-                log_p = model.log_probabilities(model.queries(model.source[some.source])[some.at], some.out, some.event)
+                log_p = model.log_probabilities(model.queries(model.source.take(some.source, axis=0)).take(some.at, axis=0), some.out, some.event)
                 place = frequent.find(code)
                 known = place >= 0
                 extra = np.zeros(len(code))

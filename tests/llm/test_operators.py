@@ -624,6 +624,36 @@ def test_lm_counts(spark, sf_dir, texts, monkeypatch, frequent):
     assert model > base
 
 
+def test_lm_sorts_by_keys_as_by_places():
+    """Orders, runs and sums against plain loops, also where places and numbers do not fit a key, and with no rows at all."""
+    rng = np.random.default_rng(6)
+    for rows in (rng.integers(0, 9, 500), rng.integers(0, 1 << 40, 500), np.array([1 << 62, 3, 1 << 62, 0, 3]), np.zeros(0, np.int64)):
+        assert lm._order(rows).tolist() == sorted(range(len(rows)), key=lambda i: rows[i])
+        values = rng.normal(size=(len(rows), 3)).astype(np.float32)
+        own, sums = lm._summed(rows, values) if len(rows) else (rows, values)
+        assert own.tolist() == sorted(set(rows.tolist()))
+        assert np.allclose(sums, [values[rows == r].sum(axis=0) for r in own] if len(rows) else values, atol=1e-5)
+        codes = rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        order, begin = lm._runs(codes)
+        assert sorted(order.tolist()) == list(range(len(rows)))
+        runs = {int(codes[order[a]]): n for a, n in zip(begin, np.diff(begin, append=len(rows)), strict=True)}
+        assert runs == Counter(codes.tolist())
+    # a vector's context is the same wherever a block begins
+    model = lm.Bilinear.fresh(np.full(3, 1 / 3), np.full(2, 0.5), np.array([0, 2]))
+    vectors = rng.normal(size=(2 * lm.BLOCK + 3, lm.DIM)).astype(np.float32)
+    want = np.zeros_like(vectors)
+    for k in range(1, lm.CONTEXT + 1):
+        want[k:] += vectors[:-k] * model.position[k - 1]
+    assert np.array_equal(model.queries(vectors)[:, : lm.DIM], want) and model.queries(vectors[:2]).shape == (2, lm.DIM + 1)
+
+
+def test_slots_find_codes_that_share_a_place():
+    codes = (np.arange(1, 600, dtype=np.uint64) << np.uint64(50)) // np.uint64(7)
+    slots = kernels.Slots(codes)
+    assert slots.rest and slots.find(codes).tolist() == list(range(599))
+    assert slots.find(codes + np.uint64(1)).tolist() == [-1] * 599
+
+
 def test_lm_on_hard_rows(hard):
     rows = lm.lm_scores(hard).collect()
     assert len(rows) == 10 and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
