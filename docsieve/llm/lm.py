@@ -34,6 +34,7 @@ training text every count is 0 and every symbol equally likely.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -68,9 +69,8 @@ MERGE_AT = 1 << 20
 def tokens(piece: K.Piece) -> tuple[np.ndarray, np.ndarray, K.Words]:
     """Code and suffix bucket of every word, and the words."""
     found = K.words(piece, lower=True)
-    data = K.LOWER[piece.data]
-    last = data[found.end - 1].astype(np.uint64)
-    before = np.where(found.end - found.start > 1, data[np.maximum(found.end - 2, 0)], 0).astype(np.uint64)
+    last = K.LOWER[piece.data[found.end - 1]].astype(np.uint64)
+    before = np.where(found.end - found.start > 1, K.LOWER[piece.data[np.maximum(found.end - 2, 0)]], 0).astype(np.uint64)
     return found.code, (K.mix(last + (before << np.uint64(8))) % np.uint64(BUCKETS)).astype(np.int64), found
 
 
@@ -106,6 +106,14 @@ class Vocabulary:
     def among_rare(self, counts: np.ndarray, buckets: np.ndarray) -> np.ndarray:
         return np.log10((counts + ALPHA) / (self.rare_counts[buckets] + ALPHA * (self.rare_distinct[buckets] + 1)))
 
+    @functools.cached_property
+    def kinds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol, event (-1 for none) and place as context of the end, the trained words, then each bucket's rare words."""
+        symbols = 1 + min(HEAD, self.trained)
+        out = np.concatenate([np.arange(symbols), 1 + HEAD + self.word_class, 1 + HEAD + self.rare_class])
+        event = np.concatenate([np.full(symbols, -1), self.event, self.rare_event])
+        return out, event, np.where(event >= 0, 1 + HEAD + event, out)
+
     @property
     def light(self) -> Vocabulary:
         """What training needs."""
@@ -128,22 +136,18 @@ class Stream:
     begin: np.ndarray
 
 
-def stream(codes: np.ndarray, buckets: np.ndarray, first: np.ndarray, slots: K.Slots, words: Vocabulary) -> Stream:
+def stream(place: np.ndarray, buckets: np.ndarray, first: np.ndarray, words: Vocabulary) -> Stream:
+    """The tokens of texts whose words have the ``place`` among the counted words, -1 for none."""
     n = len(first) - 1
-    place = slots.find(codes)
-    own, inner = words.rare_class[buckets], words.rare_event[buckets]
     begin = first + np.arange(n + 1)
-    out, event = np.zeros(begin[-1], np.int64), np.full(begin[-1], -1)
     word = np.ones(begin[-1], bool)
     word[begin[1:] - 1] = False
-    head = (place >= 0) & (place < HEAD)
-    trained = place >= HEAD
-    own[trained], inner[trained] = words.word_class[place[trained] - HEAD], words.event[place[trained] - HEAD]
-    out[word] = np.where(head, 1 + place, 1 + HEAD + own)
-    event[word] = np.where(head, -1, inner)
-    at = np.arange(begin[-1]) + CONTEXT * (1 + np.repeat(np.arange(n), np.diff(begin)))
+    kind = np.zeros(begin[-1], np.int64)
+    kind[word] = 1 + np.where((place >= 0) & (place < words.trained), place, words.trained + buckets)
+    out, event, context = (k.take(kind) for k in words.kinds)
+    at = np.arange(begin[-1]) + np.repeat(CONTEXT * np.arange(1, n + 1), np.diff(begin))
     source = np.zeros(begin[-1] + CONTEXT * n, np.int64)
-    source[at] = np.where(event >= 0, 1 + HEAD + event, out)
+    source[at] = context
     return Stream(out, event, source, at, begin)
 
 
@@ -160,6 +164,20 @@ class Noise:
         self.event_upto = np.concatenate([[0.0], np.cumsum(self.event)])
         self.log_symbol = np.log(NOISE * self.symbol).astype(np.float32)
         self.log_event = np.log(INNER_NOISE * self.event).astype(np.float32)
+        # where a search among the sums may begin, for several bins an event; each edge is taken a little lower, so no rounding passes it
+        bins = 1 << (4 * len(self.event)).bit_length()
+        self.bins = bins / self.event_upto[-1]
+        self.begin = np.maximum(np.searchsorted(self.event_upto, (np.arange(bins + 1) - 1e-3) / self.bins, "right") - 1, 0).astype(np.int32)
+        self.event_end = np.append(self.event_upto[1:-1], np.inf)
+
+    def events(self, at: np.ndarray) -> np.ndarray:
+        """The events in whose shares the places ``at`` of the running sum lie."""
+        found = self.begin.take((at * self.bins).astype(np.int64), mode="clip").astype(np.int64)
+        late = np.flatnonzero(self.event_end.take(found) <= at)
+        while len(late):
+            found.flat[late] += 1
+            late = late[self.event_end.take(found.flat[late]) <= at.flat[late]]
+        return found
 
 
 @dataclass
@@ -193,36 +211,50 @@ class Bilinear:
         """For each place the sum of the scaled ``vectors`` before it, and a 1 for the biases."""
         q = np.empty((len(vectors), DIM + 1), np.float32)
         q[:, DIM] = 1
+        # whole blocks of factors: numpy is slow at rows as short as a vector
+        factors = np.repeat(self.position[:, None], min(BLOCK, len(vectors)), axis=1)
+        scaled = np.empty_like(factors[0])
         for a in range(0, len(vectors), BLOCK):
             b = min(a + BLOCK, len(vectors))
             own = np.zeros((b - a, DIM), np.float32)
             for k in range(1, CONTEXT + 1):
-                own[max(k - a, 0) :] += vectors[max(a - k, 0) : max(b - k, 0)] * self.position[k - 1]
+                before = vectors[max(a - k, 0) : max(b - k, 0)]
+                n = len(before)
+                own[b - a - n :] += np.multiply(before, factors[k - 1, :n], out=scaled[:n])
             q[a:b, :DIM] = own
         return q
 
     def log_probabilities(self, q: np.ndarray, out: np.ndarray, event: np.ndarray | None = None) -> np.ndarray:
         """log10 of the normalised probability, after contexts of the sums ``q``, of each symbol of ``out``, and of its ``event`` inside the class."""
+        q = q * np.float32(1 / np.log(2))  # powers of 2 are faster than exponentials
         found = np.einsum("nd,nd->n", q, self.target.take(out, axis=0)).astype(np.float64)
+        sizes = np.diff(self.first)
+        buffer = np.empty(BLOCK * max(len(self.target), int(sizes.max(initial=0))), np.float32)
+        sums = np.empty(len(out), np.float64)
         for at in range(0, len(out), BLOCK):
-            found[at : at + BLOCK] -= _log_sums(q[at : at + BLOCK], self.target)
+            sums[at : at + BLOCK] = _log_sums(q[at : at + BLOCK], self.target, buffer)
+        found -= sums
         if event is not None:
             rows = np.flatnonzero(event >= 0)
-            rows = rows[np.diff(self.first)[out[rows] - 1 - HEAD] > 1]
+            rows = rows[sizes[out[rows] - 1 - HEAD] > 1]
             rows = rows[_order(out[rows])]
-            inside = q.take(rows, axis=0)
-            found[rows] += np.einsum("nd,nd->n", inside, self.inner.take(event[rows], axis=0))
+            inside, sums = q.take(rows, axis=0), sums[: len(rows)]
             edges = np.searchsorted(out[rows], 1 + HEAD + np.arange(len(self.first)))
             for c in np.flatnonzero(np.diff(edges)):
+                events = self.inner[self.first[c] : self.first[c + 1]]
                 for at in range(edges[c], edges[c + 1], BLOCK):
                     some = slice(at, min(at + BLOCK, edges[c + 1]))
-                    found[rows[some]] -= _log_sums(inside[some], self.inner[self.first[c] : self.first[c + 1]])
-        return found / np.log(10)
+                    sums[some] = _log_sums(inside[some], events, buffer)
+            found[rows] += np.einsum("nd,nd->n", inside, self.inner.take(event[rows], axis=0)) - sums
+        return found * np.log10(2)
 
     def learn(self, some: Stream, a: int, b: int, noise: Noise, rng: np.random.Generator) -> None:
         """One noise-contrastive step (AdaGrad) on the tokens from ``a`` to ``b``: symbols against draws that serve all of them, words against draws that serve up to ``SHARED`` words of their class."""
         out, event, at = some.out[a:b], some.event[a:b], some.at[a:b]
         ids, at = some.source[at[0] - CONTEXT : at[-1] + 1], at - at[0] + CONTEXT
+        # tokens of one symbol, so words of one class, stand together
+        order = _order(out)
+        out, event, at = out[order], event[order], at[order]
         drawn = np.minimum(np.searchsorted(noise.upto, rng.random(NOISE) * noise.upto[-1]), len(noise.symbol) - 1)
         seen = self.source.take(ids, axis=0)
         q = self.queries(seen).take(at, axis=0)
@@ -232,26 +264,34 @@ class Bilinear:
         shifted[:, DIM] -= noise.log_symbol[drawn]
         g_no = _slope(q @ shifted.T)
         dq = g_no @ others
-        dq += g_yes[:, None] * wanted
-        steps = [(self.target, 1, np.concatenate([out, drawn]), np.concatenate([g_yes[:, None] * q, g_no.T @ q]))]
-        inside = np.flatnonzero(event >= 0)
-        own = out[inside] - 1 - HEAD
-        several = self.first[own + 1] - self.first[own] > 1
-        inside, own = inside[several], own[several]
+        wanted *= g_yes[:, None]
+        dq += wanted
+        begin = _changes(out)
+        d_target, hit = np.zeros_like(self.target), np.zeros(len(self.target), bool)
+        d_target[out[begin]] = np.add.reduceat(g_yes[:, None] * q, begin, axis=0)
+        np.add.at(d_target, drawn, g_no.T @ q)
+        hit[out[begin]] = hit[drawn] = True
+        met = np.flatnonzero(hit)
+        steps = [(self.target, 1, met, d_target.take(met, axis=0))]
+        sizes = np.diff(self.first)
+        inside = np.searchsorted(out, 1 + HEAD) + np.flatnonzero(sizes[out[out > HEAD] - 1 - HEAD] > 1)
         if len(inside):
-            order = _order(own)
-            inside, own = inside[order], own[order]
+            if inside[-1] - inside[0] < len(inside):  # rare words' classes stand last, so mostly a slice
+                inside = slice(inside[0], inside[-1] + 1)
+            own = out[inside] - 1 - HEAD
             # groups of up to SHARED words of one class, as rows of a table
             starts = _changes(own)
-            rank = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
-            group, column = np.cumsum(rank % SHARED == 0) - 1, rank % SHARED
-            classes = own[column == 0]
+            rank = np.arange(len(own)) - np.repeat(starts, np.diff(starts, append=len(own)))
+            column = rank % SHARED
+            leads = column == 0
+            place = (np.cumsum(leads) - 1) * SHARED + column
+            classes = own[leads]
             first, last = self.first[classes][:, None], self.first[classes + 1][:, None]
             low, high = noise.event_upto[first], noise.event_upto[last]
-            others = np.clip(np.searchsorted(noise.event_upto, low + rng.random((len(classes), INNER_NOISE)) * (high - low), "right") - 1, first, last - 1)
-            q_own = q.take(inside, axis=0)
+            others = np.clip(noise.events(low + rng.random((len(classes), INNER_NOISE)) * (high - low)), first, last - 1)
+            q_own = q[inside]
             q_in = np.zeros((len(classes), SHARED, DIM + 1), np.float32)
-            q_in[group, column] = q_own
+            q_in.reshape(-1, DIM + 1)[place] = q_own
             word = event[inside]
             own_vectors, vectors = self.inner.take(word, axis=0), self.inner.take(others, axis=0)
             s_yes = _slope(np.einsum("nd,nd->n", q_own, own_vectors) - noise.log_event[word]) - 1
@@ -259,21 +299,25 @@ class Bilinear:
             shifted[:, :, DIM] -= noise.log_event[others]
             s_no = _slope(q_in @ shifted.transpose(0, 2, 1))
             s_no *= q_in[:, :, DIM:]  # nothing stands in the columns that a group leaves free
-            dq[inside] += s_yes[:, None] * own_vectors + (s_no @ vectors)[group, column]
-            steps.append((self.inner, 3, np.concatenate([word, others.ravel()]), np.concatenate([s_yes[:, None] * q_own, (s_no.transpose(0, 2, 1) @ q_in).reshape(-1, DIM + 1)])))
+            own_vectors *= s_yes[:, None]
+            own_vectors += (s_no @ vectors).reshape(-1, DIM + 1).take(place, axis=0)
+            dq[inside] += own_vectors
+            d_inner = np.empty((len(word) + others.size, DIM + 1), np.float32)
+            np.multiply(s_yes[:, None], q_own, out=d_inner[: len(word)])
+            np.matmul(s_no.transpose(0, 2, 1), q_in, out=d_inner[len(word) :].reshape(len(classes), INNER_NOISE, DIM + 1))
+            steps.append((self.inner, 3, *_summed(np.concatenate([word, others.ravel()]), d_inner)))
         spread = np.zeros_like(seen)
         spread[at] = dq[:, :DIM]
         d_seen, d_position = np.zeros_like(seen), np.zeros_like(self.position)
         for k in range(1, CONTEXT + 1):
             d_seen[:-k] += spread[k:] * self.position[k - 1]
             d_position[k - 1] = np.einsum("nd,nd->d", spread[k:], seen[:-k])
-        steps += [(self.source, 0, ids, d_seen), (self.position, 2, np.arange(CONTEXT), d_position)]
+        steps += [(self.source, 0, *_summed(ids, d_seen)), (self.position, 2, np.arange(CONTEXT), d_position)]
         if not self.squares:
             self.squares = [np.full_like(p, 1e-4) for p in self.parts]
         if not self.met:
             self.met = [np.zeros(len(p), np.int64) for p in self.parts]
-        for part, i, rows, values in steps:
-            own, g = _summed(rows, values)
+        for part, i, own, g in steps:
             g /= np.float32(len(out))
             self.met[i][own] += 1
             square = self.squares[i].take(own, axis=0)
@@ -292,23 +336,25 @@ class Bilinear:
 
 def _slope(x: np.ndarray) -> np.ndarray:
     """1 / (1 + exp(-x)), in place."""
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
-def _log_sums(q: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """The logarithm of each row's sum of exponentials over all ``targets``."""
-    logits = q @ targets.T
-    top = 0.0
-    if logits.max(initial=0) > 60:
-        top = logits.max(axis=1, keepdims=True)
-        logits -= top
-        top = top[:, 0]
-    np.exp(logits, out=logits)
-    return np.log(logits @ np.ones(len(targets), np.float32), dtype=np.float64) + top
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
+
+
+def _log_sums(q: np.ndarray, targets: np.ndarray, buffer: np.ndarray) -> np.ndarray:
+    """The binary logarithm of each row's sum of powers of 2 over all ``targets``; the products stand in the ``buffer``."""
+    logits = np.matmul(q, targets.T, out=buffer[: len(q) * len(targets)].reshape(len(q), len(targets)))
+    ones = np.ones(len(targets), np.float32)
+    with np.errstate(over="ignore"):
+        sums = np.exp2(logits, out=logits) @ ones
+    if 1e-30 < sums.min(initial=1) and sums.max(initial=1) < 1e30:
+        return np.log2(sums, dtype=np.float64)
+    np.matmul(q, targets.T, out=logits)
+    top = logits.max(axis=1, keepdims=True)
+    logits -= top
+    return np.log2(np.exp2(logits, out=logits) @ ones, dtype=np.float64) + top[:, 0]
 
 
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,16 +401,16 @@ def _changes(ordered: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(code, bucket, n) of words, merged in bounded portions; a code may stand in several rows."""
-    codes: list[np.ndarray] = []
-    buckets: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def merged() -> pa.RecordBatch:
-        code = np.concatenate(codes)
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        code, bucket, n = (np.concatenate(p) for p in zip(*parts, strict=True))
         order, begin = _runs(code)
-        n = np.add.reduceat(np.concatenate(counts)[order], begin) if len(begin) else np.zeros(0, np.int64)
         first = order[begin]
-        return pa.RecordBatch.from_arrays([pa.array(K.signed(code[first])), pa.array(np.concatenate(buckets)[first]), pa.array(n)], names=["code", "bucket", "n"])
+        return code[first], bucket[first], np.add.reduceat(n[order], begin) if len(begin) else n
+
+    def rows(code: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(K.signed(code)), pa.array(bucket), pa.array(n)], names=["code", "bucket", "n"])
 
     held = 0
     for batch in batches:
@@ -372,15 +418,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code, bucket, _ = tokens(piece)
             order, begin = _runs(code)
             first = order[begin]
-            codes.append(code[first])
-            buckets.append(bucket[first])
-            counts.append(np.diff(begin, append=len(code)))
+            parts.append((code[first], bucket[first], np.diff(begin, append=len(code))))
             held += len(first)
             if held > MERGE_AT:
-                yield merged()
-                codes, buckets, counts, held = [], [], [], 0
-    if codes:
-        yield merged()
+                parts = [merged()]
+                held = len(parts[0][0])
+                if held > MERGE_AT // 2:
+                    yield rows(*parts[0])
+                    parts, held = [], 0
+    if parts:
+        yield rows(*merged())
 
 
 def _frequent(counts: DataFrame, total: int) -> tuple[pa.Table, int]:
@@ -450,7 +497,7 @@ def _noise(words: Vocabulary) -> Noise:
 def _learn_pieces(model: Bilinear, words: Vocabulary, slots: K.Slots, noise: Noise, rng: np.random.Generator, column: pa.Array | pa.ChunkedArray) -> None:
     for piece in K.pieces(column):
         code, bucket, found = tokens(piece)
-        model.train(stream(code, bucket, found.first, slots, words), noise, rng)
+        model.train(stream(slots.find(code), bucket, found.first, words), noise, rng)
 
 
 VECTORS = "part int, row long, met long, value binary"
@@ -529,15 +576,15 @@ def _score(model: Bilinear, words: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context_ = TaskContext.get()
         row = (context_.partitionId() if context_ else 0) << 40
-        slots, frequent = K.Slots(words.codes[: words.trained]), K.Slots(words.codes)
+        slots = K.Slots(words.codes)
         base, own_event = words.base(words.counts), np.arange(len(words.codes)) < words.trained
         end = words.base(np.array([words.ends]))[0]
         for batch in batches:
             for piece in K.pieces(batch.column(1)):
                 code, bucket, found = tokens(piece)
-                some = stream(code, bucket, found.first, slots, words)
+                place = slots.find(code)
+                some = stream(place, bucket, found.first, words)
                 log_p = model.log_probabilities(model.queries(model.source.take(some.source, axis=0)).take(some.at, axis=0), some.out, some.event)
-                place = frequent.find(code)
                 known = place >= 0
                 extra = np.zeros(len(code))
                 inside = known & ~own_event[place] if len(own_event) else np.zeros(len(code), bool)

@@ -647,6 +647,104 @@ def test_lm_sorts_by_keys_as_by_places():
     assert np.array_equal(model.queries(vectors)[:, : lm.DIM], want) and model.queries(vectors[:2]).shape == (2, lm.DIM + 1)
 
 
+def test_lm_sums_of_far_values():
+    """Probabilities whose products are all very low or very high are those of products near 0."""
+    rng = np.random.default_rng(7)
+    model = lm.Bilinear.fresh(np.full(1 + lm.HEAD + 2, 1 / 9), np.full(5, 0.5), np.array([0, 4, 5]))
+    q = model.queries(rng.normal(size=(lm.BLOCK + 9, lm.DIM)).astype(np.float32))
+    out = rng.integers(0, 1 + lm.HEAD + 2, len(q))
+    event = np.where(out == 1 + lm.HEAD, rng.integers(0, 4, len(q)), np.where(out > lm.HEAD, 4, -1))
+    near = model.log_probabilities(q, out, event)
+    logits = q.astype(float) @ model.target.T.astype(float)
+    want = logits[np.arange(len(q)), out] - np.log(np.exp(logits).sum(axis=1))
+    logits = q.astype(float) @ model.inner[:4].T.astype(float)
+    several = out == 1 + lm.HEAD
+    want[several] += logits[several, event[several]] - np.log(np.exp(logits[several]).sum(axis=1))
+    assert np.allclose(near, want / np.log(10), atol=1e-5)
+    for shift in (-300, 300):
+        model.target[:, -1] += shift
+        model.inner[:, -1] += shift
+        assert np.allclose(model.log_probabilities(q, out, event), near, atol=1e-3)
+        model.target[:, -1] -= shift
+        model.inner[:, -1] -= shift
+
+
+def test_lm_counts_are_merged(monkeypatch):
+    """A task gives a word once while its words fit a portion; of more words, every count still arrives."""
+    monkeypatch.setattr(lm, "MERGE_AT", 40)
+    batches = lambda texts: [pa.RecordBatch.from_arrays([pa.array([t])], names=["text"]) for t in texts]
+    few = list(lm._count(batches([" ".join(f"w{i}" for i in range(15))] * 9)))
+    assert len(few) == 1 and few[0].num_rows == 15 and set(few[0]["n"].to_pylist()) == {9}
+    many = list(lm._count(batches([" ".join(f"w{i * k}" for i in range(30)) for k in range(1, 9)])))
+    got = Counter()
+    for b in many:
+        assert len(set(b["code"].to_pylist())) == b.num_rows
+        got.update(dict(zip(b["code"].to_pylist(), b["n"].to_pylist(), strict=True)))
+    assert len(many) > 1 and sorted(got.values()) == sorted(Counter(i * k for k in range(1, 9) for i in range(30)).values())
+    assert list(lm._count(iter([]))) == []
+
+
+def test_lm_step_against_plain_loops():
+    """Noise draws against a search of the running sum, and a step's new vectors against loops over its tokens and draws."""
+    rng = np.random.default_rng(8)
+    share = rng.random(40) ** 6 + 1e-9
+    first = np.array([0, 3, 4, 39, 40])
+    share /= np.repeat(np.add.reduceat(share, first[:-1]), np.diff(first))
+    symbol = rng.random(1 + lm.HEAD + 4)
+    noise = lm.Noise(symbol / symbol.sum(), share, first)
+    at = np.concatenate([rng.random(2000) * 4, noise.event_upto[:-1], np.nextafter(noise.event_upto[1:-1], 0)])
+    assert np.array_equal(noise.events(at), np.searchsorted(noise.event_upto, at, "right") - 1)
+    model = lm.Bilinear.fresh(noise.symbol, share, first)
+    n = 300
+    out = rng.integers(0, 1 + lm.HEAD + 4, n)
+    event = np.array([-1 if o <= lm.HEAD else rng.integers(first[o - 1 - lm.HEAD], first[o - lm.HEAD]) for o in out])
+    gaps = lm.CONTEXT * (1 + (np.arange(n) >= 120))  # two texts
+    source = np.zeros(n + 2 * lm.CONTEXT, np.int64)
+    source[np.arange(n) + gaps] = np.where(event >= 0, 1 + lm.HEAD + event, out)
+    old = [p.astype(float) for p in model.parts]
+    model.learn(lm.Stream(out, event, source, np.arange(n) + gaps, np.array([0, 120, n])), 0, n, noise, np.random.default_rng(9))
+    draws = np.random.default_rng(9)
+    drawn = np.searchsorted(noise.upto, draws.random(lm.NOISE) * noise.upto[-1])
+    groups = {}  # class: its words' places, SHARED to a group
+    for c in range(4):
+        own = np.flatnonzero(out == 1 + lm.HEAD + c)
+        groups[c] = [own[k : k + lm.SHARED] for k in range(0, len(own), lm.SHARED)] if first[c + 1] - first[c] > 1 else []
+    numbers = iter(draws.random((sum(map(len, groups.values())), lm.INNER_NOISE)))
+    grads = [np.zeros_like(p) for p in old]
+    slope = lambda x: 1 / (1 + np.exp(-x))
+
+    def meet(i, part, share, row, yes):
+        k = int(source_at[i])
+        q = np.append(sum(old[2][j - 1] * old[0][source[k - j]] for j in range(1, lm.CONTEXT + 1)), 1)
+        g = slope(q @ old[part][row] - np.log(share)) - yes
+        grads[part][row] += g * q
+        for j in range(1, lm.CONTEXT + 1):
+            grads[0][source[k - j]] += g * old[part][row][:-1] * old[2][j - 1]
+            grads[2][j - 1] += g * old[part][row][:-1] * old[0][source[k - j]]
+
+    source_at = np.arange(n) + gaps
+    for i in range(n):
+        meet(i, 1, lm.NOISE * noise.symbol[out[i]], out[i], 1)
+        for d in drawn:
+            meet(i, 1, lm.NOISE * noise.symbol[d], d, 0)
+    for c, own in groups.items():
+        for group in own:
+            others = np.searchsorted(noise.event_upto, noise.event_upto[first[c]] + next(numbers) * (noise.event_upto[first[c + 1]] - noise.event_upto[first[c]]), "right") - 1
+            for i in group:
+                meet(i, 3, lm.INNER_NOISE * share[event[i]], event[i], 1)
+                for d in others:
+                    meet(i, 3, lm.INNER_NOISE * share[d], d, 0)
+    for p, before, g in zip(model.parts, old, grads, strict=True):
+        g /= n
+        assert np.allclose(p, before - lm.RATE * g / np.sqrt(1e-4 + g * g), atol=2e-5)
+
+
+def test_bytes_by_arithmetic_as_by_table():
+    data = np.arange(256, dtype=np.uint8)
+    assert np.array_equal(kernels.lowered(data), kernels.LOWER[data]) and np.array_equal(kernels.in_word(data), ~kernels.SEPARATOR[data])
+    assert kernels.lowered(data[:0]).size == kernels.in_word(data[:0]).size == 0
+
+
 def test_slots_find_codes_that_share_a_place():
     codes = (np.arange(1, 600, dtype=np.uint64) << np.uint64(50)) // np.uint64(7)
     slots = kernels.Slots(codes)
