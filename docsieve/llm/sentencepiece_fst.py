@@ -7,7 +7,7 @@ A model file of BPE type is compiled once, on the driver, into arrays:
 * the *piece automaton* is a trie of states whose transitions are labelled with
   characters; where a state ends a piece, an arc writes that piece for weight 1;
 * *byte fallback* arcs read a character that is no piece and write its UTF-8
-  bytes, for weight 1 a byte;
+  bytes, for weight 1 a byte (a character that pieces hold stays a symbol at borders);
 * the *boundary automaton* has the piece read last as its state. Going on to
   another piece is free where BPE of the two pieces' text is just these two, and
   costs ``VIOLATION`` where it merges across their border. Whether it does follows
@@ -16,33 +16,38 @@ A model file of BPE type is compiled once, on the driver, into arrays:
 
 A sequence is the BPE of its text if and only if every neighbouring pair is, so
 the path of least weight in the composition of a text with the machine is the
-BPE, although merges are no weights of single pieces. Composition is over
-stretches from a run of U+2581 to the next, which no piece crosses: many distinct
-stretches at once, position by position, each arc keeps the least weight of a
-path that ends with it (tropical semiring: weights add along a path, the least
-path counts) and where that path came from.
+BPE, although merges are no weights of single pieces. Beginnings of a text have
+one BPE each, so a position keeps one path, the least to it (tropical semiring:
+weights add along a path, the least path counts), and its last arc. Composition
+is over stretches: no piece crosses from one into the next, as none holds the two
+characters at the border side by side. Many distinct stretches are composed at
+once, position by position; met stretches are kept, found by a 64-bit code and
+compared character by character.
 
 Null is the empty text: no pieces, and decodes to the empty text. Repeated rows
 are encoded one by one. Memory follows the longest text, and the longest stretch
-of a text that holds no space. An empty table gives no rows. Other columns are
-not read.
+of it. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .kernels import run_codes
+
 SPACE = "\u2581"
-#: Stretches whose ids a worker keeps, and the longest kept.
-CACHED, CACHED_LENGTH = 400_000, 64
-#: Characters of stretches, and pairs of arcs, that are composed at once.
-BLOCK, PAIRS = 1 << 16, 1 << 20
+#: Stretches whose ids a worker keeps, and their characters; both may be passed by those of one slab.
+CACHED, CACHED_CHARS = 400_000, 1 << 23
+#: Characters of texts that are looked up at once, and of new stretches that are composed at once.
+SLAB, BLOCK = 1 << 18, 1 << 16
+#: Positions with fewer arcs go arc by arc if there are many such positions; pairs of arcs looked up at once for them.
+FEW, MANY, PAIRS = 64, 256, 1 << 18
 VIOLATION = 1 << 32
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
@@ -101,19 +106,25 @@ class Transducer:
             elif kind == NORMAL:
                 ids[piece] = i
                 score[piece] = float(np.frombuffer(own.get(2, b"\0\0\0\0"), "<f4")[0])
-        if any(SPACE in p.lstrip(SPACE) for p in ids):
-            raise ValueError("a piece crosses from one word into the next")
         self.is_byte = np.zeros(len(self.written), bool)
         self.is_byte[self.byte_ids] = True
-        self._compile_merges(ids, score)
-        self._compile_trie({p: i for p, i in ids.items() if i in self.reachable})
-        self.stretches: dict[str, bytes] = {}
-        self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.n_written = np.array([len(x) for x in self.written])
+        self.written_at = np.cumsum(self.n_written) - self.n_written
+        self.all_written = np.frombuffer(b"".join(self.written), np.uint8)
+        symbols = self._compile_merges(ids, score)
+        self._compile_trie({p: i for p, i in symbols.items() if i in self.reachable or i >= len(self.written)})
+        inside = np.array(sorted({(ord(a), ord(b)) for p in ids for a, b in zip(p, p[1:], strict=False)}), np.uint32).reshape(-1, 2)
+        self.joined = np.zeros(1 << 20, bool)
+        self.joined[_pair_place(inside[:, 0], inside[:, 1])] = True
+        self.kept = Kept()
         self.known_pairs = np.zeros(1 << 20, np.int64)
         self.known_fit = np.ones(1 << 20, bool)
 
-    def _compile_merges(self, ids: dict[str, int], score: dict[str, float]) -> None:
-        """How each piece is merged (its last two parts and when), and when two symbols are merged."""
+    def _compile_merges(self, ids: dict[str, int], score: dict[str, float]) -> dict[str, int]:
+        """How each piece is merged (its last two parts and when), and when two symbols are merged.
+
+        Symbols are the pieces, and the characters that are only parts of some: these are numbered after all pieces.
+        """
         symbols = dict(ids)
         for c in sorted({c for p in ids for c in p}):
             symbols.setdefault(c, len(self.written) + len(symbols) - len(ids))
@@ -147,6 +158,7 @@ class Transducer:
                     found[a << 32 | b] = time(piece[:k], piece[k:])
         self.merge_keys = np.array(sorted(found), np.int64)
         self.merge_when = np.array([found[k] for k in self.merge_keys.tolist()], np.int64)
+        return symbols
 
     def _compile_trie(self, ids: dict[str, int]) -> None:
         """States and transitions of the piece automaton; state 0 is its beginning."""
@@ -232,89 +244,143 @@ class Transducer:
         order = np.argsort(start, kind="stable")
         return start[order], np.concatenate(lengths)[order], np.concatenate(pieces)[order]
 
-    def shortest_paths(self, stretches: list[str]) -> list[bytes]:
-        """Each stretch's ids, as little-endian 32-bit numbers, along the path of least weight."""
-        char = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32).astype(np.int64)
-        size = np.array([len(x) for x in stretches])
+    def shortest_paths(self, char: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stretches of ``size`` characters each, one after the other, along the paths of least weight, and how many each has."""
         upto = np.cumsum(size)
         start, length, piece = self.arcs(char, np.repeat(upto, size))
-        weight = np.where(piece >= 0, 1, _utf8_length(char[start]))
-        first = np.searchsorted(start, np.arange(len(char) + 1))
-        place = start - np.repeat(upto - size, size)[start]  # inside the stretch
-        total = np.where(place == 0, weight, np.iinfo(np.int64).max)
-        came = np.full(len(start), -1)
-        # an arc is reached from those that end where it starts: sort these by that end, then pair them up place by place
-        by_end = np.argsort(start + length, kind="stable")
-        ends = np.searchsorted((start + length)[by_end], np.arange(len(char) + 2))
-        order = np.argsort(place, kind="stable")
-        order = order[place[order] > 0]
-        from_n = (ends[1:] - ends[:-1])[start[order]]
-        level_ends = np.append(np.flatnonzero(np.diff(place[order])) + 1, len(order)) if len(order) else np.zeros(0, np.int64)
-        pairs_upto = np.concatenate([[0], np.cumsum(from_n)])
-        done = 0
-        while done < len(level_ends):
-            a = level_ends[done - 1] if done else 0
-            until = max(done + 1, int(np.searchsorted(pairs_upto[level_ends], pairs_upto[a] + PAIRS, "right")))
-            b = level_ends[until - 1]
-            own = order[a:b]
-            to = np.repeat(own, from_n[a:b])
-            begin = pairs_upto[a:b] - pairs_upto[a]
-            source = by_end[np.repeat(ends[start[own]] - begin, from_n[a:b]) + np.arange(len(to))]
-            cost = self.boundary(piece[source], piece[to]) + weight[to]
-            for k in range(done, until):
-                lo, hi = (level_ends[k - 1] if k else 0) - a, level_ends[k] - a
-                p, q = begin[lo], begin[hi] if hi < len(begin) else len(to)
-                way = total[source[p:q]] + cost[p:q]
-                groups = begin[lo:hi] - p
-                least = np.minimum.reduceat(way, groups)
-                total[own[lo:hi]] = least
-                hit = np.flatnonzero(way == np.repeat(least, from_n[a + lo : a + hi]))
-                came[own[lo:hi]] = source[p + hit[np.searchsorted(hit, groups)]]
-            done = until
-        # the least arc that ends each stretch, then back along where it came from
+        whole = (piece >= 0) & (piece < len(self.written))
+        weight = np.where(whole, 1, _utf8_length(char[start]))
+        # a stretch has a state before each character and one at its end
+        number = np.repeat(np.arange(len(size)), size)[start]
+        source = start + number
+        target = source + length
+        total = np.zeros(len(char) + len(size), np.int64)
+        last = np.full(len(total), -1)  # the piece read last, -1 for the bytes of a character in no piece and at the beginning
+        came = np.full(len(total), -1)  # the arc read last
+        place = start + length - (upto - size)[number]
+        order = np.argsort(place << 32 | target)
+        levels = np.flatnonzero(np.diff(place[order], prepend=0, append=place[order[-1]] + 1))
+        wide = np.flatnonzero(np.diff(levels) >= FEW)
+        wide = len(levels) - 1 if len(levels) < MANY else wide[-1] + 1 if len(wide) else 0
+        for lo, hi in zip(levels[:wide].tolist(), levels[1 : wide + 1].tolist(), strict=True):
+            own = order[lo:hi]
+            begin, to = source[own], target[own]
+            way = total[begin] + weight[own] + self.boundary(last[begin], piece[own])
+            groups = np.flatnonzero(np.diff(to, prepend=-1))
+            least = np.minimum.reduceat(way, groups)
+            hit = np.flatnonzero(way == np.repeat(least, np.diff(groups, append=hi - lo)))
+            best = own[hit[np.searchsorted(hit, groups)]]
+            to = to[groups]
+            total[to], last[to], came[to] = least, piece[best], best
+        if wide < len(levels) - 1:
+            came = self._arc_by_arc(order[levels[wide] :], source, target, weight, piece, total, came)
         path = []
-        n_last = ends[upto + 1] - ends[upto]
-        begin = np.cumsum(n_last) - n_last
-        last = by_end[np.repeat(ends[upto] - begin, n_last) + np.arange(n_last.sum())]
-        least = np.minimum.reduceat(total[last], begin)
-        hit = np.flatnonzero(total[last] == np.repeat(least, n_last))
-        now = last[hit[np.searchsorted(hit, begin)]]
+        now = came[upto + np.arange(len(size))]
         while len(now):
             path.append(now)
-            now = came[now]
+            now = came[source[now]]
             now = now[now >= 0]
         arc = np.sort(np.concatenate(path))  # arcs are in order of their start
-        n_ids = np.where(piece[arc] >= 0, 1, weight[arc])
+        whole, n_ids = whole[arc], weight[arc]
         after = np.cumsum(n_ids)
-        ids = np.zeros(after[-1], "<u4")
-        whole = piece[arc] >= 0
+        ids = np.zeros(after[-1], np.uint32)
         ids[after[whole] - 1] = piece[arc[whole]]
         for k in np.flatnonzero(~whole):
             ids[after[k] - n_ids[k] : after[k]] = self.byte_ids[list(chr(char[start[arc[k]]]).encode())]
-        raw = ids.tobytes()
-        cuts = np.concatenate([[0], 4 * after[np.searchsorted(start[arc], upto) - 1]]).tolist()
-        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return ids, np.diff(after[np.searchsorted(start[arc], upto) - 1], prepend=0)
+
+    def _arc_by_arc(self, arcs: np.ndarray, source: np.ndarray, target: np.ndarray, weight: np.ndarray, piece: np.ndarray, total: np.ndarray, came: np.ndarray) -> np.ndarray:
+        """``came`` as shortest_paths goes on to set it, along ``arcs``: weights of all pairs that may come up are looked up ahead."""
+        by_end = np.argsort(target, kind="stable")
+        ends = target[by_end]
+        rank = np.empty(len(by_end), np.int64)  # among the arcs with the same end
+        rank[by_end] = np.arange(len(by_end)) - np.searchsorted(ends, ends)
+        before = np.searchsorted(ends, source[arcs])
+        n_before = np.searchsorted(ends, source[arcs], "right") - before
+        upto = np.cumsum(n_before)
+        total, came, rank = total.tolist(), came.tolist(), rank.tolist()
+        lo = 0
+        while lo < len(arcs):
+            done = upto[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, done + PAIRS, "right")))
+            own, n = arcs[lo:hi], n_before[lo:hi]
+            pairs = self.boundary(piece[by_end[_runs(before[lo:hi], n)]], np.repeat(piece[own], n)).tolist()
+            first = (upto[lo:hi] - n - done).tolist()
+            for arc, a, b, w, k in zip(own.tolist(), source[own].tolist(), target[own].tolist(), weight[own].tolist(), first, strict=True):
+                way = total[a] + w + (pairs[k + rank[came[a]]] if came[a] >= 0 else 0)
+                if came[b] < 0 or way < total[b]:
+                    total[b], came[b] = way, arc
+            lo = hi
+        return np.array(came)
 
     def normalise(self, text: str) -> str:
         return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
 
+    def stretches(self, char: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """Where stretches begin in texts that end at ``upto``: at a text's beginning, and between characters that no piece holds side by side."""
+        begins = np.ones(len(char), bool)
+        begins[1:] = ~self.joined[_pair_place(char[:-1], char[1:])]
+        begins[upto[upto < len(char)]] = True
+        return np.flatnonzero(begins)
+
+    def new_entries(self, char: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Composes stretches of ``char`` and keeps their ids; their numbers."""
+        out = [np.zeros(0, np.int64)]
+        upto = np.cumsum(size)
+        lo = 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BLOCK, "right")))
+            own = char[_runs(begin[lo:hi], size[lo:hi])]
+            out.append(self.kept.add(own, size[lo:hi], *self.shortest_paths(own.astype(np.int64), size[lo:hi])))
+            lo = hi
+        return np.concatenate(out)
+
+    def look_up(self, char: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stretches of ``size`` characters each, one after the other, and how many each has."""
+        kept = self.kept
+        if len(kept.size) > CACHED or len(kept.char) > CACHED_CHARS:
+            kept = self.kept = Kept()
+        begin = np.cumsum(size) - size
+        code = run_codes(char.view(np.uint8), 4 * begin, 4 * (begin + size))
+        entry = kept.find(code)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            codes, one, inverse = np.unique(code[new], return_index=True, return_inverse=True)
+            own = self.new_entries(char, begin[new[one]], size[new[one]])
+            kept.place(codes, own)
+            entry[new] = own[inverse]
+        # stretches that share a code with another one are composed on their own
+        other = kept.size[entry] != size
+        differs = kept.char.take(_runs(kept.char_at[entry], size), mode="clip") != char
+        other[np.searchsorted(begin, np.flatnonzero(differs), "right") - 1] = True
+        if other.any():
+            entry[other] = self.new_entries(char, begin[other], size[other])
+        n_ids = kept.n_ids[entry]
+        return kept.ids[_runs(kept.ids_at[entry], n_ids)], n_ids
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other; those of text ``i`` are from place ``i`` of the second array to the next."""
+        normal = [self.normalise(x) for x in texts]
+        char = np.frombuffer("".join(normal).encode("utf-32-le"), np.uint32)
+        upto = np.cumsum([0, *map(len, normal)])
+        if not len(char):
+            return np.zeros(0, np.uint32), upto
+        begin = self.stretches(char, upto)
+        size = np.diff(begin, append=len(char))
+        found = []
+        lo = 0
+        while lo < len(begin):
+            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + SLAB)))
+            found.append(self.look_up(char[begin[lo] : begin[hi - 1] + size[hi - 1]], size[lo:hi]))
+            lo = hi
+        ids, n_ids = map(np.concatenate, zip(*found, strict=True))
+        return ids, np.concatenate([[0], np.cumsum(n_ids)])[np.searchsorted(begin, upto)]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        split = [self.split.findall(self.normalise(x)) for x in texts]
-        if len(self.stretches) > CACHED:
-            self.stretches.clear()
-        new = list(dict.fromkeys(x for own in split for x in own if x not in self.stretches))
-        found, held, n = {}, [], 0
-        for x in [*new, None]:
-            if held and (x is None or n + len(x) > BLOCK):
-                found |= zip(held, self.shortest_paths(held), strict=True)
-                held, n = [], 0
-            if x is not None:
-                held.append(x)
-                n += len(x)
-        self.stretches |= {x: ids for x, ids in found.items() if len(x) <= CACHED_LENGTH}
-        of = self.stretches
-        return [b"".join([of[x] if x in of else found[x] for x in own]) for own in split]
+        ids, at = self.encode_flat(texts)
+        raw, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_all([text])[0], "<u4").tolist()
@@ -324,6 +390,71 @@ class Transducer:
         text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
+    def decodes(self, ids: np.ndarray, at: np.ndarray, texts: list[str]) -> list[bool]:
+        """Whether each text's ids, as ``encode_flat`` gives them, decode to it; those that write the normalised text do."""
+        slabs = [ids[lo : lo + SLAB] for lo in range(0, len(ids), SLAB)]
+        raw = b"".join([self.all_written[_runs(self.written_at[x], self.n_written[x])].tobytes() for x in slabs])
+        ends = np.concatenate([[0], np.cumsum(self.n_written[ids])])[at].tolist()
+        return [
+            raw[ends[i] : ends[i + 1]] == self.normalise(x).encode() or self.decode(ids[at[i] : at[i + 1]].tolist()) == x.replace(SPACE, " ")
+            for i, x in enumerate(texts)
+        ]
+
+
+class Kept:
+    """Stretches met, and their ids: entries are numbered, a code leads to one of them or, where places are taken, to none."""
+
+    def __init__(self):
+        self.slots = np.full(1 << 20, -1, np.int32)
+        self.rows: dict[str, tuple[np.ndarray, int]] = {
+            name: (np.zeros(1024, kind), 0)
+            for name, kind in (("char", np.uint32), ("ids", np.uint32), ("code", np.uint64), ("size", np.int64), ("n_ids", np.int64), ("char_at", np.int64), ("ids_at", np.int64))
+        }
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name == "rows" or name not in self.rows:
+            raise AttributeError(name)
+        room, n = self.rows[name]
+        return room[:n]
+
+    def append(self, **columns: np.ndarray) -> None:
+        for name, own in columns.items():
+            room, n = self.rows[name]
+            if n + len(own) > len(room):
+                room = np.concatenate([room[:n], np.zeros(max(n, len(own)), room.dtype)])
+            room[n : n + len(own)] = own
+            self.rows[name] = room, n + len(own)
+
+    def add(self, char: np.ndarray, size: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> np.ndarray:
+        """Numbers of new entries, whose characters and ids stand one after the other; no code leads to them yet."""
+        first = len(self.size)
+        self.append(size=size, n_ids=n_ids, char_at=len(self.char) + np.cumsum(size) - size, ids_at=len(self.ids) + np.cumsum(n_ids) - n_ids)
+        self.append(char=char, ids=ids, code=np.zeros(len(size), np.uint64))
+        return first + np.arange(len(size))
+
+    def _places(self, code: np.ndarray) -> Iterator[np.ndarray]:
+        for shift in (44, 24):
+            yield (code >> np.uint64(shift)).astype(np.int64) & (len(self.slots) - 1)
+
+    def place(self, code: np.ndarray, entry: np.ndarray) -> None:
+        """Codes lead to entries from now on: from their first place if it is free, else from their second, whatever stood there."""
+        self.code[entry] = code
+        first, second = self._places(code)
+        free = self.slots[first] < 0
+        self.slots[first[free]] = entry[free]
+        rest = self.slots[first] != entry
+        self.slots[second[rest]] = entry[rest]
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """The entry of each code, -1 for none."""
+        out = np.full(len(code), -1)
+        if len(self.code):
+            for place in self._places(code):
+                entry = self.slots[place]
+                hit = (out < 0) & (entry >= 0) & (self.code[entry] == code)
+                out[hit] = entry[hit]
+        return out
+
 
 def merged_once(parts: list[str], score: dict[str, float]) -> list[str]:
     """BPE by its definition, one step: the best-scored neighbours, leftmost first, become one; the same list if none are a piece."""
@@ -340,11 +471,32 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: int)
     return np.where(keys[place] == wanted, values[place], other)
 
 
+def _pair_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where a table of 2^20 places holds a pair of characters; some pairs share a place."""
+    return ((a * np.uint32(0x9E3779B1) + b) * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``first[i]`` to ``first[i] + size[i]``, one run after the other."""
+    upto = np.cumsum(size)
+    return np.repeat(first - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+
+
 def _utf8_length(char: np.ndarray) -> np.ndarray:
     return 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
 
 
-PORTION = 256
+#: Rows, and bytes of whole texts, that are encoded at once.
+PORTION, PORTION_BYTES = 256, 1 << 21
+
+
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    upto = np.cumsum([0, *pc.binary_length(batch.column(1)).fill_null(0).to_pylist()])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(lo + PORTION, max(lo + 1, int(np.searchsorted(upto, upto[lo] + PORTION_BYTES, "right")) - 1))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -357,11 +509,9 @@ def sentencepiece(docs: DataFrame, model: str, text: str = "text", doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, PORTION):
-                some = batch.slice(at, PORTION)
-                raw = compiled.value.encode_all([x or "" for x in some.column(1).to_pylist()])
-                offsets = np.cumsum([0, *(len(x) // 4 for x in raw)])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32()))
+            for some in _portions(batch):
+                ids, at_id = compiled.value.encode_flat([x or "" for x in some.column(1).to_pylist()])
+                ids = pa.ListArray.from_arrays(pa.array(at_id, pa.int32()), pa.array(ids.view(np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([some.column(0), ids], names=["doc_id", "ids"])
 
     return _texts(docs, text, doc_id).mapInArrow(run, "doc_id long, ids array<int>")
@@ -374,17 +524,17 @@ def round_trip(docs: DataFrame, model: str, text: str = "text", doc_id: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled.value
         for batch in batches:
-            for at in range(0, batch.num_rows, PORTION):
-                some = batch.slice(at, PORTION)
+            for some in _portions(batch):
                 texts = [x or "" for x in some.column(1).to_pylist()]
-                raw = machine.encode_all(texts)
-                ids = [np.frombuffer(x, "<u4") for x in raw]
+                ids, first = machine.encode_flat(texts)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                bytes_upto = np.concatenate([[0], np.cumsum(machine.is_byte[ids])])
                 columns = [
                     some.column(0),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([int(np.count_nonzero(machine.is_byte[x])) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in raw], pa.int64()),
-                    pa.array([machine.decode(x.tolist()) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+                    pa.array(np.diff(first), pa.int64()),
+                    pa.array(np.diff(bytes_upto[first]), pa.int64()),
+                    pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first[:-1], first[1:], strict=True)], pa.int64()),
+                    pa.array(machine.decodes(ids, first, texts), pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SCHEMA.split(", ")])
 

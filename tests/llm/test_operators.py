@@ -284,6 +284,80 @@ def test_boundaries_follow_the_definition_of_bpe(machine):
     assert machine.boundary(a, b).tolist() == machine.boundary(a, b).tolist()  # looked up, and kept
 
 
+def test_sentencepiece_looks_at_few_borders(spark, sf_dir, monkeypatch):
+    """A position keeps one path and stretches end where no piece goes on: well under two borders a distinct word's character."""
+    machine = sentencepiece_fst.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    seen = []
+    boundary = machine.boundary
+    monkeypatch.setattr(machine, "boundary", lambda a, b: seen.append(len(a)) or boundary(a, b))
+    texts = [r.text or "" for r in table(spark, sf_dir.replace("0.001", "0.01"), "documents").collect()]
+    machine.encode_all(texts)
+    assert 0 < sum(seen) < 2 * sum(map(len, {w for x in texts for w in x.split(" ")}))
+
+
+def test_sentencepiece_stretches_of_one_code_are_told_apart(monkeypatch):
+    """Also when every fourth code of other lengths and characters is the same, and when the kept ones are forgotten."""
+    machine = sentencepiece_fst.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [" ".join(f"{a}ing{i} to\n{a}ed" for i in range(40)) for a in ("walk", "jump", "é你", "internation")] * 2
+    want = [machine.encode(x) for x in texts]
+    monkeypatch.setattr(sentencepiece_fst, "run_codes", lambda data, start, end: (start // 4 % 4).astype(np.uint64))
+    monkeypatch.setattr(sentencepiece_fst, "SLAB", 100)
+    for kept in (400_000, 10):
+        monkeypatch.setattr(sentencepiece_fst, "CACHED", kept)
+        machine.kept = sentencepiece_fst.Kept()
+        assert [machine.encode(x) for x in texts] == want
+        assert [np.frombuffer(x, "<u4").tolist() for x in machine.encode_all(texts)] == want
+
+
+def test_sentencepiece_long_stretches_beside_short_ones(machine):
+    """Texts without a border: arc by arc where few are left, position by position before."""
+    import random
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in [3000, 700, 699, *range(1, 200)]]
+    assert [np.frombuffer(x, "<u4").tolist() for x in machine.encode_all(texts)] == library.encode(texts)
+
+
+def test_sentencepiece_pieces_over_spaces_and_of_characters_that_are_none(tmp_path):
+    """A model whose pieces cross from word to word, and the same with a letter that is in pieces but no piece itself."""
+    import random
+
+    import sentencepiece
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 4))) for _ in range(30)]
+    lines = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(300)]
+    whole, lone = tmp_path / "whole", tmp_path / "lone.model"
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_prefix=str(whole), model_type="bpe", vocab_size=400, byte_fallback=True, split_by_whitespace=False,
+        normalization_rule_name="identity", remove_extra_whitespaces=False, minloglevel=2,
+    )
+    raw = whole.with_suffix(".model").read_bytes()
+    assert raw.count(b"\x0a\x01c\x15") == 1
+    lone.write_bytes(raw.replace(b"\x0a\x01c\x15", b"\x0a\x01z\x15"))
+    texts = ["".join(rng.choice("aabbccde  z\n") for _ in range(rng.randint(0, 40))) for _ in range(500)] + lines
+    for path in (str(whole.with_suffix(".model")), str(lone)):
+        own, library = sentencepiece_fst.Transducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == library.encode(texts)
+        ids, at = own.encode_flat(texts)
+        assert own.decodes(ids, at, texts) == [True] * len(texts)
+        assert own.decodes(ids, at, ["z" + x for x in texts]) == [False] * len(texts)
+
+
+def test_sentencepiece_portions(hard, monkeypatch):
+    """Rows without a text alone, and portions of a row each, give what all rows at once give."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert [tuple(r)[1:] for r in sentencepiece_fst.round_trip(hard.where("doc_id in (1, 2)"), path).collect()] == [(0, 0, 0, True)] * 2
+    assert [r.ids for r in sentencepiece_fst.sentencepiece(hard.where("doc_id in (1, 2)"), path).collect()] == [[], []]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": x} for i, x in enumerate([None, "", "a" * 9, None, "é" * 5, "b", "", "c" * 30, ""])])
+    assert [x.num_rows for x in sentencepiece_fst._portions(batch)] == [9]
+    monkeypatch.setattr(sentencepiece_fst, "PORTION_BYTES", 11)
+    assert [x.column(0).to_pylist() for x in sentencepiece_fst._portions(batch)] == [[0, 1, 2, 3], [4, 5, 6], [7], [8]]
+
+
 def test_sentencepiece_on_hard_rows(hard):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = sentencepiece_fst.round_trip(hard, path).collect()
